@@ -39,7 +39,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 3, text:
         _mixed(F.lit("second"), body).alias("_g2"),
         _mixed(F.lit("order"), F.col(key)).alias("_d"),
     )
-    groups = base.groupBy("_g", "_g2").agg(F.count(F.lit(1)).alias("_rows"))
     base = cut(base)
     total = base.count()
     if total == 0:
@@ -53,7 +52,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 3, text:
     state = linked.select(
         key, "size", "text_crc32", "_d",
         F.coalesce("_rows", F.lit(1)).cast("long").alias("_rows"),
-        F.when(F.col("_rows").isNotNull(), _mixed("_g", "_g2", part)).alias("_unit"),
+        F.when(F.col("_rows").isNotNull(), _mixed("_g", "_g2", part)).otherwise(F.col("_d")).alias("_unit"),
         F.pmod("_d", F.lit(n_shards)).cast("int").alias("shard"),
     )
     for _ in range(rounds):
@@ -67,7 +66,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 3, text:
 
 def _propagate(state: DataFrame) -> DataFrame:
     """Each linked document asks for the shard that holds most of its unit (ties: the lowest)."""
-    held = state.filter(F.col("_unit").isNotNull()).groupBy("_unit", "shard").agg(F.count(F.lit(1)).alias("_n"))
+    held = state.filter("_rows > 1").groupBy("_unit", "shard").agg(F.count(F.lit(1)).alias("_n"))
     asked = held.groupBy(F.col("_unit").alias("_u")).agg(F.max_by("shard", F.struct("_n", -F.col("shard"))).alias("_want"))
     moved = state.join(asked, F.col("_unit") == F.col("_u"), "left")
     return moved.withColumn("shard", F.coalesce("_want", "shard")).drop("_u", "_want")
@@ -76,7 +75,7 @@ def _propagate(state: DataFrame) -> DataFrame:
 def _enforce(state: DataFrame, quota: list[int]) -> DataFrame:
     """Keep what fits in each shard, linked documents first; deal the rest to free places."""
     # Two leading ranges of the order: units before single documents, each by its own hash.
-    lead = F.when(F.col("_unit").isNull(), F.shiftrightunsigned("_d", 1).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.shiftrightunsigned("_unit", 1))
+    lead = F.when(F.col("_rows") == 1, F.shiftrightunsigned("_d", 1).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.shiftrightunsigned("_unit", 1))
     state = state.withColumn("_lead", lead)
     ranked = dense_index(state, "shard", F.col("_lead"), [F.col("_unit"), F.col("_d")], "_rank")
     quotas = F.array(*[F.lit(int(q)) for q in quota])
