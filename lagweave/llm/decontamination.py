@@ -40,21 +40,25 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10, text: str = "text",
     return grams.groupBy(F.array_join("_gram", " ").alias("gram"), F.size("_gram").alias("len"), F.xxhash64(_folded(F.col("_gram"))).alias("key")).agg(F.collect_set("_item").alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: ``keep`` columns, n_words, n_hit, spans, item_ids.
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row for each row of ``docs``: ``key``, n_words, n_hit, spans, item_ids.
 
     spans is the sorted array of (pos, len) of verified windows, in words from 0. A null or empty
     text has no words and no hit. Repeated rows give a row each. Items that are null or without
     words have no window; a window of an item whose id is null marks words and adds no id.
     Windows beyond ``block_bytes`` are probed in several broadcast blocks, each over all rows.
     """
-    keep = keep or ["doc_id"]
+    return _hits(docs, benchmark, width, block_bytes, text, [key]).select("_keep.*", "n_words", "n_hit", "spans", "item_ids")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, text: str, keep: list[str]) -> DataFrame:
+    """As find_hits, with the ``keep`` columns in the struct _keep."""
     windows = cut(benchmark_windows(benchmark, width))
     size = windows.agg(F.sum(F.octet_length("gram") + F.lit(64)).alias("b"), F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 8)).alias("i")).first()
     blocks = max(1, math.ceil(((size["b"] or 0) + (size["i"] or 0)) / block_bytes))
     lengths = sorted({r["len"] for r in windows.select("len").distinct().collect()}) or [width]
 
-    held = F.struct(*[F.col(c).alias(c) for c in keep]) if keep else F.struct()
+    held = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep])
     base = docs.select(F.monotonically_increasing_id().alias("_row"), held.alias("_keep"), _words(F.col(text)).alias("_words"))
 
     def grams(h: Column, n: int) -> Column:
@@ -80,7 +84,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_byte
         "spans", zero,
         lambda a, s: F.struct(F.greatest(a["end"], s["pos"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["pos"] + s["len"] - F.greatest(a["end"], s["pos"]))).alias("n")),
     )["n"]
-    return grouped.select("_keep.*", F.col("_n").cast("long").alias("n_words"), covered.alias("n_hit"), "spans", "item_ids")
+    return grouped.select("_keep", F.col("_n").cast("long").alias("n_words"), covered.alias("n_hit"), "spans", "item_ids")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str = "documents") -> DataFrame:
@@ -89,14 +93,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove
     remove="documents" drops rows with a hit; remove="spans" takes out the hit words with the
     gaps that follow them. Other rows come back unchanged, null texts included.
     """
-    found = find_hits(docs, benchmark, width, keep=docs.columns)
+    found = _hits(docs, benchmark, width, 32 << 20, "text", docs.columns)
     if remove == "documents":
-        return found.filter("n_hit = 0").select(*docs.columns)
-    pieces = F.regexp_extract_all("text", F.lit(f"{WORD}{GAP}"), F.lit(0))
-    lead = F.regexp_extract("text", f"^{GAP}", 0)
+        return found.filter("n_hit = 0").select("_keep.*")
+    text = F.col("_keep.text")
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORD}{GAP}"), F.lit(0))
+    lead = F.regexp_extract(text, f"^{GAP}", 0)
     kept = F.filter(pieces, lambda p, i: ~F.exists(F.col("spans"), lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"])))
-    cleaned = F.when(F.col("n_hit") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(F.col("text"))
-    return found.withColumn("text", cleaned).select(*docs.columns)
+    cleaned = F.when(F.col("n_hit") > 0, F.concat(lead, F.array_join(kept, ""))).otherwise(text)
+    return found.select(F.col("_keep").withField("text", cleaned).alias("_keep")).select("_keep.*")
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -74,22 +74,28 @@ def source_key(source: str = "source") -> Column:
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
 
 
+ADDED = ["block", "phase", "slot", "release", "deadline", "position"]
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_rows: int = 32, slots: int = 1000, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` and block, phase, slot, release, deadline, position (all long, from 0).
 
+    Columns of ``docs`` that have one of these names are replaced.
+
     ``weights`` gives target weights by source; without it they are the sources' row counts to the
     power ``temperature``; a source that ``weights`` lacks takes the smallest weight given. Rows
     with a null source are a source of their own. The table of sources (not of rows) is read by the
     driver. Repeated rows, and null or equal keys, keep a place each. An empty table gives an
     empty result.
     """
-    keyed = docs.withColumn("_source", source_key(source))
+    kept = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    keyed = docs.select(F.struct(*kept).alias("_doc"), F.col(key).alias("_key_col"), source_key(source).alias("_source"))
     counts = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = min(weights.values()) if weights else 0
     target = {s: (weights.get(s[1:], least) if weights else n**temperature) for s, n in counts.items()}
     plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, target, slots)
 
-    index = dense_index(keyed, "_source", F.xxhash64(F.lit("mix"), F.col(key)), [F.col(key)], "_index")
+    index = dense_index(keyed, "_source", F.xxhash64(F.lit("mix"), F.col("_key_col")), [F.col("_key_col")], "_index")
     rows = [(s, [(p["first"], p["base"], p["share"], p["period"], p["places"]) for p in phases]) for s, phases in plan.items()]
     kind = "s string, phases array<struct<first:bigint,base:bigint,share:bigint,period:bigint,places:array<bigint>>>"
     table = F.broadcast(docs.sparkSession.createDataFrame(rows, kind).withColumnsRenamed({"s": "_s", "phases": "_phases"}))
@@ -114,7 +120,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
         gaps = F.array(*[F.struct(F.lit(int(a)).cast("long").alias("at"), F.lit(int(b)).cast("long").alias("rows")) for a, b in sorted(short)])
         missing = F.aggregate(F.filter(gaps, lambda g: g["at"] < F.col("slot")), F.lit(0).cast("long"), lambda a, g: a + g["rows"])
     placed = placed.withColumn("position", F.col("slot") * block_rows - missing + F.pmod("_index", F.lit(block_rows)))
-    return placed.drop("_source", "_index", "_s", "_phases", "_p")
+    return placed.select("_doc.*", *ADDED)
+
+
+def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with their columns, stored in the order of their positions: partition by partition."""
+    placed = mix_sources(docs, **how)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -16,3 +16,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) AS k FROM p),
+x AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM r WHERE k > 1),
+g AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+j AS (SELECT d.doc_id, w, gone, len(w) AS n, coalesce(len(gone), 0) AS m FROM d LEFT JOIN g ON d.doc_id = g.doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept FROM e LEFT JOIN x ON e.doc_id = x.doc_id AND e.i = x.i WHERE x.i IS NULL GROUP BY e.doc_id)
+SELECT j.doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM j LEFT JOIN k ON j.doc_id = k.doc_id
+"""

@@ -97,7 +97,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", di
         kept = [w for x, y in zip(a.tolist(), b.tolist(), strict=True) for w in words[x:y]]
         return len(words), int(flags.sum()), b" ".join(kept)
 
-    joined = rows.join(runs.withColumnRenamed("_rid", "_r"), F.col("_rid") == F.col("_r"), "left").select(*names, "runs")
+    joined = rows.join(runs.withColumnsRenamed({"_rid": "_r", "runs": "_runs"}), F.col("_rid") == F.col("_r"), "left").select(*names, "_runs")
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([rows.schema["doc_id"], *fields] if digest else [rows.schema[c] for c in names])
     return joined.mapInArrow(run, schema)

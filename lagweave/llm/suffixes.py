@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", di
                 columns[place] = pa.array(new, b.column(place).type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = rows.join(runs.withColumnRenamed("_rid", "_r"), F.col("_rid") == F.col("_r"), "left").select(*names, "runs")
+    joined = rows.join(runs.withColumnsRenamed({"_rid": "_r", "runs": "_runs"}), F.col("_rid") == F.col("_r"), "left").select(*names, "_runs")
     fields = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([rows.schema["doc_id"], *fields] if digest else [rows.schema[c] for c in names])
     return joined.mapInArrow(run, schema)

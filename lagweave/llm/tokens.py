@@ -19,11 +19,12 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from .common import cut, documents, temp_name, with_row_ids
 
 MAGIC, VERSION = b"LWTK", 1
 HEAD = struct.Struct("<4sHIQII")
-SLOTS = 4096
+SLOTS = 2048
 SCALE = 20
 TOP, BOTTOM = np.uint64(48), np.uint64(1 << 40)
 FIELD, MASK = np.uint64(20), np.uint64((1 << 20) - 1)
@@ -41,10 +42,6 @@ FRESH = np.uint64(1 | 1 << 20 | 2 << 40)
 U = np.uint64
 
 
-#: Texts that are not cut into pieces: blanks at an end or side by side, other blanks, special tokens.
-ODD = re.compile(r"<\||\A\s|\s\Z|\s\s|[^\S \n]")
-
-
 class DamagedBlock(ValueError):
     """A block whose ids don't have the checksum that was written with it."""
 
@@ -255,6 +252,13 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, lengths, ids
 
 
+def plain(text: str) -> bool:
+    """No blanks but single spaces and line feeds between words, and no special token."""
+    words = text.split()
+    single = len(words) - 1
+    return "<|" not in text and single == text.count(" ") + text.count("\n") and sum(map(len, words)) + single == len(text)
+
+
 class Encoder:
     """A tokenizer that remembers pieces.
 
@@ -285,21 +289,24 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; new pieces of all of them are encoded in one call."""
-        cuts = [[line.split(" ") for line in t.split("\n")] if t and not ODD.search(t) else None for t in texts]
         if len(self.first) + len(self.later) > self.most:
             self.first.clear()
             self.later.clear()
-        heads, rests = set(), set()
-        for line in chain.from_iterable(c for c in cuts if c):
-            heads.add(line[0])
-            rests.update(filterfalse(self.later.__contains__, line[1:]))
-        self._learn(self.first, "", heads - self.first.keys())
-        self._learn(self.later, " ", rests)
-        first, later = self.first.__getitem__, self.later.__getitem__
-        return [
-            (self.feed.join([b"".join([first(line[0]), *map(later, line[1:])]) for line in c]) if c else self.whole(t)) if t else b""
-            for t, c in zip(texts, cuts, strict=True)
-        ]
+        cuts = [[line.split(" ") for line in t.split("\n")] if t and plain(t) else None for t in texts]
+        lines = [line for c in cuts if c for line in c]
+        found = [[*map(self.later.get, line)] for line in lines]
+        missing = {p for line, ids in zip(lines, found, strict=True) for p, x in zip(line[1:], ids[1:], strict=True) if x is None}
+        self._learn(self.later, " ", missing)
+        self._learn(self.first, "", {line[0] for line in lines} - self.first.keys())
+        done = []
+        for line, ids in zip(lines, found, strict=True):
+            ids[0] = self.first[line[0]]
+            try:
+                done.append(b"".join(ids))
+            except TypeError:  # a piece that was missing
+                done.append(b"".join([ids[0], *map(self.later.__getitem__, line[1:])]))
+        ready = iter(done)
+        return [(self.feed.join([next(ready) for _ in c]) if c else self.whole(t)) if t else b"" for t, c in zip(texts, cuts, strict=True)]
 
     def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
         names = list(new)
@@ -385,6 +392,28 @@ def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id:
     return read_documents(spark.read.schema("shard int, part int, n_ids long, image binary").parquet(out_dir))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with _rid, which ascends in the order of their files' parts and of the rows in them.
+
+    A frame that isn't read from files is taken in the order of doc_id.
+    """
+    files = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()}, key=lambda f: (int(m[1]) if (m := re.match(r"part-(\d+)", f)) else -1, f))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return with_row_ids(docs, docs.columns)
+    numbers = docs.sparkSession.createDataFrame([(f, n) for n, f in enumerate(files)], "_name string, _number long")
+    joined = placed.join(F.broadcast(numbers), F.url_decode("_file") == F.url_decode("_name"))
+    return joined.withColumn("_rid", F.shiftleft("_number", 40) + F.col("_row")).drop("_file", "_row", "_name", "_number")
+
+
+def output_of(rows: DataFrame, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 for ``rows`` (doc_id, text, _rid) in the order of _rid."""
+    read = token_output(rows.select("_rid", "text"), path)
+    ids = rows.select("doc_id", F.col("_rid").alias("_r"))
+    return ids.join(read, F.col("_r") == F.col("_rid")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -392,9 +421,4 @@ def default_path() -> str:
 
 
 def op7_context_mixing_tokens(spark, sf_dir: str) -> DataFrame:
-    rows = with_row_ids(documents(spark, sf_dir), ["doc_id", "text"])
-    read = token_output(rows.select("_rid", "text"), default_path())
-    if rows.schema["doc_id"].nullable and dict(rows.dtypes)["doc_id"] != "bigint":
-        read = rows.select("doc_id", F.col("_rid").alias("_r")).join(read, F.col("_r") == F.col("_rid")).drop("_r")
-        return read.select("doc_id", "start", "n_tokens", "ids_crc32")
-    return read.select(F.col("_rid").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return output_of(with_row_ids(documents(spark, sf_dir), ["doc_id", "text"]), default_path())
