@@ -2,5 +2,238 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..diagnostics import lm, posterior
+from ..operators import gram as g
+from ..operators import lags, weights
+from ..sources import tables
+from .spatial_sql import SQL
+
+
+def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def _edges(make):
+    return lambda spark, d: rounded(make(spark, d).select("focal", "neighbor", "w"), ["w"])
+
+
+def _points(spark, d):
+    return tables.nation_units(spark, d).withColumns({"px": F.col("x1"), "py": F.col("y") / 100})
+
+
+def region(spark, d):
+    return weights.same_group(tables.nation_units(spark, d), "region")
+
+
+def grid(spark, d=None):
+    return weights.lattice(spark, 5)
+
+
+def knn(spark, d):
+    return weights.k_nearest(_points(spark, d), 3)
+
+
+def band(spark, d):
+    return weights.distance_band(_points(spark, d), 4.0)
+
+
+def _lagged(graph, columns, out, **how):
+    return lambda spark, d: rounded(lags.spatial_lag(tables.nation_units(spark, d), graph(spark, d), columns, **how).select("unit_id", *out), out)
+
+
+def lag_y(spark, d):
+    return rounded(lags.spatial_lag(tables.nation_units(spark, d), weights.ring(spark, 25), ["y"]).select("unit_id", "y", "W_y"), ["y", "W_y"])
+
+
+def lag_twice(spark, d):
+    once = lags.spatial_lag(tables.nation_units(spark, d), grid(spark), ["y"])
+    return rounded(lags.spatial_lag(once, grid(spark), ["W_y"]).select("unit_id", "W_y", "W_W_y"), ["W_y", "W_W_y"])
+
+
+def lag_panel(spark, d):
+    return rounded(lags.panel_lag(tables.nation_years(spark, d), grid(spark), ["y"]).select("unit", "time", "W_y"), ["W_y"])
+
+
+def lag_panel_time_demeaned(spark, d):
+    lagged = lags.panel_lag(tables.nation_years(spark, d), grid(spark), ["y"])
+    return rounded(lags.within(lagged, ["W_y"], "time").select("unit", "time", "D_W_y"), ["D_W_y"])
+
+
+def _dense(spark, d):
+    return tables.dense_flows(tables.nation_flows(spark, d), tables.nation_units(spark, d))
+
+
+def flow_lags(spark, d):
+    out = ["Wd_y", "Wo_y", "Ww_y"]
+    return rounded(lags.flow_lags(_dense(spark, d), grid(spark)).select("origin", "dest", *out), out)
+
+
+def flow_design(spark, d):
+    units = tables.nation_units(spark, d)
+    ids = units.select(F.col("unit_id").alias("origin"))
+    far = ids.crossJoin(ids.withColumnRenamed("origin", "dest")).withColumn("distance", F.abs(F.col("origin") - F.col("dest")).cast("double"))
+    return rounded(lags.flow_design(units, ["x1"], distances=far), ["dest_x1", "orig_x1", "intra_x1", "log_distance"])
+
+
+def flow_design_asymmetric(spark, d):
+    out = lags.flow_design(tables.nation_units(spark, d), ["x1", "x2"], ["x1"])
+    return rounded(out, [c for c in out.columns if c[:5] in ("dest_", "orig_", "intra")  and c != "intra_indicator"])
+
+
+def _within(effects):
+    return lambda spark, d: rounded(lags.within(tables.nation_years(spark, d), ["y", "x1"], effects).select("unit", "time", "D_y", "D_x1"), ["D_y", "D_x1"])
+
+
+def absorbed_columns(spark, d):
+    panel = tables.nation_years(spark, d).withColumn("size", F.col("unit") * 2.0)
+    return lags.absorbed(panel, ["x1", "size"], "unit")
+
+
+def mundlak_means(spark, d):
+    return rounded(lags.mundlak(tables.nation_years(spark, d), ["x1"]).select("unit", "time", "mean_x1"), ["mean_x1"])
+
+
+def dynamic_lag(spark, d):
+    return rounded(lags.time_lag(tables.nation_years(spark, d), ["y"]).select("unit", "time", "y", "L_y"), ["y", "L_y"])
+
+
+def panel_pivot_wide(spark, d):
+    periods = list(range(1995, 2002))
+    return rounded(lags.wide(tables.nation_years(spark, d), "y", periods), [f"y_{t}" for t in periods])
+
+
+def gram(spark, d):
+    units = tables.nation_units(spark, d).withColumn("one", F.lit(1.0))
+    return rounded(g.gram(units, ["one", "x1", "y"]), ["value"], 4)
+
+
+def ols_beta(spark, d):
+    b = g.ols(g.Gram.of(tables.nation_units(spark, d), ["y", "x1"]), "y", ["_one", "x1"])[0]
+    return rounded(spark.createDataFrame([tuple(float(v) for v in b)], "intercept double, x1 double"), ["intercept", "x1"], 4)
+
+
+def ols_sigma2(spark, d):
+    s = g.ols(g.Gram.of(tables.nation_units(spark, d), ["y", "x1"]), "y", ["_one", "x1"])[2]
+    return rounded(spark.createDataFrame([(float(s),)], "sigma2 double"), ["sigma2"], 3)
+
+
+def moran_i(spark, d):
+    units = tables.nation_units(spark, d)
+    centred = units.crossJoin(F.broadcast(units.agg(F.avg("y").alias("m")))).select("unit_id", (F.col("y") - F.col("m")).alias("z"))
+    lagged = lags.spatial_lag(centred, grid(spark), ["z"])
+    return rounded(lagged.agg((F.sum(F.col("z") * F.col("W_z")) / F.sum(F.col("z") * F.col("z"))).alias("moran_i")), ["moran_i"])
+
+
+def lm_battery(spark, d):
+    tests = lm.battery(tables.nation_units(spark, d), grid(spark), "y", ["x1"])
+    return rounded(tests.select("test", "statistic", "df"), ["statistic"])
+
+
+def lm_decision(spark, d):
+    return lm.decide(lm.battery(tables.nation_units(spark, d), grid(spark), "y", ["x1"]))
+
+
+EFFECTS = [f"{a}_{b}" for a in ("direct", "indirect", "total") for b in ("mean", "ci_lower", "ci_upper", "pvalue")]
+
+
+def impacts_slx(spark, d):
+    b = F.col("beta1")
+    return rounded(posterior.effects(tables.demo_draws(spark), {"x1": (b, b + F.col("theta1"))}), EFFECTS)
+
+
+def impacts_sem(spark, d):
+    return rounded(posterior.effects(tables.demo_draws(spark), {"x1": (F.col("beta1"), F.col("beta1"))}), EFFECTS)
+
+
+def ci_percentiles(spark, d):
+    return rounded(tables.demo_draws(spark).agg(posterior.interval("rho").alias("i")).select(F.col("i")[0].alias("lower"), F.col("i")[1].alias("upper")), ["lower", "upper"])
+
+
+def bayes_pvalue(spark, d):
+    return rounded(tables.demo_draws(spark).agg(posterior.pvalue(F.col("beta1")).alias("pvalue")), ["pvalue"])
+
+
+def draw_thinning(spark, d):
+    return rounded(posterior.thinned(tables.demo_draws(spark), 5).select("chain", "draw", "rho"), ["rho"])
+
+
+def posterior_summary(spark, d):
+    long = posterior.long_draws(tables.demo_draws(spark), ["rho", "beta0", "beta1", "theta1", "sigma"])
+    return rounded(posterior.summary(long), ["mean", "sd", "lower", "upper"])
+
+
+def activation_probability(spark, d):
+    # The draws of a fit are bounded by their number, not by the data: they may be broadcast.
+    draws = F.broadcast(tables.demo_draws(spark).select("beta0", "beta1"))
+    eta = F.col("beta0") + F.col("beta1") * F.col("x1") / 100
+    return rounded(tables.nation_units(spark, d).crossJoin(draws).groupBy("unit_id").agg(F.avg(1 / (1 + F.exp(-eta))).alias("probability")), ["probability"])
+
+
+def predict_in_sample(spark, d):
+    out = posterior.predict_in_sample(tables.nation_units(spark, d), knn(spark, d), "y", 4000.0 + 10.0 * F.col("x1"), 0.4)
+    return rounded(out, ["y_bp"], 4)
+
+
+def _trace(make, graph=grid):
+    return lambda spark, d: rounded(make(graph(spark, d)), ["trace"])
+
+
+QUERIES = {
+    "w_ring": _edges(lambda spark, d: weights.ring(spark, 25)),
+    "w_region": _edges(region),
+    "w_grid_rook": _edges(grid),
+    "w_grid_queen": _edges(lambda spark, d: weights.lattice(spark, 5, contiguity="queen")),
+    "w_knn": _edges(knn),
+    "w_band": _edges(band),
+    "w_row_sums": lambda spark, d: rounded(weights.row_sums(band(spark, d), tables.nation_units(spark, d)), ["row_sum"]),
+    "w_isolates": lambda spark, d: weights.isolates(band(spark, d), tables.nation_units(spark, d)),
+    "w_is_row_std": lambda spark, d: weights.is_row_standardized(grid(spark), tables.nation_units(spark, d)),
+    "w_symmetrized": _edges(lambda spark, d: weights.symmetrized(knn(spark, d))),
+    "w_asymmetry": lambda spark, d: rounded(weights.asymmetry(knn(spark, d)), ["asymmetry"]),
+    "w_fillin_ratio": lambda spark, d: rounded(weights.fill_ratio(grid(spark)), ["fill_ratio"]),
+    "w_trace_w2": _trace(lambda e: weights.trace_power(e, 2)),
+    "w_trace_w3": _trace(lambda e: weights.trace_power(e, 3), region),
+    "w_trace_w4": _trace(lambda e: weights.trace_power(e, 4)),
+    "w_trace_w6": _trace(lambda e: weights.trace_power(e, 6)),
+    "w_trace_wtw": _trace(weights.trace_gram),
+    "w_trace_information": _trace(weights.trace_information),
+    "lag_y": lag_y,
+    "lag_x_multi": _lagged(grid, ["y", "x1", "x2"], ["W_y", "W_x1", "W_x2"]),
+    "lag_transpose": _lagged(knn, ["y"], ["W_y"], transpose=True),
+    "lag_twice": lag_twice,
+    "lag_isolates_zero": _lagged(band, ["y"], ["W_y"]),
+    "lag_panel": lag_panel,
+    "lag_panel_time_demeaned": lag_panel_time_demeaned,
+    "flow_table": tables.nation_flows,
+    "flow_dense_zero_fill": _dense,
+    "flow_lags": flow_lags,
+    "flow_design": flow_design,
+    "flow_design_asymmetric": flow_design_asymmetric,
+    "within_unit": _within("unit"),
+    "within_time": _within("time"),
+    "within_two_way": _within("two_way"),
+    "absorbed_columns": absorbed_columns,
+    "mundlak_means": mundlak_means,
+    "dynamic_lag": dynamic_lag,
+    "panel_balance_check": lambda spark, d: tables.panel_is_balanced(tables.nation_years(spark, d)),
+    "panel_dense_user_days": lambda spark, d: tables.dense_panel(tables.user_days(spark, d), ["y"]),
+    "panel_pivot_wide": panel_pivot_wide,
+    "gram": gram,
+    "ols_beta": ols_beta,
+    "ols_sigma2": ols_sigma2,
+    "moran_i": moran_i,
+    "lm_battery": lm_battery,
+    "lm_decision": lm_decision,
+    "impacts_slx": impacts_slx,
+    "impacts_sem": impacts_sem,
+    "ci_percentiles": ci_percentiles,
+    "bayes_pvalue": bayes_pvalue,
+    "draw_thinning": draw_thinning,
+    "posterior_summary": posterior_summary,
+    "activation_probability": activation_probability,
+    "predict_in_sample": predict_in_sample,
+}
+ORACLES = dict(SQL)
