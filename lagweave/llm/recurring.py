@@ -157,20 +157,27 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
             best: dict[bytes, tuple] = {}
             gone: list[tuple] = []
 
-            def meet(key, piece, rid, first, n, best=best, gone=gone):
+            def mark(rid, first, n, gone=gone):
+                """Runs that follow each other in a document become one."""
+                if gone and gone[-1][0] == rid and gone[-1][1] + gone[-1][2] == first:
+                    gone[-1] = (rid, gone[-1][1], gone[-1][2] + n)
+                else:
+                    gone.append((rid, first, n))
+
+            def meet(key, piece, rid, first, n, best=best, mark=mark):
                 new, old = (rid, first, n, key), best.get(piece)
                 if old is None:
                     best[piece] = new
                 elif new[:2] < old[:2]:
                     best[piece] = new
-                    gone.append(old)
+                    mark(*old[:3])
                 else:
-                    gone.append(new)
+                    mark(rid, first, n)
 
             for rid, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 body = encoded(t)
                 where = shape.units(body)[1]
-                for r in found:
+                for r in sorted(found, key=lambda r: r["first"]):
                     if r["hot"]:
                         for at in range(r["first"], r["first"] + r["n"]):
                             piece = shape.cut_out(body, where, at, 1)
@@ -182,7 +189,7 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
 
     def packed(best, gone) -> Iterator[pa.RecordBatch]:
         if gone:
-            rid, first, n, _ = zip(*gone, strict=True)
+            rid, first, n = zip(*gone, strict=True)
             key = spread(np.array(rid, np.int64) * 31 + np.array(first))
             yield batch(key, pa.nulls(len(gone), pa.binary()), rid, first, n)
         pieces = list(best)
@@ -255,9 +262,11 @@ def marked_runs(rows: DataFrame, shape: Shape, resolve: Callable, text: str = "t
     again = cut(anchor_counts(rows, shape, text))
     release(spark)
     runs = cut(candidate_runs(rows, again, shape, text, hot))
+    del again
     release(spark)
     found = marks(segments(rows, runs, shape, text), resolve, shard_bytes)
     out = cut(found.groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("runs")))
+    del found, runs
     release(spark)
     return out
 
