@@ -33,7 +33,7 @@ def digamma(x) -> np.ndarray:
 
 
 def ndtr(x) -> np.ndarray:
-    return 0.5 * _erfc(-np.asarray(x, float) / math.sqrt(2)).astype(float)
+    return 0.5 * np.asarray(_erfc(-np.asarray(x, float) / math.sqrt(2)), float)
 
 
 def log_ndtr(x) -> np.ndarray:
