@@ -33,6 +33,8 @@ from .common import cut, release
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Window starts handled at once; positions inside take the low bits of a sort key.
 STRETCH, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
+#: Bytes of documents whose single windows are compared at once.
+HELD = 1 << 20
 BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -174,9 +176,16 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
                 else:
                     mark(rid, first, n)
 
+            bytewise: list[tuple] = []
             for rid, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 body = encoded(t)
                 where = shape.units(body)[1]
+                if where is None and any(r["hot"] for r in found):
+                    bytewise.append((rid, body, [(r["first"], r["n"]) for r in found if r["hot"]]))
+                    found = [r for r in found if not r["hot"]]
+                    if sum(len(x[1]) for x in bytewise) > HELD:
+                        single(bytewise, meet, gone)
+                        bytewise = []
                 for r in sorted(found, key=lambda r: r["first"]):
                     if r["hot"]:
                         for at in range(r["first"], r["first"] + r["n"]):
@@ -184,8 +193,39 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
                             meet(xxhash.xxh64_intdigest(piece) - (1 << 63), piece, rid, at, 1)
                     else:
                         meet(r["h"], shape.cut_out(body, where, r["first"], r["n"]), rid, r["first"], r["n"])
-            for part in packed(best, gone):
-                yield part
+            single(bytewise, meet, gone)
+            yield from packed(best, gone)
+
+    def single(held, meet, gone) -> None:
+        """Single windows of some documents at once: one of each kind goes on, others are marked."""
+        if not held:
+            return
+        buffer = np.frombuffer(b"".join(x[1] for x in held), np.uint8)
+        base = np.cumsum([0, *[len(x[1]) for x in held]])
+        first = np.concatenate([np.arange(f, f + n) for x in held for f, n in x[2]])
+        owner = np.repeat(np.arange(len(held)), [sum(n for _, n in x[2]) for x in held])
+        rid, at = np.array([x[0] for x in held], np.int64)[owner], base[owner] + first
+        names, k = BYTE[buffer], 1
+        with np.errstate(over="ignore"):
+            while 2 * k <= shape.window:
+                names, k = mixed(names[:-k] * MULTIPLIER + names[k:]), 2 * k
+            names = names[at] * MULTIPLIER + names[at + shape.window - k]
+        order = np.lexsort((first, rid, names))
+        rid, first, at, names = rid[order], first[order], at[order], names[order]
+        new = np.r_[True, names[1:] != names[:-1]]
+        chief = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        view = np.lib.stride_tricks.sliding_window_view(buffer, shape.window)
+        for part in np.array_split(np.flatnonzero(~new), len(new) // 50_000 + 1):
+            new[part] = (view[at[part]] != view[at[chief[part]]]).any(1)
+        for i in np.flatnonzero(new).tolist():
+            piece = view[at[i]].tobytes()
+            meet(xxhash.xxh64_intdigest(piece) - (1 << 63), piece, int(rid[i]), int(first[i]), 1)
+        rid, first = rid[~new], first[~new]
+        order = np.lexsort((first, rid))
+        rid, first = rid[order], first[order]
+        if len(rid):
+            start = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (first[1:] != first[:-1] + 1)])
+            gone.extend(zip(rid[start].tolist(), first[start].tolist(), np.diff(np.r_[start, len(rid)]).tolist(), strict=True))
 
     def packed(best, gone) -> Iterator[pa.RecordBatch]:
         if gone:
