@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..diagnostics import lm, posterior
+from ..diagnostics import cv, lm, mcmc, posterior
+from ..models import flows, gaussian, logdet, rowwise
 from ..operators import gram as g
 from ..operators import lags, weights
 from ..sources import tables
@@ -177,6 +178,68 @@ def predict_in_sample(spark, d):
     return rounded(out, ["y_bp"], 4)
 
 
+def _fit(model, **how):
+    """The posterior summary of a model of the nations over the grid."""
+
+    def run(spark, d):
+        return gaussian.fit(model, tables.nation_units(spark, d), grid(spark), "y", ["x1"], draws=200, tune=100, n_chains=2, seed=1, **how).summary()
+
+    return run
+
+
+def _panel_fit(model, effects):
+    def run(spark, d):
+        return gaussian.fit(model, tables.nation_years(spark, d), grid(spark), "y", ["x1"], key="unit", time="time", effects=effects, draws=200, tune=100, n_chains=2, seed=1).summary()
+
+    return run
+
+
+def fit_impacts_sdm(spark, d):
+    return gaussian.fit("SDM", tables.nation_units(spark, d), grid(spark), "y", ["x1"], draws=200, tune=100, n_chains=2, seed=1).impacts()
+
+
+def fit_convergence(spark, d):
+    fit = gaussian.fit("SAR", tables.nation_units(spark, d), grid(spark), "y", ["x1"], draws=200, tune=100, n_chains=2, seed=1)
+    return mcmc.report(posterior.long_draws(fit.draws, fit.parameters()))
+
+
+def fit_spatial_cv(spark, d):
+    units = tables.nation_units(spark, d)
+    folds = units.select("unit_id", F.pmod("unit_id", F.lit(3)).alias("fold"))
+    return cv.spatial_cv("SAR", units, grid(spark), folds, "y", ["x1"], draws=60)
+
+
+def _row_fit(model, outcome, **how):
+    def run(spark, d):
+        units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), outcome.alias("y"))
+        return rowwise.fit(model, units, grid(spark), "y", ["x"], draws=100, tune=50, n_chains=2, seed=1, **how).summary()
+
+    return run
+
+
+def _flow_terms(spark, d):
+    units = tables.nation_units(spark, d)
+    return lags.flow_design(units, ["x1"]).join(_dense(spark, d), ["origin", "dest"]), units, ["intercept", "dest_x1", "orig_x1"]
+
+
+def _flow_fit(model):
+    def run(spark, d):
+        table, units, terms = _flow_terms(spark, d)
+        return flows.fit(model, table, grid(spark), units, terms, draws=60, tune=40, n_chains=2, seed=1).summary()
+
+    return run
+
+
+def flow_lm_tests(spark, d):
+    table, units, terms = _flow_terms(spark, d)
+    return flows.lm_tests(table, grid(spark), units, terms)
+
+
+def log_det_values(spark, d):
+    f = logdet.log_det(tables.nation_units(spark, d), grid(spark), -0.95, 0.95)
+    return spark.createDataFrame([(r / 10, float(f(r / 10)), float(f.slope(r / 10))) for r in range(-9, 10)], "rho double, log_det double, slope double")
+
+
 def _trace(make, graph=grid):
     return lambda spark, d: rounded(make(graph(spark, d)), ["trace"])
 
@@ -235,5 +298,20 @@ QUERIES = {
     "posterior_summary": posterior_summary,
     "activation_probability": activation_probability,
     "predict_in_sample": predict_in_sample,
+    **{f"fit_{m.lower()}": _fit(m) for m in ("OLS", "SLX", "SAR", "SEM", "SDM", "SDEM")},
+    **{f"fit_panel_sar_{e}": _panel_fit("SAR", e) for e in ("pooled", "unit", "time", "two_way")},
+    "fit_panel_sem_unit": _panel_fit("SEM", "unit"),
+    "fit_impacts_sdm": fit_impacts_sdm,
+    "fit_convergence": fit_convergence,
+    "fit_spatial_cv": fit_spatial_cv,
+    "fit_sar_robust": _row_fit("SAR", F.col("y") / 1000, robust=True),
+    "fit_sar_tobit": _row_fit("SARTobit", F.greatest(F.col("y") / 1000, F.lit(4.4)), censoring=4.4),
+    "fit_sar_probit": _row_fit("SARProbit", (F.col("y") > 4500).cast("double")),
+    "fit_sar_logit": _row_fit("SARLogit", (F.col("y") > 4500).cast("double")),
+    "fit_sar_negbin": _row_fit("SARNegBin", F.floor(F.col("y") / 1000).cast("double")),
+    "fit_ols_flow": _flow_fit("OLSFlow"),
+    "fit_sar_flow": _flow_fit("SARFlow"),
+    "flow_lm_tests": flow_lm_tests,
+    "log_det_values": log_det_values,
 }
 ORACLES = dict(SQL)
