@@ -269,7 +269,7 @@ class Encoder:
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
