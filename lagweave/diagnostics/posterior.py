@@ -54,3 +54,33 @@ def predict_in_sample(units: DataFrame, edges: DataFrame, y: str, fit: Column, t
     joined = b.join(own, F.col(key) == F.col("_k"), "left").join(self_loops, F.col(key) == F.col("_s"), "left")
     diagonal = 1 - 2 * theta * F.coalesce("_wii", F.lit(0.0)) + theta * theta * F.coalesce("_ww", F.lit(0.0))
     return joined.select(F.col(key), (F.col(y) - (F.col("_a") - theta * F.col("W__a")) / diagonal).alias("y_bp"))
+
+
+def lag_totals(rho: Column, n: int, isolates: int) -> Column:
+    """Mean row sum of (I - rho W)^-1 for standardized W with isolates, whose rows are those of I."""
+    return ((n - isolates) / (1 - rho) + isolates) / n
+
+
+def log_mean_exp(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, lpd): log of the mean of exp(value) over draws, from the largest value down."""
+    top = draws.groupBy(*keys).agg(F.max(value).alias("_m"))
+    joined = draws.join(top, keys)
+    found = joined.groupBy(*keys).agg((F.first("_m") + F.log(F.avg(F.exp(F.col(value) - F.col("_m"))))).alias("lpd"))
+    return found
+
+
+def bic(draws: DataFrame, log_lik: str, parameters: int, n: int) -> DataFrame:
+    """One row: bic from the largest log-likelihood among draws."""
+    import math
+
+    return draws.agg((parameters * math.log(n) - 2 * F.max(log_lik)).alias("bic"))
+
+
+def negbin_zero(eta: Column, alpha: Column) -> Column:
+    """P(0) of NB2 with mean exp(eta)."""
+    return F.exp(alpha * (F.log(alpha) - F.log(alpha + F.exp(eta))))
+
+
+def pg_weight(shape: Column, psi: Column) -> Column:
+    """Mean of PG(shape, psi)."""
+    return F.when(F.abs(psi) < 1e-6, shape / 4).otherwise(shape * F.tanh(psi / 2) / (2 * psi))

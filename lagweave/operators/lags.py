@@ -93,3 +93,41 @@ def flow_design(units: DataFrame, columns: list[str], origin_columns: list[str]
         return out
     d = F.log1p("distance").alias("log_distance") if log_distance else F.col("distance").alias("dist")
     return out.join(distances, ["origin", "dest"]).select(*out.columns, d)
+
+
+def flow_weights(edges: DataFrame, units: DataFrame, kind: str, key: str = "unit_id") -> DataFrame:
+    """(origin, dest, origin_to, dest_to, w): I x W ("destination"), W x I ("origin") or W x W ("network").
+
+    For inspection; lags never form these.
+    """
+    same = units.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("v"))
+    graph = edges.select(F.col("focal").alias("a"), F.col("neighbor").alias("b"), F.col("w").alias("v"))
+    o, d = {"destination": (same, graph), "origin": (graph, same), "network": (graph, graph)}[kind]
+    o, d = o.toDF("origin", "origin_to", "_x"), d.toDF("dest", "dest_to", "_y")
+    return o.crossJoin(d).select("origin", "dest", "origin_to", "dest_to", (F.col("_x") * F.col("_y")).alias("w"))
+
+
+def live_cells(flows: DataFrame, column: str = "y", levels: tuple[str, ...] = ("origin", "dest")) -> DataFrame:
+    """Cells of levels that have any count."""
+    for level in levels:
+        some = flows.groupBy(level).agg(F.sum(column).alias("_s")).filter("_s > 0").select(level)
+        flows = flows.join(some, level, "left_semi")
+    return flows
+
+
+def left_censor(df: DataFrame, column: str, at: float) -> DataFrame:
+    """``column`` at ``at`` at least, and whether it was censored."""
+    return df.withColumns({column: F.greatest(F.col(column), F.lit(at)), "censored": F.col(column) <= at})
+
+
+def nesting(df: DataFrame, child: str, parent: str) -> DataFrame:
+    """(child, parent) of a strict nesting; raises where a child has several parents."""
+    found = df.groupBy(child).agg(F.count_distinct(parent).alias("_n"), F.min(parent).alias(parent))
+    if not found.filter("_n <> 1").isEmpty():
+        raise ValueError(f"{child} is not nested in {parent}")
+    return found.select(child, parent)
+
+
+def are_counts(df: DataFrame, column: str) -> DataFrame:
+    """One row: whether all values are whole and not negative."""
+    return df.agg(F.bool_and((F.col(column) >= 0) & (F.col(column) == F.floor(column))).alias("counts"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..diagnostics import cv, lm, mcmc, posterior
-from ..models import flows, gaussian, logdet, rowwise
+from ..models import flows, gaussian, logdet, random_effects, rowwise
 from ..operators import gram as g
 from ..operators import lags, weights
 from ..sources import tables
@@ -178,6 +178,37 @@ def predict_in_sample(spark, d):
     return rounded(out, ["y_bp"], 4)
 
 
+def _flow_weights(kind):
+    return lambda spark, d: rounded(lags.flow_weights(weights.ring(spark, 25), tables.nation_units(spark, d), kind), ["w"])
+
+
+def impacts_isolates(spark, d):
+    units, graph = tables.nation_units(spark, d), band(spark, d)
+    alone = weights.isolates(graph, units).count()
+    total = posterior.lag_totals(F.col("rho"), units.count(), alone) * F.col("beta1")
+    return rounded(tables.demo_draws(spark).agg(F.avg(total).alias("total_mean")), ["total_mean"])
+
+
+def _pointwise(spark, d):
+    units = tables.nation_units(spark, d).select("unit_id", (F.col("y") / 1000).alias("y"))
+    e = (F.col("y") - F.col("beta0") - 3) / F.col("sigma")
+    return units.crossJoin(F.broadcast(tables.demo_draws(spark))).select("unit_id", "chain", "draw", (-0.5 * e * e - F.log("sigma")).alias("ll"))
+
+
+def pointwise_lpd(spark, d):
+    return rounded(posterior.log_mean_exp(_pointwise(spark, d), ["unit_id"], "ll"), ["lpd"])
+
+
+def bic_of_draws(spark, d):
+    joint = _pointwise(spark, d).groupBy("chain", "draw").agg(F.sum("ll").alias("ll"))
+    return rounded(posterior.bic(joint, "ll", 2, 25), ["bic"], 4)
+
+
+def scalar_functions(spark, d):
+    k = F.col("id") / 10.0
+    return rounded(spark.range(-40, 41).select("id", posterior.negbin_zero(k, F.lit(2.0)).alias("p0"), posterior.pg_weight(F.lit(3.0), k).alias("pg"), (1 / (1 + F.exp(-k))).alias("logistic"), F.log1p(F.abs(k)).alias("log1p")), ["p0", "pg", "logistic", "log1p"])
+
+
 def _fit(model, **how):
     """The posterior summary of a model of the nations over the grid."""
 
@@ -298,6 +329,19 @@ QUERIES = {
     "posterior_summary": posterior_summary,
     "activation_probability": activation_probability,
     "predict_in_sample": predict_in_sample,
+    "flow_weights_destination": _flow_weights("destination"),
+    "flow_weights_origin": _flow_weights("origin"),
+    "flow_weights_network": _flow_weights("network"),
+    "flow_live_cells": lambda spark, d: lags.live_cells(_dense(spark, d)),
+    "left_censor": lambda spark, d: rounded(lags.left_censor(tables.nation_units(spark, d).select("unit_id", "y"), "y", 4500.0), ["y"]),
+    "level_nesting": lambda spark, d: lags.nesting(tables.nation_units(spark, d), "unit_id", "region"),
+    "counts_check": lambda spark, d: lags.are_counts(tables.nation_units(spark, d), "x1"),
+    "unit_sums": lambda spark, d: rounded(tables.nation_years(spark, d).groupBy("unit").agg(F.sum("y").alias("y")), ["y"]),
+    "impacts_isolates": impacts_isolates,
+    "pointwise_lpd": pointwise_lpd,
+    "bic_of_draws": bic_of_draws,
+    "scalar_functions": scalar_functions,
+    "fit_panel_sar_random": lambda spark, d: posterior.summary(posterior.long_draws(random_effects.fit("SAR", tables.nation_years(spark, d), grid(spark), "y", ["x1"], draws=150, tune=100, n_chains=2, seed=1), ["rho", "sigma", "sigma_alpha", "_one", "x1"])),
     **{f"fit_{m.lower()}": _fit(m) for m in ("OLS", "SLX", "SAR", "SEM", "SDM", "SDEM")},
     **{f"fit_panel_sar_{e}": _panel_fit("SAR", e) for e in ("pooled", "unit", "time", "two_way")},
     "fit_panel_sem_unit": _panel_fit("SEM", "unit"),

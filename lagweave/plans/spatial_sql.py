@@ -136,3 +136,21 @@ SQL = {
     "t AS (SELECT a.unit_id, a.a - 0.4 * coalesce(sum(e.w * b.a), 0) AS lr FROM a LEFT JOIN knn e ON e.neighbor = a.unit_id LEFT JOIN a b ON b.unit_id = e.focal GROUP BY a.unit_id, a.a), d AS (SELECT u.unit_id, 1 + 0.16 * coalesce(sum(e.w * e.w), 0) AS d FROM units u LEFT JOIN knn e ON e.neighbor = u.unit_id GROUP BY 1) "
     f"SELECT unit_id, {r('y - lr / d', 'y_bp', 4)} FROM units JOIN t USING (unit_id) JOIN d USING (unit_id)",
 }
+
+KRON = f"WITH {UNITS}, {RING}, same AS (SELECT unit_id AS focal, unit_id AS neighbor, CAST(1 AS DOUBLE) AS w FROM units)"
+POINT = f"p AS (SELECT unit_id, chain, draw, -0.5 * pow((y / 1000 - beta0 - 3) / sigma, 2) - ln(sigma) AS ll FROM units CROSS JOIN draws)"
+SQL |= {
+    **{
+        f"flow_weights_{kind}": f"{KRON} SELECT CAST(o.focal AS BIGINT) AS origin, CAST(d.focal AS BIGINT) AS dest, CAST(o.neighbor AS BIGINT) AS origin_to, CAST(d.neighbor AS BIGINT) AS dest_to, {r('o.w * d.w', 'w')} FROM {o} o CROSS JOIN {d} d"
+        for kind, o, d in (("destination", "same", "ring"), ("origin", "ring", "same"), ("network", "ring", "ring"))
+    },
+    "flow_live_cells": f"WITH {UNITS}, {FLOWS} SELECT origin, dest, y FROM flows WHERE origin IN (SELECT origin FROM flows GROUP BY 1 HAVING sum(y) > 0) AND dest IN (SELECT dest FROM flows GROUP BY 1 HAVING sum(y) > 0)",
+    "left_censor": f"WITH {UNITS} SELECT unit_id, {r('greatest(y, 4500)', 'y')}, y <= 4500 AS censored FROM units",
+    "level_nesting": f"WITH {UNITS} SELECT unit_id, region FROM units",
+    "counts_check": f"WITH {UNITS} SELECT bool_and(x1 >= 0 AND x1 = floor(x1)) AS counts FROM units",
+    "unit_sums": f"WITH {PANEL} SELECT unit, {r('sum(y)', 'y')} FROM panel GROUP BY 1",
+    "impacts_isolates": f"WITH {UNITS}, {BAND}, {DRAWS}, m AS (SELECT count(*) AS m FROM units WHERE unit_id NOT IN (SELECT focal FROM band)) SELECT {r('avg(((25 - m) / (1 - rho) + m) / 25 * beta1)', 'total_mean')} FROM draws, m",
+    "pointwise_lpd": f"WITH {UNITS}, {DRAWS}, {POINT} SELECT unit_id, {r('ln(avg(exp(ll)))', 'lpd')} FROM p GROUP BY 1",
+    "bic_of_draws": f"WITH {UNITS}, {DRAWS}, {POINT} SELECT {r('2 * ln(25) - 2 * max(ll)', 'bic', 4)} FROM (SELECT chain, draw, sum(ll) AS ll FROM p GROUP BY 1, 2)",
+    "scalar_functions": f"SELECT id, {r('exp(2 * (ln(2) - ln(2 + exp(k))))', 'p0')}, {r('CASE WHEN id = 0 THEN 0.75 ELSE 3 * (exp(k) - 1) / (exp(k) + 1) / (2 * k) END', 'pg')}, {r('1 / (1 + exp(-k))', 'logistic')}, {r('ln(1 + abs(k))', 'log1p')} FROM (SELECT id, CAST(id AS DOUBLE) / 10 AS k FROM (SELECT CAST(unnest(range(-40, 41)) AS BIGINT) AS id))",
+}
