@@ -22,11 +22,16 @@ LAGS = ["Wd", "Wo", "Ww"]
 
 @dataclass
 class FlowKernel:
-    """Cross-products of [y, Wd y, Wo y, Ww y] and X; ``separable`` ties rho_w to -rho_d rho_o."""
+    """Cross-products of y, X and their lags by Wd, Wo and Ww; ``separable`` ties rho_w to -rho_d rho_o.
+
+    yy[m, n] is the product of lags m and n of y, xy[m, n] that of lag m of X and n of y, and so on;
+    an error process filters X as well.
+    """
 
     yy: np.ndarray
     xy: np.ndarray
     xx: np.ndarray
+    error: bool
     n: int
     eigenvalues: np.ndarray
     precision: np.ndarray
@@ -40,23 +45,31 @@ class FlowKernel:
     def coefficients(self, r: np.ndarray) -> np.ndarray:
         return np.array([1.0, -r[0], -r[1], r[0] * r[1] if self.separable else -r[2]])
 
+    def parts(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.error:
+            return np.einsum("m,n,mnij->ij", c, c, self.xx), np.einsum("m,n,mni->i", c, c, self.xy)
+        return self.xx[0, 0], c @ self.xy[0]
+
     def log_density(self, r: np.ndarray, s2: float) -> float:
         if not self.separable and np.abs(r).sum() >= 1:
             return -np.inf
         c = self.coefficients(r)
-        p = self.xx / s2 + np.diag(self.precision)
-        b = self.xy @ c / s2 + self.precision * self.mean
+        zz, zy = self.parts(c)
+        p = zz / s2 + np.diag(self.precision)
+        b = zy / s2 + self.precision * self.mean
         low = np.linalg.cholesky(p)
         u = np.linalg.solve(low, b)
         return self.times * flow_log_det(self.eigenvalues, r[0], r[1], -c[3]) - c @ self.yy @ c / (2 * s2) - np.log(np.diag(low)).sum() + 0.5 * u @ u
 
     def run(self, draws: int, tune: int, seed: int) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        r, beta = np.zeros(3), np.linalg.solve(self.xx + 1e-9 * np.eye(len(self.xx)), self.xy[:, 0])
+        r, k = np.zeros(3), self.xx.shape[-1]
+        beta = np.linalg.solve(self.xx[0, 0] + 1e-9 * np.eye(k), self.xy[0, 0])
         out = np.empty((draws, 4 + len(beta)))
         for i in range(tune + draws):
             c = self.coefficients(r)
-            rss = max(c @ self.yy @ c - 2 * beta @ self.xy @ c + beta @ self.xx @ beta, 1e-12)
+            zz, zy = self.parts(c)
+            rss = max(c @ self.yy @ c - 2 * beta @ zy + beta @ zz @ beta, 1e-12)
             s2 = (self.scale + rss / 2) / rng.gamma(self.shape + self.n / 2)
             for k in range(2 if self.separable else 3) if self.spatial else ():
 
@@ -68,8 +81,9 @@ class FlowKernel:
                 r = r.copy()
                 r[k] = slice_sample(along, r[k], -0.999, 0.999, 0.2, rng)
             c = self.coefficients(r)
-            low = np.linalg.cholesky(self.xx / s2 + np.diag(self.precision))
-            m = np.linalg.solve(low.T, np.linalg.solve(low, self.xy @ c / s2 + self.precision * self.mean))
+            zz, zy = self.parts(c)
+            low = np.linalg.cholesky(zz / s2 + np.diag(self.precision))
+            m = np.linalg.solve(low.T, np.linalg.solve(low, zy / s2 + self.precision * self.mean))
             beta = m + np.linalg.solve(low.T, rng.standard_normal(len(m)))
             if i >= tune:
                 out[i - tune] = [r[0], r[1], -c[3], np.sqrt(s2), *beta]
@@ -136,13 +150,17 @@ class FlowFit:
 
 
 def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[str], y: str = "y", key: str = "unit_id", separable: bool = True, priors=None, draws: int = 1000, tune: int = 500, n_chains: int = 4, seed: int = 0) -> FlowFit:
-    """OLSFlow or SARFlow over (origin, dest, y, terms); all pairs of units must be there."""
-    if model not in ("OLSFlow", "SARFlow"):
+    """OLSFlow, SARFlow or SEMFlow over (origin, dest, y, terms); all pairs of units must be there."""
+    if model not in ("OLSFlow", "SARFlow", "SEMFlow"):
         raise ValueError(f"unknown flow model {model!r}")
     priors = Priors.of(priors)
+    error = model == "SEMFlow"
     lagged = flow_lags(flows, edges, y)
+    for t in terms if error else ():
+        lagged = flow_lags(lagged, edges, t)
     ys = [y, *[f"{k}_{y}" for k in LAGS]]
-    g = Gram.of(lagged, [*ys, *[t for t in terms]])
+    xs = [terms, *([[f"{k}_{t}" for t in terms] for k in LAGS] if error else [])]
+    g = Gram.of(lagged, [*ys, *[c for part in xs for c in part]])
     ids = index_of(units, key)
     if g.n % len(ids) ** 2:
         raise ValueError("flows must hold every pair of units")
@@ -153,9 +171,11 @@ def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms:
     mx = g.get(terms, ["_one"])[:, 0] / g.n
     var_x = np.diag(xx) / g.n - mx**2
     sd = np.where(var_x > 1e-12, 2.5 * np.sqrt(var_y / np.maximum(var_x, 1e-12)), 2.5 * (np.sqrt(var_y) + abs(mean_y)))
-    kernel = FlowKernel(g.get(ys, ys), g.get(terms, ys), xx, g.n, np.linalg.eigvals(w), 1 / sd**2, priors.beta_mean, priors.sigma_shape, priors.sigma_scale or var_y, separable, model == "SARFlow", g.n / len(ids) ** 2)
+    kernel = FlowKernel(g.get(ys, ys), np.array([g.get(x, ys).T for x in xs]), np.array([[g.get(a, b) for b in xs] for a in xs]), error, g.n, np.linalg.eigvals(w), 1 / sd**2, priors.beta_mean, priors.sigma_shape, priors.sigma_scale or var_y, separable, model != "OLSFlow", g.n / len(ids) ** 2)
     out = chains(flows.sparkSession, kernel, ["rho_d", "rho_o", "rho_w", "sigma", *terms], draws, tune, n_chains, seed)
-    return FlowFit(out if model == "SARFlow" else out.drop("rho_d", "rho_o", "rho_w"), terms, len(ids), w, model == "SARFlow")
+    if error:
+        out = out.withColumnsRenamed({f"rho_{k}": f"lam_{k}" for k in "dow"})
+    return FlowFit(out if model != "OLSFlow" else out.drop("rho_d", "rho_o", "rho_w"), terms, len(ids), w, model == "SARFlow")
 
 
 def lm_tests(flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[str], y: str = "y", key: str = "unit_id") -> DataFrame:

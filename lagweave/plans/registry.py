@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..diagnostics import cv, lm, mcmc, posterior
-from ..models import flows, gaussian, logdet, random_effects, rowwise
+from ..models import flows, gaussian, logdet, random_effects, rowwise, two_part
 from ..operators import gram as g
 from ..operators import lags, weights
 from ..sources import tables
@@ -261,6 +261,22 @@ def _flow_fit(model):
     return run
 
 
+def fit_negbin_flow(spark, d):
+    table, _, terms = _flow_terms(spark, d)
+    rows = table.withColumns({"pair": F.col("origin") * 25 + F.col("dest"), **{t: F.col(t) / 60 - 1 for t in terms[1:]}})
+    none = weights.ring(spark, 2).limit(0)
+    return rowwise.fit("NegBin", rows, none, "y", terms[1:], key="pair", draws=60, tune=40, n_chains=2, seed=1).summary()
+
+
+def _two_part_fit(model):
+    def run(spark, d):
+        units = tables.nation_units(spark, d)
+        counted = units.select("unit_id", F.greatest(F.floor(F.col("y") / 250) - 17, F.lit(0)).cast("double").alias("y"), ((F.col("x1") - 60) / 10).alias("x"))
+        return two_part.fit(model, counted, grid(spark), "y", ["x"], draws=60, tune=40, n_chains=2, seed=1).summary()
+
+    return run
+
+
 def flow_lm_tests(spark, d):
     table, units, terms = _flow_terms(spark, d)
     return flows.lm_tests(table, grid(spark), units, terms)
@@ -355,6 +371,9 @@ QUERIES = {
     "fit_sar_negbin": _row_fit("SARNegBin", F.floor(F.col("y") / 1000).cast("double")),
     "fit_ols_flow": _flow_fit("OLSFlow"),
     "fit_sar_flow": _flow_fit("SARFlow"),
+    "fit_sem_flow": _flow_fit("SEMFlow"),
+    "fit_negbin_flow": fit_negbin_flow,
+    **{f"fit_{m.lower()}": _two_part_fit(m) for m in ("ZINB", "SARZINB", "HurdleNegBin", "SARHurdleNegBin")},
     "flow_lm_tests": flow_lm_tests,
     "log_det_values": log_det_values,
 }
