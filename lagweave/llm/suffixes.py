@@ -4,10 +4,11 @@ A shard's distinct segments are joined, each ended by a separator, and their suf
 by induction: suffixes of type S* are ordered first (their substrings named by one induction, and
 the names ordered by a recursive call), and all others follow from them bucket by bucket. The
 buckets are a monotone priority queue keyed by the first byte; what is pushed is a run of suffix
-tuples (place, common prefix with the tuple before it), kept in memory up to ``memory`` bytes and
-on the worker's disk beyond. Tuples are handled a wave at a time in numpy.
+places, kept in memory up to ``memory`` bytes and on the worker's disk beyond. Places are handled a
+wave at a time in numpy.
 
-Equal windows are neighbours in suffix order; the earliest of each group stays.
+Equal windows are neighbours in suffix order; whether neighbours share ``window`` bytes is compared
+directly, and the earliest of each group stays.
 """
 
 from __future__ import annotations
