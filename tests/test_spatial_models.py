@@ -119,3 +119,46 @@ def test_special_functions():
         assert x.mean() == pytest.approx(float(special.pg_mean(b, z)), rel=0.02)
     y = np.arange(400)
     assert np.exp(special.negbin_logpmf(y, np.log(3.0), 2.0)).sum() == pytest.approx(1)
+
+
+def test_two_part_kernels_recover_parts():
+    from lagweave.models.two_part import TwoPartKernel
+
+    rng = np.random.default_rng(1)
+    n = 600
+    x = rng.standard_normal(n)
+    design = np.c_[np.ones(n), x]
+    eta, on = 0.8 + 0.6 * x, rng.random(n) < 1 / (1 + np.exp(-(0.5 - x)))
+    counts = rng.poisson(np.exp(eta) * rng.gamma(2, 0.5, n))
+    while (zero := counts == 0).any():
+        counts = np.where(zero, rng.poisson(np.exp(eta) * rng.gamma(2, 0.5, n)), counts)
+    found = TwoPartKernel("hurdle", (on * counts).astype(float), design, design, None, Priors()).run(150, 100, 0).mean(0)
+    assert np.allclose(found[3:], [0.8, 0.6, 0.5, -1.0], atol=0.35)
+
+
+def test_random_effects_density_equals_the_dense_one():
+    from lagweave.models.random_effects import RandomKernel
+
+    rng = np.random.default_rng(2)
+    units, periods = 6, 4
+    w = np.kron(np.eye(periods), np.roll(np.eye(units), 1, 1) / 2 + np.roll(np.eye(units), -1, 1) / 2)
+    x = np.c_[np.ones(units * periods), rng.standard_normal(units * periods)]
+    y = rng.standard_normal(units * periods)
+    z = np.c_[y, w @ y, x]
+    means = z.reshape(periods, units, -1).mean(0)
+    total, between = z.T @ z, periods * means.T @ means
+    values = np.linalg.eigvals(w[:units, :units])
+    jacobian = lambda r: np.log(np.abs(1 - r * values)).sum()
+    k = RandomKernel("lag", ["a", "b"], total - between, between, units, periods, np.zeros(2), np.ones(2), 2.0, 1.0, -1.0, 1.0, jacobian, 2.0)
+
+    def dense(r, s, a):
+        s2, a2 = np.exp(s), np.exp(2 * a)
+        d = np.tile(np.eye(units), (periods, 1))
+        cov = s2 * np.eye(len(y)) + a2 * d @ d.T + x @ x.T
+        e = y - r * w @ y
+        like = periods * jacobian(r) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * e @ np.linalg.solve(cov, e)
+        return like - 2 * s - 1 / s2 + a - np.log1p(a2 / 4)
+
+    points = [(0.1, 0.2, -0.5), (0.4, -0.3, 0.3), (-0.2, 0.5, -1.0)]
+    gaps = [k.log_density(*p) - dense(*p) for p in points]
+    assert np.ptp(gaps) < 1e-8
