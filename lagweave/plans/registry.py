@@ -242,7 +242,7 @@ def fit_spatial_cv(spark, d):
 
 def _row_fit(model, outcome, **how):
     def run(spark, d):
-        units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), outcome.alias("y"))
+        units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), F.expr(outcome).alias("y"))
         return rowwise.fit(model, units, grid(spark), "y", ["x"], draws=100, tune=50, n_chains=2, seed=1, **how).summary()
 
     return run
@@ -364,11 +364,11 @@ QUERIES = {
     "fit_impacts_sdm": fit_impacts_sdm,
     "fit_convergence": fit_convergence,
     "fit_spatial_cv": fit_spatial_cv,
-    "fit_sar_robust": _row_fit("SAR", F.col("y") / 1000, robust=True),
-    "fit_sar_tobit": _row_fit("SARTobit", F.greatest(F.col("y") / 1000, F.lit(4.4)), censoring=4.4),
-    "fit_sar_probit": _row_fit("SARProbit", (F.col("y") > 4500).cast("double")),
-    "fit_sar_logit": _row_fit("SARLogit", (F.col("y") > 4500).cast("double")),
-    "fit_sar_negbin": _row_fit("SARNegBin", F.floor(F.col("y") / 1000).cast("double")),
+    "fit_sar_robust": _row_fit("SAR", "y / 1000", robust=True),
+    "fit_sar_tobit": _row_fit("SARTobit", "greatest(y / 1000, 4.4D)", censoring=4.4),
+    "fit_sar_probit": _row_fit("SARProbit", "CAST(y > 4500 AS DOUBLE)"),
+    "fit_sar_logit": _row_fit("SARLogit", "CAST(y > 4500 AS DOUBLE)"),
+    "fit_sar_negbin": _row_fit("SARNegBin", "CAST(floor(y / 1000) AS DOUBLE)"),
     "fit_ols_flow": _flow_fit("OLSFlow"),
     "fit_sar_flow": _flow_fit("SARFlow"),
     "fit_sem_flow": _flow_fit("SEMFlow"),
