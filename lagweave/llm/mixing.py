@@ -1,74 +1,103 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame operations only).
 
 Each source's documents, in the order of a hash, are cut into blocks of ``block_rows``. One block
-is sent per time slot. Block k of a source with share n of every T slots is released at
-floor(k T / n) and due by ceil((k + 1) T / n); the earliest deadline goes first, so that after
-every slot each source is less than one block from its target. Shares are the target weights in
-T-ths, so the schedule repeats every T slots: one period is computed on the driver from the table
-of sources, and the rows find their places by arithmetic. When a source runs out, the shares of
-the others are scaled up and a new phase begins; no document is dropped or repeated.
+is sent per time slot. Block k of a source with weight w (a fraction of all weights, exactly) is
+released at floor(k / w) and due by ceil((k + 1) / w); the earliest deadline goes first, so that
+after every slot each source is less than one block from its target. The table of blocks is
+scheduled on the driver, and rows find their block's place by a join. When a source runs out, the
+weights of the others are scaled up and a new phase begins; no document is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dense_index, documents
 
+#: Up to so many blocks their table is broadcast; a longer one is joined by its keys.
+BROADCAST_BLOCKS = 1 << 20
 
-def period_shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Whole shares of ``slots`` by largest remainders, one at least for each source."""
-    total, free = sum(weights.values()), slots - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    short = slots - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:short]:
-        shares[s] += 1
-    return shares
 
+def exact_shares(weights: Mapping[str, float], least: int) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights, each ``least`` or more."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    shares = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*shares.values())
+    times = -(-least * common // min(shares.values()))
+    return {s: n // common * times for s, n in shares.items()}
 
-def edf_period(shares: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period, earliest deadline first among released blocks."""
+
+def edf_phase(shares: Mapping[str, int], left: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source until one has sent all its blocks, earliest deadline first among released ones."""
     total = sum(shares.values())
     waiting = [(0, s, 0) for s in sorted(shares)]
-    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out: dict[str, list[int]] = {s: [] for s in shares}
-    for now in range(total):
+    now = 0
+    while True:
         while waiting and waiting[0][0] <= now:
             _, s, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // shares[s]), s, k))
         _, s, k = heapq.heappop(ready)
         out[s].append(now)
-        if k + 1 < shares[s]:
-            heapq.heappush(waiting, ((k + 1) * total // shares[s], s, k + 1))
-    return out
+        if k + 1 == left[s]:
+            return out
+        heapq.heappush(waiting, ((k + 1) * total // shares[s], s, k + 1))
+        now += 1
+
 
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int = 0) -> dict[str, list[dict]]:
+    """For each source its phases: first block, base slot, share, period, slots of its blocks in the phase.
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], slots: int) -> dict[str, list[dict]]:
-    """For each source its phases: first block, base slot, share, period, slots in the period."""
+    share / period is the exact target. Sources of weight 0 follow when the others are sent.
+    ``slots``, once the length of a period, has no effect: targets are not rounded to slots.
+    """
     left, done, base = dict(blocks), dict.fromkeys(blocks, 0), 0
     plan: dict[str, list[dict]] = {s: [] for s in blocks}
     while left:
-        shares = period_shares({s: weights[s] for s in left}, max(slots, 2 * len(left)) if len(left) > 1 else 1)
-        places, period = edf_period(shares), sum(shares.values())
-        ends = {s: (n - 1) // shares[s] * period + places[s][(n - 1) % shares[s]] + 1 for s, n in left.items()}
-        end = min(ends.values())
-        for s in list(left):
-            plan[s].append({"first": done[s], "base": base, "share": shares[s], "period": period, "places": places[s]})
-            sent = end // period * shares[s] + sum(p < end % period for p in places[s])
-            done[s] += sent
-            left[s] -= sent
+        live = {s: weights[s] for s in left if weights[s] > 0} or dict.fromkeys(left, 1)
+        shares = exact_shares(live, max(left[s] for s in live))
+        period, places = sum(shares.values()), edf_phase(shares, left)
+        for s, taken in places.items():
+            plan[s].append({"first": done[s], "base": base, "share": shares[s], "period": period, "places": taken})
+            done[s] += len(taken)
+            left[s] -= len(taken)
             if not left[s]:
                 del left[s]
-        base += end
+        base += sum(map(len, places.values()))
     return plan
 
 
+def block_table(plan: Mapping[str, list[dict]], rows: Mapping[str, int], block_rows: int) -> pa.Table:
+    """_s, _b (source, block), phase, slot, release, deadline and _start, the position of the block's first row."""
+    out: dict[str, list] = {c: [] for c in ("_s", "_b", "phase", "slot", "release", "deadline")}
+    for s, phases in plan.items():
+        for n, p in enumerate(phases):
+            share, period, base = p["share"], p["period"], p["base"]
+            for k, place in enumerate(p["places"]):
+                out["slot"].append(base + place)
+                out["release"].append(base + k * period // share)
+                out["deadline"].append(base - (-(k + 1) * period // share))
+            out["_s"].extend([s] * len(p["places"]))
+            out["_b"].extend(range(p["first"], p["first"] + len(p["places"])))
+            out["phase"].extend([n] * len(p["places"]))
+    start = [0] * (len(out["slot"]) + 1)
+    for s, b, slot in zip(out["_s"], out["_b"], out["slot"], strict=True):
+        start[slot + 1] = min(block_rows, rows[s] - b * block_rows)
+    for slot in range(len(out["slot"])):
+        start[slot + 1] += start[slot]
+    out["_start"] = [start[slot] for slot in out["slot"]]
+    return pa.table({c: pa.array(v, pa.string() if c == "_s" else pa.int64()) for c, v in out.items()})
+
+
 def source_key(source: str = "source") -> Column:
     """The source as a string that is never null: a mark, and the value where there is one."""
     return F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
@@ -85,7 +114,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     ``weights`` gives target weights by source; without it they are the sources' row counts to the
     power ``temperature``; a source that ``weights`` lacks takes the smallest weight given. Rows
     with a null source are a source of their own. The table of sources (not of rows) is read by the
-    driver. Repeated rows, and null or equal keys, keep a place each. An empty table gives an
+    driver, which schedules the table of blocks. ``slots`` has no effect. Repeated rows, and null or equal keys, keep a place each. An empty table gives an
     empty result.
     """
     kept = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ADDED]
@@ -94,32 +123,15 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     least = min(weights.values()) if weights else 0
     target = {s: (weights.get(s[1:], least) if weights else n**temperature) for s, n in counts.items()}
     plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, target, slots)
+    places = block_table(plan, counts, block_rows)
+    table = docs.sparkSession.createDataFrame(places)
+    if places.num_rows <= BROADCAST_BLOCKS:
+        table = F.broadcast(table)
 
     index = dense_index(keyed, "_source", F.xxhash64(F.lit("mix"), F.col("_key_col")), [F.col("_key_col")], "_index")
-    rows = [(s, [(p["first"], p["base"], p["share"], p["period"], p["places"]) for p in phases]) for s, phases in plan.items()]
-    kind = "s string, phases array<struct<first:bigint,base:bigint,share:bigint,period:bigint,places:array<bigint>>>"
-    table = F.broadcast(docs.sparkSession.createDataFrame(rows, kind).withColumnsRenamed({"s": "_s", "phases": "_phases"}))
-    block = F.floor(F.col("_index") / block_rows)
-    placed = index.withColumn("block", block).join(table, F.col("_source") == F.col("_s"))
-    placed = placed.withColumn("phase", (F.size(F.filter("_phases", lambda p: p["first"] <= F.col("block"))) - 1).cast("long"))
-    placed = placed.withColumn("_p", F.element_at("_phases", F.col("phase").cast("int") + 1))
-    p, k = F.col("_p"), F.col("block") - F.col("_p.first")
-    around = F.floor(k / p["share"])
-    placed = placed.withColumns({
-        "slot": p["base"] + around * p["period"] + F.element_at(p["places"], F.pmod(k, p["share"]).cast("int") + 1),
-        "release": p["base"] + F.floor(k * p["period"] / p["share"]),
-        "deadline": p["base"] + F.ceil((k + 1) * p["period"] / p["share"]),
-    })
-    short = []
-    for s, n in counts.items():
-        if n % block_rows:
-            q, k = plan[s][-1], (n - 1) // block_rows - plan[s][-1]["first"]
-            short.append((q["base"] + k // q["share"] * q["period"] + q["places"][k % q["share"]], block_rows - n % block_rows))
-    missing = F.lit(0).cast("long")
-    if short:
-        gaps = F.array(*[F.struct(F.lit(int(a)).cast("long").alias("at"), F.lit(int(b)).cast("long").alias("rows")) for a, b in sorted(short)])
-        missing = F.aggregate(F.filter(gaps, lambda g: g["at"] < F.col("slot")), F.lit(0).cast("long"), lambda a, g: a + g["rows"])
-    placed = placed.withColumn("position", F.col("slot") * block_rows - missing + F.pmod("_index", F.lit(block_rows)))
+    placed = index.withColumn("block", F.floor(F.col("_index") / block_rows))
+    placed = placed.join(table, (F.col("_source") == F.col("_s")) & (F.col("block") == F.col("_b")))
+    placed = placed.withColumn("position", F.col("_start") + F.pmod("_index", F.lit(block_rows)))
     return placed.select("_doc.*", *ADDED)
 
 
