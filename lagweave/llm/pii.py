@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, documents, let
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?:password|passwd|token|secret|api_key)\s*[=:]\s*\"?[A-Za-z0-9+/_-]{8,}\"?"
+SECRET_NAME = r"(?i:password|passwd|token|secret|api_key)\s*[=:]"
+SECRET = rf"\bAKIA[0-9A-Z]{{16}}\b|\b{SECRET_NAME}\s*\"?[A-Za-z0-9+/_-]{{8,}}\"?"
 CARD = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d.]?\d)"
 PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\)[ ]?|(?<![\d.])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -22,8 +23,8 @@ IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])"
 KINDS = {"email": EMAIL, "secret": SECRET, "ssn": SSN, "date": ISO_DATE, "card": CARD, "phone": PHONE, "ip": IPV4}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Days from 1900-01-01 that dates are permuted among: 270 x 270, up to 2099-08-03.
-EPOCH, DAYS = "1900-01-01", 270
+#: Days from 1900-01-01 to 2099-12-31 that dates are permuted among, inside 271 x 271.
+EPOCH, DAYS, SIDE = "1900-01-01", 73_049, 271
 ROUNDS = 8
 DIGITS = "0123456789"
 
@@ -129,8 +130,16 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _date(m: Column, key: str) -> Column:
     day = F.datediff(m.try_cast("date"), F.lit(EPOCH).cast("date"))
-    moved = F.date_add(F.lit(EPOCH).cast("date"), feistel(day, DAYS, DAYS, key, "date").cast("int"))
-    return F.when(day.between(0, DAYS * DAYS - 1), F.date_format(moved, "yyyy-MM-dd")).otherwise(m)
+
+    def walk(v: Column, _: Column) -> Column:
+        return F.when(v < DAYS, v).otherwise(feistel(v, SIDE, SIDE, key, "date"))
+
+    # A walk from a day leaves the days for at most all of the numbers beyond them, so it ends on one.
+    beyond = F.sequence(F.lit(1), F.lit(SIDE * SIDE - DAYS))
+    first = feistel(day, SIDE, SIDE, key, "date")
+    found = let(first, lambda v: F.when(v < DAYS, v).otherwise(F.aggregate(beyond, v, walk)))
+    moved = F.date_add(F.lit(EPOCH).cast("date"), found.cast("int"))
+    return F.when(day.between(0, DAYS - 1), F.date_format(moved, "yyyy-MM-dd")).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,7 +180,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     refuses (a card number whose Luhn sum is wrong, a day or an octet that doesn't exist) is left.
     Further columns are kept as they are.
     """
-    quick = F.col(text).rlike(r"[0-9@]|(?:password|passwd|token|secret|api_key)\s*[=:]")
+    quick = F.col(text).rlike(rf"[0-9@]|{SECRET_NAME}")
     spans = F.when(quick, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("_found", F.coalesce(spans, F.array().cast("array<string>")))
     new = F.transform("_found", lambda m: pseudonym(m, key))
