@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import ship
 
@@ -19,27 +19,63 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+#: Removes the shuffle files of a statement when it ends, not when the driver happens to collect garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where a session names none
-    (local tests) is a temporary one set.
+    Only where a session on one machine (local tests) names none is a temporary one set; on a
+    cluster that is an error, since each executor would write to its own disk.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lagweave-"))
-    return df.checkpoint()
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lagweave-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; its shuffles are freed as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(FREE_SHUFFLES, "false")
+    conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(FREE_SHUFFLES, before)
+
+
+class Scratch:
+    """Tables in the shared folder that cut lineage; those no longer needed are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, stem: str = "cut") -> DataFrame:
+        """Write ``df`` and read it again."""
+        path = f"{shared_folder(self.spark)}/{temp_name(stem)}"
+        write_table(df, path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the cleaner drop shuffle files whose frames are gone (what they held has been cut)."""
-    import gc
-
-    for _ in range(2):  # what the first pass finds may hold on to more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def let(value: Column, body) -> Column:
@@ -77,13 +113,14 @@ def dense_index(df: DataFrame, key: str | None, order: Column, ties: list[Column
 def with_row_ids(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` and ``_rid``, a unique long that ascends with doc_id.
 
-    Where doc_id is unique and never null it is the id itself. Otherwise rows are ordered by
-    doc_id (nulls last) and text, and numbered in that order; repeated rows become documents of
-    their own.
+    Where doc_id is a whole number, unique and never null it is the id itself. Otherwise (strings,
+    fractions, nulls, equal ids) rows are ordered by doc_id (nulls last) and text, and numbered in
+    that order; repeated rows become documents of their own.
     """
-    found = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
-    unique = found["n"] == found["ids"] and docs.select("doc_id").distinct().count() == found["n"]
-    if unique:
-        return docs.select(*columns, F.col("doc_id").cast("long").alias("_rid"))
+    if isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        found = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+        if found["n"] == found["ids"] and docs.select("doc_id").distinct().count() == found["n"]:
+            return docs.select(*columns, F.col("doc_id").cast("long").alias("_rid"))
     ordered = docs.select(*columns).orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    return cut(ordered.withColumn("_rid", F.monotonically_increasing_id()))
+    shared_folder(docs.sparkSession)
+    return ordered.withColumn("_rid", F.monotonically_increasing_id()).checkpoint()

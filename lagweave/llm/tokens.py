@@ -3,7 +3,7 @@
 Documents in ascending order are dealt into shards by range, tokenized, and written as images:
 
     magic, version | documents, ids, block size, symbols | order, lengths, start of each document |
-    order-0 table (symbols, counts) | for each block: ids, bytes, checksum | payloads
+    order-0 table (symbols, counts) | for each block: ids, bytes, checksum | head's checksum | payloads
 
 An id is predicted by what last followed the two ids before it (order 2), by what last followed
 the one before it (order 1), and by the image's id counts (order 0, adapted once for each image
@@ -28,11 +28,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, documents, temp_name, with_row_ids
+from .common import documents, shared_folder, temp_name, with_row_ids, write_table
 
-MAGIC, VERSION = b"LWTK", 1
+MAGIC, VERSION = b"LWTK", 2
 HEAD = struct.Struct("<4sHIQII")
-SLOTS = 2048
+SLOTS = 1024
 SCALE = 20
 TOP, BOTTOM = np.uint64(48), np.uint64(1 << 40)
 FIELD, MASK = np.uint64(20), np.uint64((1 << 20) - 1)
@@ -204,7 +204,7 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def write_image(order: np.ndarray, lengths: np.ndarray, ids: np.ndarray, most: int = 2048) -> bytes:
+def write_image(order: np.ndarray, lengths: np.ndarray, ids: np.ndarray, most: int = 512) -> bytes:
     """One image of whole documents; ``order`` and ``lengths`` are theirs, ``ids`` all their ids."""
     block = int(min(most, max(256, len(ids) >> 11)))
     symbols, n = np.unique(ids, return_counts=True)
@@ -216,67 +216,95 @@ def write_image(order: np.ndarray, lengths: np.ndarray, ids: np.ndarray, most: i
     parts = [
         HEAD.pack(MAGIC, VERSION, len(order), len(ids), block, len(symbols)),
         order.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(),
-        symbols.astype("<u4").tobytes(), n.astype("<u4").tobytes(), np.array(sizes, "<u4").tobytes(), *payloads,
+        symbols.astype("<u4").tobytes(), n.astype("<u4").tobytes(), np.array(sizes, "<u4").tobytes(),
     ]
-    return b"".join(parts)
+    head = b"".join(parts)
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), *payloads])
+
+
+class Head:
+    """What an image says before its payloads; raises DamagedBlock where its checksum differs."""
+
+    def __init__(self, image: bytes):
+        if len(image) < HEAD.size:
+            raise DamagedBlock("head")
+        magic, version, docs, self.n_ids, self.block, symbols = HEAD.unpack_from(image)
+        if magic != MAGIC or version != VERSION:
+            raise DamagedBlock(f"not an image of version {VERSION}")
+        at = HEAD.size
+        n_blocks = -(-self.n_ids // self.block)
+        end = at + 12 * docs + 8 * symbols + 12 * n_blocks
+        if len(image) < end + 4 or zlib.crc32(image[:end]) != struct.unpack_from("<I", image, end)[0]:
+            raise DamagedBlock("head")
+
+        def take(kind: str, n: int) -> np.ndarray:
+            nonlocal at
+            found = np.frombuffer(image, kind, n, at)
+            at += found.nbytes
+            return found
+
+        self.order, self.lengths = take("<i8", docs), take("<u4", docs)
+        names, n = take("<u4", symbols), take("<u4", symbols)
+        self.sizes, self.bytes, self.sums = take("<u4", 3 * n_blocks).reshape(-1, 3).T
+        table = np.zeros(int(names[-1]) + 1 if len(names) else 1, np.int64)
+        table[names] = n
+        self.counts = scaled(table) if len(names) else table
+        self.starts = end + 4 + np.cumsum(self.bytes, dtype=np.int64) - self.bytes
+
+    def payload(self, image: bytes, k: int) -> bytes:
+        return image[int(self.starts[k]) : int(self.starts[k]) + int(self.bytes[k])]
+
+    def checked(self, k: int, ids: np.ndarray) -> np.ndarray:
+        if zlib.crc32(ids.astype("<u4").tobytes()) != self.sums[k]:
+            raise DamagedBlock(f"block {k}")
+        return ids
+
+
+def read_block(image: bytes, k: int) -> np.ndarray:
+    """The ids of one block, from the head and its own payload alone."""
+    head = Head(image)
+    return head.checked(k, decode_lanes([head.payload(image, k)], int(head.sizes[k]), head.block, head.counts))
 
 
 def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """order, lengths and ids; raises DamagedBlock where a checksum differs."""
-    magic, version, docs, n_ids, block, symbols = HEAD.unpack_from(image)
-    if magic != MAGIC or version != VERSION:
-        raise DamagedBlock(f"not an image of version {VERSION}")
-    at = HEAD.size
-
-    def take(kind: str, n: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(image, kind, n, at)
-        at += found.nbytes
-        return found
-
-    order, lengths = take("<i8", docs), take("<u4", docs)
-    names, n = take("<u4", symbols), take("<u4", symbols)
-    blocks = take("<u4", 3 * -(-n_ids // block)).reshape(-1, 3)
-    if not n_ids:
-        return order, lengths, np.empty(0, np.int64)
-    table = np.zeros(int(names[-1]) + 1, np.int64)
-    table[names] = n
-    payloads = []
-    for size in blocks[:, 1].tolist():
-        payloads.append(image[at : at + size])
-        at += size
-    ids = decode_lanes(payloads, n_ids, block, scaled(table))
-    for k, want in enumerate(blocks[:, 2].tolist()):
-        if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != want:
-            raise DamagedBlock(f"block {k}")
-    return order, lengths, ids
+    head = Head(image)
+    if not head.n_ids:
+        return head.order, head.lengths, np.empty(0, np.int64)
+    payloads = [head.payload(image, k) for k in range(len(head.sizes))]
+    ids = decode_lanes(payloads, head.n_ids, head.block, head.counts)
+    for k in range(len(head.sizes)):
+        head.checked(k, ids[k * head.block : (k + 1) * head.block])
+    return head.order, head.lengths, ids
 
 
-def plain(text: str) -> bool:
-    """No blanks but single spaces and line feeds between words, and no special token."""
-    words = text.split()
-    single = len(words) - 1
-    return "<|" not in text and single == text.count(" ") + text.count("\n") and sum(map(len, words)) + single == len(text)
+ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0  -     　]")
+BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Bytes of a piece that the table holds; longer pieces go by a dictionary.
+SHORT = 23
+#: Masks that leave the first 0 to 8 bytes of a word of 64 bits.
+LEAVE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+STIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 class Encoder:
     """A tokenizer that remembers pieces.
 
-    Its pre-tokenizer never joins what stands on the two sides of a single space or line feed that
-    follows and precedes other characters than blanks, so that texts can be cut there. Texts with
-    other blanks at such places, or with anything like a special token, are encoded whole.
+    Its pre-tokenizer never joins what stands on the two sides of certain places: the start of a
+    run of blanks, the last blank before a word, and, unless that is a space, the word itself.
+    Texts are cut there, at whole arrays of bytes at once, and each piece's ids are looked up by
+    its bytes, which the table compares whole. Texts with blanks beyond ASCII, or with anything
+    like a special token, are encoded whole. The table has a fixed size and is emptied when three
+    quarters full.
     """
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, bits: int = 21):
         from tokenizers import Tokenizer
 
-        self.tool = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.most = most
-        self.feed = self.whole("\n")
+        self.tool, self.bits = Tokenizer.from_file(path), bits
+        self.clear()
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -284,34 +312,141 @@ class Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
+    def clear(self) -> None:
+        #: A row for each slot: three words of a piece's bytes with its size on top, and where its ids are.
+        self.table = np.zeros((1 << self.bits, 4), np.uint64)
+        self.store, self.stored, self.used = np.zeros(1 << 16, np.uint32), 0, 0
+        self.long: dict[bytes, int] = {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; new pieces of all of them are encoded in one call."""
-        if len(self.first) + len(self.later) > self.most:
-            self.first.clear()
-            self.later.clear()
-        cuts = [[line.split(" ") for line in t.split("\n")] if t and plain(t) else None for t in texts]
-        lines = [line for c in cuts if c for line in c]
-        found = [[*map(self.later.get, line)] for line in lines]
-        missing = {p for line, ids in zip(lines, found, strict=True) for p, x in zip(line[1:], ids[1:], strict=True) if x is None}
-        self._learn(self.later, " ", missing)
-        self._learn(self.first, "", {line[0] for line in lines} - self.first.keys())
-        done = []
-        for line, ids in zip(lines, found, strict=True):
-            ids[0] = self.first[line[0]]
-            try:
-                done.append(b"".join(ids))
-            except TypeError:  # a piece that was missing
-                done.append(b"".join([ids[0], *map(self.later.__getitem__, line[1:])]))
-        ready = iter(done)
-        return [(self.feed.join([next(ready) for _ in c]) if c else self.whole(t)) if t else b"" for t, c in zip(texts, cuts, strict=True)]
-
-    def _learn(self, known: dict[str, bytes], lead: str, new: set[str]) -> None:
-        names = list(new)
-        for p, found in zip(names, self.tool.encode_batch([lead + p for p in names], add_special_tokens=False) if names else (), strict=True):
-            known[p] = np.array(found.ids, "<u4").tobytes()
+        """The ids of each text."""
+        out = [b""] * len(texts)
+        easy = []
+        for k, t in enumerate(texts):
+            if t and ODD.search(t):
+                out[k] = self.whole(t)
+            elif t:
+                easy.append(k)
+        if easy:
+            bodies = [texts[k].encode() for k in easy]
+            for k, ids in zip(easy, self._pieces(bodies), strict=True):
+                out[k] = ids
+        return out
+
+    def _pieces(self, bodies: list[bytes]) -> list[bytes]:
+        joined = b"\0" + b"\0".join(bodies) + b"\0" + bytes(SHORT + 1)
+        raw = np.frombuffer(joined, np.uint8)[: -SHORT - 1]
+        mark = np.cumsum([0, *[len(b) + 1 for b in bodies]])  # between texts; not part of any
+        blank = BLANK[raw]
+        start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[1:-1] = ~blank[:-1] & blank[1:]
+        cut[start[raw[start - 1] != 32]] = True
+        ends_text = np.zeros(len(raw), bool)
+        ends_text[mark] = True
+        cut[start[~ends_text[start]] - 1] = True
+        cut[mark] = cut[mark + 1] = True
+        cuts = np.flatnonzero(cut)
+        at, size = cuts[:-1], np.diff(cuts)
+        of_mark = np.searchsorted(at, mark)
+        size[of_mark] = 0
+        where, many = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        words = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+        parts = []
+        for a in range(0, len(at), 1 << min(17, self.bits - 2)):
+            some = slice(a, a + (1 << min(17, self.bits - 2)))
+            where, many[some] = self._found(joined, words, at[some], size[some])
+            ends = np.cumsum(many[some])
+            parts.append(self.store[np.arange(ends[-1]) + np.repeat(where - ends + many[some], many[some])])
+        ids = np.concatenate(parts).astype("<u4", copy=False)
+        edge = np.cumsum(many)[of_mark].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _found(self, joined: bytes, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece are, and how many; what is new is learned first."""
+        keys = np.empty((len(at), 3), np.uint64)
+        for k in range(3):
+            keys[:, k] = words[at + 8 * k] & LEAVE[np.clip(size - 8 * k, 0, 8 if k < 2 else 7)]
+        keys[:, 2] |= np.minimum(size, SHORT + 1).astype(np.uint64) << U(56)
+        short = np.flatnonzero((size > 0) & (size <= SHORT))
+        far = np.flatnonzero(size > SHORT).tolist()
+        place = np.zeros(len(at), np.uint64)
+        place[short], missing = self._look_up(keys[short])
+        new = short[missing]
+        pieces = {joined[at[k] : at[k] + size[k]] for k in far}
+        while len(new) or not pieces <= self.long.keys():
+            # One of each hash; what shares another piece's comes in the next turn.
+            first = new[np.unique(self._hashes(keys[new]), return_index=True)[1]]
+            if self.used + len(first) + len(self.long) + len(pieces) > 3 << (self.bits - 2) and self.used:
+                self.clear()
+                return self._found(joined, words, at, size)
+            fresh = [p for p in pieces if p not in self.long]
+            spans = zip(at[first].tolist(), (at + size)[first].tolist(), strict=True)
+            ids = self._learned([joined[a:b] for a, b in spans] + fresh)
+            self._put(keys[first], ids[: len(first)])
+            self.long.update(zip(fresh, ids[len(first) :].tolist(), strict=True))
+            place[new], missing = self._look_up(keys[new])
+            new = new[missing]
+        for k in far:
+            place[k] = self.long[joined[at[k] : at[k] + size[k]]]
+        return (place >> U(32)).astype(np.int64), (place & U((1 << 32) - 1)).astype(np.int64)
+
+    @staticmethod
+    def _hashes(keys: np.ndarray) -> np.ndarray:
+        h = (keys[:, 0] + STIR[2]) * STIR[0] ^ (keys[:, 1] + STIR[1]) * STIR[2] ^ keys[:, 2] * STIR[1]
+        return (h ^ h >> U(29)) * STIR[0]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (self._hashes(keys) >> U(64 - self.bits)).astype(np.int64)
+
+    def _look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last column of each key's row, and which keys have none."""
+        slot, last = self._slots(keys), len(self.table) - 1
+        rows = self.table.take(slot, axis=0)
+        place, missing = rows[:, 3], []
+        rest = np.flatnonzero((rows[:, :3] != keys).any(1))
+        while len(rest):
+            held = self.table[slot[rest], 2] > 0
+            missing.append(rest[~held])
+            rest = rest[held]
+            slot[rest] = slot[rest] + 1 & last
+            rows = self.table.take(slot[rest], axis=0)
+            same = (rows[:, :3] == keys[rest]).all(1)
+            place[rest[same]] = rows[same, 3]
+            rest = rest[~same]
+        return place, np.concatenate(missing) if missing else rest
+
+    def _put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        slot, last = self._slots(keys), len(self.table) - 1
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.table[slot[left], 2] == 0]
+            won = free[np.unique(slot[free], return_index=True)[1]]
+            self.table[slot[won], :3], self.table[slot[won], 3] = keys[won], places[won]
+            lost = np.ones(len(keys), bool)
+            lost[won] = False
+            left = left[lost[left]]
+            slot[left] = slot[left] + 1 & last
+        self.used += len(keys)
+
+    def _learned(self, pieces: list[bytes]) -> np.ndarray:
+        """Encodes pieces; where their ids now are, above 32 bits, and how many."""
+        many, parts = [], [np.empty(0, np.uint32)]
+        for k in range(0, len(pieces), 2048):
+            found = [e.ids for e in self.tool.encode_batch_fast([p.decode() for p in pieces[k : k + 2048]], add_special_tokens=False)]
+            sizes = list(map(len, found))
+            many += sizes
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, sum(sizes)))
+        many, flat = np.array(many, np.int64), np.concatenate(parts)
+        while self.stored + len(flat) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        self.store[self.stored : self.stored + len(flat)] = flat
+        at = self.stored + np.cumsum(many) - many
+        self.stored += len(flat)
+        return at.astype(np.uint64) << U(32) | many.astype(np.uint64)
 
 
 def groups(texts: list, most: int = 1 << 20):
@@ -376,7 +511,7 @@ def read_documents(written: DataFrame) -> DataFrame:
     return joined.select("_rid", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 8 << 20, part_ids: int = 8 << 20) -> DataFrame:
+def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 2 << 20) -> DataFrame:
     """Write ``rows`` (_rid, unique and ascending, and text) as images; what they hold, read back.
 
     A null or empty text is the end id alone. Images go to ``out_dir`` (by default a folder beside
@@ -385,10 +520,8 @@ def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id:
     """
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).alias("b")).first()["b"] or 0
-    if out_dir is None:
-        cut(spark.range(0))
-        out_dir = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{temp_name('tokens')}"
-    images(rows, path, end_id, text, max(1, -(-size // shard_bytes)), part_ids).write.parquet(out_dir)
+    out_dir = out_dir or f"{shared_folder(spark)}/{temp_name('tokens')}"
+    write_table(images(rows, path, end_id, text, max(1, -(-size // shard_bytes)), part_ids), out_dir)
     return read_documents(spark.read.schema("shard int, part int, n_ids long, image binary").parquet(out_dir))
 
 

@@ -163,9 +163,11 @@ def tokenizer():
 
 def test_pieces_equal_whole_texts(tokenizer):
     rng = random.Random(4)
-    encoder = tokens.Encoder.at(tokens.default_path())
     texts = ["".join(rng.choice(["a", "bc", " ", " ", "\n", "\t", "'s", "é", "1", "!", "\x85", "　", "<|endoftext|>"]) for _ in range(14)) for _ in range(2000)]
-    assert encoder.encode([None, "", *texts]) == [b"", b""] + [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    texts += ["".join(rng.choice(["a", " ", "\n", "\r\n", "\0", "日本", "x" * 22, "y" * 23, "z" * 24, "\n\n"]) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    # A table of 16 pieces is emptied again and again.
+    for encoder in (tokens.Encoder.at(tokens.default_path()), tokens.Encoder(tokens.default_path(), 4)):
+        assert encoder.encode([None, "", *texts]) == [b"", b""] + [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_images_round_trip_and_show_damage():
@@ -174,6 +176,14 @@ def test_images_round_trip_and_show_damage():
         ids = rng.geometric(0.02, n).astype(np.uint32)
         image = tokens.write_image(np.arange(2), np.array([n, 0]), ids)
         assert (tokens.read_image(image)[2] == ids).all()
+    head = tokens.Head(image)
+    for k in range(len(head.sizes)):
+        assert (tokens.read_block(image, k) == ids[k * head.block : (k + 1) * head.block]).all()
+    for at in (9, 40, 80):
+        broken = bytearray(image)
+        broken[at] ^= 1
+        with pytest.raises(tokens.DamagedBlock):
+            tokens.read_image(bytes(broken))
     broken = bytearray(image)
     broken[-300] ^= 255
     with pytest.raises(tokens.DamagedBlock):
