@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import gammaln, ndtr
+from ..lineage import cut
 from ..operators.lags import spatial_lag
 
 
@@ -27,20 +28,22 @@ def normal(seed: int, label: str, *keys: str) -> Column:
     return radius * F.cos(2 * math.pi * uniform(seed, label + "/a", *keys))
 
 
-def filtered(df: DataFrame, edges: DataFrame, column: str, rho: float, key: str = "unit_id", over: list[str] | None = None, tolerance: float = 1e-10) -> DataFrame:
-    """``df`` with ``column`` replaced by (I - rho W)^-1 of it; rows of W sum to 1 at most."""
+def filtered(df: DataFrame, edges: DataFrame, column: str | list[str], rho: float, key: str = "unit_id", over: list[str] | None = None, tolerance: float = 1e-10) -> DataFrame:
+    """``df`` with ``column`` (or each of several) replaced by (I - rho W)^-1 of it; rows of W sum to 1 at most."""
     if not abs(rho) < 1:
         raise ValueError("the series needs |rho| < 1")
     if rho == 0:
         return df
+    columns = [column] if isinstance(column, str) else column
     steps = max(1, math.ceil(math.log(tolerance) / math.log(abs(rho))))
-    work = df.withColumns({"_sum": F.col(column), "_term": F.col(column)}).drop(column)
+    terms = [f"_term{i}" for i in range(len(columns))]
+    work = df.withColumns({f"_sum{i}": F.col(c) for i, c in enumerate(columns)} | {t: F.col(c) for t, c in zip(terms, columns, strict=True)}).drop(*columns)
     for k in range(steps):
-        lagged = spatial_lag(work, edges, ["_term"], key=key, over=over)
-        work = lagged.withColumns({"_sum": F.col("_sum") + rho * F.col("W__term"), "_term": rho * F.col("W__term")}).drop("W__term")
+        lagged = spatial_lag(work, edges, terms, key=key, over=over)
+        work = lagged.withColumns({f"_sum{i}": F.col(f"_sum{i}") + rho * F.col(f"W_{t}") for i, t in enumerate(terms)} | {t: rho * F.col(f"W_{t}") for t in terms}).drop(*[f"W_{t}" for t in terms])
         if k % 4 == 3:
-            work = work.checkpoint()
-    return work.withColumnRenamed("_sum", column).drop("_term")
+            work = cut(work)
+    return work.withColumnsRenamed({f"_sum{i}": c for i, c in enumerate(columns)}).drop(*terms)
 
 
 def gaussian(units: DataFrame, edges: DataFrame, beta: list[float], rho: float = 0.0, lam: float = 0.0, theta: list[float] | None = None, sigma: float = 1.0, seed: int = 0, key: str = "unit_id", time: str | None = None, unit_sd: float = 0.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf
-from ..operators.gram import Gram, ols, residual_cross
+from ..operators.gram import Gram
 from ..operators.lags import spatial_lag
 from ..operators.weights import trace_information
 
@@ -42,16 +42,22 @@ def battery(units: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str
     spark = units.sparkSession
     work = units.withColumn("_one", F.lit(1.0)) if "_one" not in units.columns else units
     lagged = spatial_lag(work, edges, [y, *xs, "_one"], key=key, over=over)
-    g = Gram.of(lagged.drop("_one"), [y, *xs, f"W_{y}", *[f"W_{x}" for x in xs], "W__one"])
-    x = ["_one", *xs]
-    b, _, s2 = ols(g, y, x)
-    fit = {"e": {y: 1.0, **{c: -v for c, v in zip(x, b, strict=True)}}}
-    wf = {"_one": "W__one", **{c: f"W_{c}" for c in xs}}
-    fit["We"] = {f"W_{y}": 1.0, **{wf[c]: -v for c, v in zip(x, b, strict=True)}}
-    fit["Wf"] = {wf[c]: v for c, v in zip(x, b, strict=True)}
-    h = g.combine({**fit, f"W_{y}": {f"W_{y}": 1.0}, **{c: {c: 1.0} for c in x}, **{f"W_{c}": {f"W_{c}": 1.0} for c in xs}})
+    # Columns less their means: what the intercept takes is taken exactly, so that sums don't cancel
+    # however far y is from 0. A second pass is over the residuals themselves.
+    x, wx = ["_one", *xs], [f"W_{c}" for c in xs]
+    columns = [y, *xs, f"W_{y}", *wx, "W__one"]
+    mean = lagged.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centred = lagged.select(*[(F.col(c) - float(mean[f"m{i}"] or 0.0)).alias(c) for i, c in enumerate(columns)])
+    at = {c: float(mean[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
+    g = Gram.of(centred, [y, *xs])
+    slopes = np.linalg.solve(g.get(xs, xs), g.get(xs, [y])[:, 0])
+    level = at[y] - sum(b * at[c] for b, c in zip(slopes, xs, strict=True))
+    fitted = sum((float(v) * F.col(c) for c, v in zip(xs, slopes, strict=True)), F.lit(0.0))
+    lagged_fit = sum((float(v) * F.col(c) for c, v in zip(wx, slopes, strict=True)), float(level) * F.col("W__one"))
+    seen = centred.withColumns({"e": F.col(y) - fitted, "Wf": lagged_fit}).withColumn("We", F.col(f"W_{y}") - F.col("Wf"))
+    h = Gram.of(seen, ["e", "We", "Wf", f"W_{y}", *xs, *wx])
+    s2 = h.get(["e"], ["e"])[0, 0] / h.n
     trace = trace_information(edges).first()["trace"] * periods
-    wx = [f"W_{c}" for c in xs]
     k, m = len(x), len(xs)
     names = {"rho": [k], "lambda": [k + 1], "theta": list(range(k + 2, k + 2 + m))}
     score = np.zeros(k + 2 + m)

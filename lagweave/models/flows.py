@@ -153,7 +153,7 @@ def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms:
     """OLSFlow, SARFlow or SEMFlow over (origin, dest, y, terms); all pairs of units must be there."""
     if model not in ("OLSFlow", "SARFlow", "SEMFlow"):
         raise ValueError(f"unknown flow model {model!r}")
-    priors = Priors.of(priors)
+    priors = Priors.of(priors, model)
     error = model == "SEMFlow"
     lagged = flow_lags(flows, edges, y)
     for t in terms if error else ():
@@ -170,8 +170,8 @@ def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms:
     var_y = g.get([y], [y])[0, 0] / g.n - mean_y**2
     mx = g.get(terms, ["_one"])[:, 0] / g.n
     var_x = np.diag(xx) / g.n - mx**2
-    sd = np.where(var_x > 1e-12, 2.5 * np.sqrt(var_y / np.maximum(var_x, 1e-12)), 2.5 * (np.sqrt(var_y) + abs(mean_y)))
-    kernel = FlowKernel(g.get(ys, ys), np.array([g.get(x, ys).T for x in xs]), np.array([[g.get(a, b) for b in xs] for a in xs]), error, g.n, np.linalg.eigvals(w), 1 / sd**2, priors.beta_mean, priors.sigma_shape, priors.sigma_scale or var_y, separable, model != "OLSFlow", g.n / len(ids) ** 2)
+    mean, sd = priors.coefficients(mean_y, np.sqrt(var_y), g.n, np.sqrt(np.maximum(var_x, 0.0)), var_x <= 1e-12 * np.maximum(1.0, mx**2))
+    kernel = FlowKernel(g.get(ys, ys), np.array([g.get(x, ys).T for x in xs]), np.array([[g.get(a, b) for b in xs] for a in xs]), error, g.n, np.linalg.eigvals(w), 1 / sd**2, mean, priors.sigma_shape, priors.sigma_scale or var_y, separable, model != "OLSFlow", g.n / len(ids) ** 2)
     out = chains(flows.sparkSession, kernel, ["rho_d", "rho_o", "rho_w", "sigma", *terms], draws, tune, n_chains, seed)
     if error:
         out = out.withColumnsRenamed({f"rho_{k}": f"lam_{k}" for k in "dow"})

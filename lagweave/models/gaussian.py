@@ -13,6 +13,7 @@ from ..diagnostics import posterior
 from ..functions.special import slice_sample
 from ..operators.gram import Gram, ols
 from ..operators.lags import spatial_lag, time_lag, within
+from ..operators.weights import check
 from ..shipping import ship
 from .logdet import log_det
 from .spec import SPECS, Priors, validate
@@ -111,9 +112,10 @@ class Kernel:
 class Fit:
     """A model with its draws: (chain, draw, [rho|lam,] sigma, one column for each coefficient)."""
 
-    def __init__(self, name, spec, kernel, draws, units, edges, y, key, lagged, columns):
+    def __init__(self, name, spec, kernel, draws, units, edges, y, key, lagged, columns, time=None):
         self.name, self.spec, self.kernel, self.draws = name, spec, kernel, draws
         self.units, self.edges, self.y, self.key, self.lagged, self.columns = units, edges, y, key, lagged, columns
+        self.time = time
         self.spatial = {"lag": "rho", "error": "lam", "none": None}[spec.process]
 
     def parameters(self) -> list[str]:
@@ -185,6 +187,23 @@ def chains(spark, kernel, names: list[str], draws: int, tune: int, n_chains: int
     return rows.mapInPandas(run, schema)
 
 
+def checked(units: DataFrame, edges: DataFrame, columns: list[str], key: str, time: str | None = None, balanced: bool = False) -> None:
+    """Raises where a value is null or not finite, a unit is given twice, edges don't fit the units,
+    or a panel that must be balanced isn't."""
+    bad = [F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c)) == float("inf"))).cast("long")).alias(f"b{i}") for i, c in enumerate(columns)]
+    keys = [key, *([time] if time else [])]
+    distinct = [F.count_distinct(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    found = units.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("cells"), *distinct, *bad).first()
+    for i, c in enumerate(columns):
+        if found[f"b{i}"]:
+            raise ValueError(f"{found[f'b{i}']} values of {c} are null or not finite")
+    if found["cells"] != found["n"]:
+        raise ValueError(f"rows with equal or null {' and '.join(keys)}")
+    if balanced and found["n"] != found["k0"] * found["k1"]:
+        raise ValueError(f"the panel is not balanced: {found['n']} rows for {found['k0']} units and {found['k1']} periods")
+    check(edges, units.select(key).distinct() if time else units, key)
+
+
 def design(units: DataFrame, edges: DataFrame, spec, y: str, xs: list[str], key: str, time: str | None, effects: str, dynamic: str | None, durbin: list[str] | None) -> tuple[DataFrame, list[str], list[str]]:
     """The lagged table, and its columns: mean terms, and all that the Gram needs beside them."""
     over = [time] if time else None
@@ -225,13 +244,11 @@ def kernel_of(g: Gram, spec, y: str, terms: list[str], priors: Priors, jacobian,
     mx = g.get(terms, ["_one"])[:, 0] / g.n
     var_x = np.diag(g.get(terms, terms)) / g.n - mx**2
     flat = var_x <= 1e-12 * np.maximum(1.0, mx**2)
-    sd = np.where(flat, 2.5 * np.sqrt(var_y) + abs(mean_y) * 2.5, 2.5 * np.sqrt(var_y / np.where(flat, 1.0, np.maximum(var_x, 1e-300))))
-    if priors.beta_sd is not None:
-        sd = np.full(k, priors.beta_sd)
+    mean, sd = priors.coefficients(mean_y, np.sqrt(var_y), g.n, np.sqrt(np.maximum(var_x, 0.0)), flat)
     return Kernel(
         spec.process, terms, get(terms, terms), get(terms, [y])[:, 0], float(get([y], [y])[0, 0]), get(terms, [wy])[:, 0], float(get([y], [wy])[0, 0]), float(get([wy], [wy])[0, 0]),
         get(terms, wz) if wz else zero, get(wz, wz) if wz else zero, get(wz, [y])[:, 0] if wz else np.zeros(k), get(wz, [wy])[:, 0] if wz else np.zeros(k),
-        n, np.full(k, priors.beta_mean), 1 / sd**2, priors.sigma_shape, priors.sigma_scale if priors.sigma_scale is not None else var_y, priors.low, priors.high, jacobian, times, shift,
+        n, mean, 1 / sd**2, priors.sigma_shape, priors.sigma_scale if priors.sigma_scale is not None else var_y, priors.low, priors.high, jacobian, times, shift,
     )
 
 
@@ -248,8 +265,9 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     validate(spec, effects, dynamic, time is not None)
     if effects == "random" or dynamic == "restricted":
         raise NotImplementedError("random effects and restricted dynamics are not built yet")
-    priors = Priors.of(priors)
+    priors = Priors.of(priors, model, panel=time is not None, effects=effects, dynamic=dynamic)
     spark = units.sparkSession
+    checked(units, edges, [y, *xs], key, time, balanced=effects != "pooled" or dynamic is not None)
     work, terms, needs = design(units, edges, spec, y, xs, key, time, effects, dynamic, durbin)
     columns = list(dict.fromkeys([y, *terms, *needs]))
     g = Gram.of(work.drop("_one") if "_one" in columns else work, [c for c in columns if c != "_one"])
@@ -263,7 +281,7 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     out = chains(spark, kernel, names, draws, tune, n_chains, seed)
     label = {"lag": "rho", "error": "lam"}.get(spec.process)
     out = out.withColumnRenamed("_spatial", label) if label else out.drop("_spatial")
-    return Fit(model, spec, kernel, out, units, edges, y, key, work, terms)
+    return Fit(model, spec, kernel, out, units, edges, y, key, work, terms, time)
 
 
 def bayes_factor(a: Fit, b: Fit) -> float:

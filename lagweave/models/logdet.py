@@ -11,12 +11,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import weights
 
 
-def index_of(units: DataFrame, key: str = "unit_id") -> list:
-    """Unit keys in order; a model that needs them on the driver is bounded by its caller."""
-    return [r[0] for r in units.select(key).distinct().orderBy(key).collect()]
+def index_of(units: DataFrame, key: str = "unit_id", most: int = 4000) -> list:
+    """Unit keys in order, for ``most`` units at most."""
+    found = units.select(key).distinct().orderBy(key).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} units are too many for a dense matrix")
+    return [r[0] for r in found]
 
 
 def dense(edges: DataFrame, ids: list, most: int = 4000) -> np.ndarray:
@@ -107,17 +111,12 @@ def moments(units: DataFrame, edges: DataFrame, order: int, probes: int = 50, se
     """
     from ..operators.lags import spatial_lag
 
-    spark = units.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     names = [f"p{i}" for i in range(probes)]
     sign = lambda i: F.when(F.xxhash64(F.lit(seed), F.lit(i), F.col(key)) % 2 == 0, 1.0).otherwise(-1.0)
     n = units.count()
-    v0 = units.select(key, *[sign(i).alias(c) for i, c in enumerate(names)]).checkpoint()
+    v0 = cut(units.select(key, *[sign(i).alias(c) for i, c in enumerate(names)]))
     rename = {f"W_{c}": c for c in names}
-    last, now = v0, spatial_lag(v0, edges, names, key=key).select(key, *[f"W_{c}" for c in names]).withColumnsRenamed(rename).checkpoint()
+    last, now = v0, cut(spatial_lag(v0, edges, names, key=key).select(key, *[f"W_{c}" for c in names]).withColumnsRenamed(rename))
     out = [float(n)]
     for j in range(1, order + 1):
         b = now.withColumnsRenamed({c: f"b{c}" for c in names}).withColumnRenamed(key, "_b")
@@ -127,7 +126,7 @@ def moments(units: DataFrame, edges: DataFrame, order: int, probes: int = 50, se
             up = spatial_lag(now, edges, names, key=key).select(F.col(key).alias("_u"), *[f"W_{c}" for c in names])
             prev = last.withColumnsRenamed({c: f"l{c}" for c in names})
             new = up.join(prev, F.col("_u") == F.col(key)).select(key, *[(2 * F.col(f"W_{c}") - F.col(f"l{c}")).alias(c) for c in names])
-            last, now = now, new.checkpoint()
+            last, now = now, cut(new)
     traces = [float(n)] + [weights.trace_power(edges, k).first()["trace"] for k in range(1, min(order, 4) + 1)]
     exact = [traces[0], *traces[1:2]]
     if order >= 2:
@@ -167,7 +166,7 @@ def log_det(units: DataFrame, edges: DataFrame, low: float, high: float, key: st
         method = "eigenvalue" if n <= eigen_most else "chebyshev" if n <= dense_most else "stochastic"
     if method == "stochastic":
         return Stochastic(moments(units.select(key).distinct(), edges, order, probes, key=key))
-    w = dense(edges, index_of(units, key), dense_most)
+    w = dense(edges, index_of(units, key, dense_most), dense_most)
     if method == "eigenvalue":
         return Eigen(np.linalg.eigvals(w))
     if method != "chebyshev":

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.special import slice_sample
 from ..operators.gram import Gram
 from ..operators.lags import spatial_lag
+from .priors import half_t
 
 
 @dataclass
@@ -35,7 +36,8 @@ class RandomKernel:
     low: float
     high: float
     jacobian: object
-    alpha_scale: float
+    unit_scale: float
+    unit_nu: float = 1.0
 
     def parts(self, g: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, float]:
         zz, zy = g[2:, 2:], g[2:, 0] - r * g[2:, 1]
@@ -54,7 +56,7 @@ class RandomKernel:
         u = np.linalg.solve(c, b)
         n, t = self.n_units, self.periods
         fixed = -n * (t - 1) / 2 * log_s2 - n / 2 * np.log(s2 + t * a2) - self.shape * log_s2 - self.scale / s2
-        prior = log_a - np.log1p(a2 / self.alpha_scale**2)
+        prior = log_a + half_t(np.sqrt(a2), self.unit_nu, self.unit_scale)
         jac = t * float(self.jacobian(r)) if self.jacobian is not None else 0.0
         return jac + fixed + prior - yy / 2 - np.log(np.diag(c)).sum() + 0.5 * u @ u
 
@@ -77,7 +79,7 @@ class RandomKernel:
 
 def fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str = "unit", time: str = "time", priors=None, draws: int = 1000, tune: int = 500, n_chains: int = 4, seed: int = 0, method: str = "auto") -> DataFrame:
     """Draws (chain, draw, [rho,] sigma, sigma_alpha, coefficients) of OLS or SAR with random effects."""
-    from .gaussian import chains
+    from .gaussian import chains, checked
     from .logdet import log_det
     from .spec import SPECS, Priors, validate
 
@@ -85,10 +87,11 @@ def fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     validate(spec, "random", None, True)
     if spec.process == "error":
         raise NotImplementedError("random effects are built for OLS and SAR")
-    priors = Priors.of(priors)
+    priors = Priors.of(priors, model, panel=True, effects="random")
     size = panel.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("u"), F.count_distinct(time).alias("t")).first()
     if size["n"] != size["u"] * size["t"] or size["t"] < 2:
         raise ValueError("random effects need a balanced panel of two periods at least")
+    checked(panel, edges, [y, *xs], key, time, balanced=True)
     lagged = spatial_lag(panel, edges, [y], key=key, over=[time]).withColumn("_const", F.lit(1.0))
     columns = [y, f"W_{y}", "_const", *xs]
     means = lagged.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
@@ -98,10 +101,9 @@ def fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     var = total.get([y], [y])[0, 0] / size["n"] - (total.get([y], ["_one"])[0, 0] / size["n"]) ** 2
     mx = total.get(["_const", *xs], ["_one"])[:, 0] / size["n"]
     vx = np.diag(total.get(["_const", *xs], ["_const", *xs])) / size["n"] - mx**2
-    level = abs(total.get([y], ["_one"])[0, 0] / size["n"])
-    sd = np.where(vx > 1e-12, 2.5 * np.sqrt(var / np.maximum(vx, 1e-12)), 2.5 * (np.sqrt(var) + level))
+    mean, sd = priors.coefficients(total.get([y], ["_one"])[0, 0] / size["n"], np.sqrt(var), size["n"], np.sqrt(np.maximum(vx, 0.0)), vx <= 1e-12 * np.maximum(1.0, mx**2))
     jacobian = log_det(panel, edges, priors.low, priors.high, key, method) if spec.process == "lag" else None
     names = ["_one", *xs]
-    kernel = RandomKernel(spec.process, names, w, b, size["u"], size["t"], np.full(len(names), priors.beta_mean), 1 / sd**2, priors.sigma_shape, priors.sigma_scale or var, priors.low, priors.high, jacobian, 2.5 * np.sqrt(var))
+    kernel = RandomKernel(spec.process, names, w, b, size["u"], size["t"], mean, 1 / sd**2, priors.sigma_shape, priors.sigma_scale or var, priors.low, priors.high, jacobian, priors.unit_scale or float(np.sqrt(var)), priors.unit_nu)
     out = chains(panel.sparkSession, kernel, ["rho", "sigma", "sigma_alpha", *names], draws, tune, n_chains, seed)
     return out if spec.process == "lag" else out.drop("rho")

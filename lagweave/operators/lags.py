@@ -32,10 +32,16 @@ def panel_lag(panel: DataFrame, edges: DataFrame, columns: list[str], prefix: st
 
 
 def time_lag(panel: DataFrame, columns: list[str], prefix: str = "L_", drop_first: bool = True) -> DataFrame:
-    """Each column one period earlier; the first period of every unit goes."""
+    """Each column one period earlier; rows without the period before go (or, kept, have nulls).
+
+    The period before is the table's: a unit that lacks it has no lag, instead of an older one.
+    """
+    periods = panel.select(F.col("time").alias("_time")).distinct().withColumn("_p", F.row_number().over(Window.orderBy("_time")))
     order = Window.partitionBy("unit").orderBy("time")
-    out = panel.select("*", *[F.lag(c, 1).over(order).alias(f"{prefix}{c}") for c in columns], F.row_number().over(order).alias("_n"))
-    return (out.filter("_n > 1") if drop_first else out).drop("_n")
+    numbered = panel.join(F.broadcast(periods), F.col("time") == F.col("_time"))
+    near = F.lag("_p", 1).over(order) == F.col("_p") - 1
+    out = numbered.select(*panel.columns, *[F.when(near, F.lag(c, 1).over(order)).alias(f"{prefix}{c}") for c in columns], F.coalesce(near, F.lit(False)).alias("_near"))
+    return (out.filter("_near") if drop_first else out).drop("_near")
 
 
 def flow_lags(flows: DataFrame, edges: DataFrame, column: str = "y", extra: list[str] | None = None) -> DataFrame:

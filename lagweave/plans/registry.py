@@ -167,10 +167,9 @@ def posterior_summary(spark, d):
 
 
 def activation_probability(spark, d):
-    # The draws of a fit are bounded by their number, not by the data: they may be broadcast.
-    draws = F.broadcast(tables.demo_draws(spark).select("beta0", "beta1"))
-    eta = F.col("beta0") + F.col("beta1") * F.col("x1") / 100
-    return rounded(tables.nation_units(spark, d).crossJoin(draws).groupBy("unit_id").agg(F.avg(1 / (1 + F.exp(-eta))).alias("probability")), ["probability"])
+    units = tables.nation_units(spark, d).withColumn("x1", F.col("x1") / 100)
+    draws = tables.demo_draws(spark).withColumnsRenamed({"beta0": "zero:_one", "beta1": "zero:x1"})
+    return rounded(two_part.activation_of(draws, units, ["x1"]), ["probability"])
 
 
 def predict_in_sample(spark, d):
