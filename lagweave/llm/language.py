@@ -110,7 +110,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str, text:
     def run(batches):
         tool = Classifier(shared.value, level, piece)
         for b in batches:
-            rows = [tool.predict(t) for t in b.column(1).to_pylist()]
+            rows = [tool.predict(t.as_py()) for t in b.column(1)]
             names, scores, margins = zip(*rows, strict=True) if rows else ((), (), ())
             rejected = [n == UNKNOWN or m < min_margin for n, m in zip(names, margins, strict=True)]
             columns = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()), pa.array(rejected, pa.bool_())]

@@ -16,6 +16,7 @@ arithmetic is in integers throughout, so that both directions agree on any machi
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -280,6 +281,8 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0  -     　]")
 BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+MARK = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 #: Bytes of a piece that the table holds; longer pieces go by a dictionary.
 SHORT = 23
 #: Masks that leave the first 0 to 8 bytes of a word of 64 bits.
@@ -291,7 +294,8 @@ class Encoder:
     """A tokenizer that remembers pieces.
 
     Its pre-tokenizer never joins what stands on the two sides of certain places: the start of a
-    run of blanks, the last blank before a word, and, unless that is a space, the word itself.
+    run of blanks, the last blank before a word, unless that is a space the word itself, and a mark
+    after a letter (both in ASCII).
     Texts are cut there, at whole arrays of bytes at once, and each piece's ids are looked up by
     its bytes, which the table compares whole. Texts with blanks beyond ASCII, or with anything
     like a special token, are encoded whole. The table has a fixed size and is emptied when three
@@ -300,9 +304,10 @@ class Encoder:
 
     held: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, bits: int = 20):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tool, self.bits = Tokenizer.from_file(path), bits
         self.clear()
 
@@ -345,6 +350,7 @@ class Encoder:
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = ~blank[:-1] & blank[1:]
         cut[start[raw[start - 1] != 32]] = True
+        cut[1:-1] |= LETTER[raw[:-1]] & MARK[raw[1:]]
         ends_text = np.zeros(len(raw), bool)
         ends_text[mark] = True
         cut[start[~ends_text[start]] - 1] = True
@@ -473,16 +479,18 @@ def images(rows: DataFrame, path: str, end_id: int, text: str, shards: int, part
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([body], pa.binary())], names=["shard", "part", "n_ids", "image"])
 
         for b in batches:
-            encoded = chain.from_iterable(tool.encode(g) for g in groups(b.column(1).to_pylist()))
-            for rid, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
-                found = ids + end
-                order.append(rid)
-                lengths.append(len(found) // 4)
-                held.append(found)
-                size += lengths[-1]
-                if size >= part_ids:
-                    yield made()
-                    part, order, lengths, held, size = part + 1, [], [], [], 0
+            for k in range(0, b.num_rows, 256):
+                some = b.slice(k, 256)
+                encoded = chain.from_iterable(tool.encode(g) for g in groups(some.column(1).to_pylist()))
+                for rid, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    found = ids + end
+                    order.append(rid)
+                    lengths.append(len(found) // 4)
+                    held.append(found)
+                    size += lengths[-1]
+                    if size >= part_ids:
+                        yield made()
+                        part, order, lengths, held, size = part + 1, [], [], [], 0
         if order:
             yield made()
 
@@ -495,7 +503,8 @@ def read_documents(written: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for shard, part, image in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for shard, part, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                image = held.as_py()
                 order, lengths, ids = read_image(image)
                 ends = np.cumsum(lengths, dtype=np.int64)
                 body = ids.astype("<u4").tobytes()
@@ -511,7 +520,7 @@ def read_documents(written: DataFrame) -> DataFrame:
     return joined.select("_rid", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 2 << 20) -> DataFrame:
+def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 1 << 20) -> DataFrame:
     """Write ``rows`` (_rid, unique and ascending, and text) as images; what they hold, read back.
 
     A null or empty text is the end id alone. Images go to ``out_dir`` (by default a folder beside
