@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.special import gammaln, ndtr
 from ..lineage import cut
 from ..operators.lags import spatial_lag
+from ..shipping import ship
 
 
 def uniform(seed: int, label: str, *keys: str) -> Column:
@@ -28,13 +29,20 @@ def normal(seed: int, label: str, *keys: str) -> Column:
     return radius * F.cos(2 * math.pi * uniform(seed, label + "/a", *keys))
 
 
-def filtered(df: DataFrame, edges: DataFrame, column: str | list[str], rho: float, key: str = "unit_id", over: list[str] | None = None, tolerance: float = 1e-10) -> DataFrame:
-    """``df`` with ``column`` (or each of several) replaced by (I - rho W)^-1 of it; rows of W sum to 1 at most."""
+def filtered(df: DataFrame, edges: DataFrame, column: str | list[str], rho: float, key: str = "unit_id", over: list[str] | None = None, tolerance: float = 1e-10, dense_most: int = 1000) -> DataFrame:
+    """``df`` with ``column`` (or each of several) replaced by (I - rho W)^-1 of it; rows of W sum to 1 at most.
+
+    Graphs of up to ``dense_most`` units are solved exactly, a period (or other value of ``over``)
+    to a task's group; larger ones by the series, to ``tolerance``.
+    """
     if not abs(rho) < 1:
         raise ValueError("the series needs |rho| < 1")
     if rho == 0:
         return df
     columns = [column] if isinstance(column, str) else column
+    rows = edges.select("focal", "neighbor", "w").limit(50 * dense_most + 1).collect()
+    if len(rows) <= 50 * dense_most and len(known := sorted({r[0] for r in rows} | {r[1] for r in rows})) <= dense_most:
+        return _solved(df, columns, rho, key, over or [], known, rows)
     steps = max(1, math.ceil(math.log(tolerance) / math.log(abs(rho))))
     terms = [f"_term{i}" for i in range(len(columns))]
     work = df.withColumns({f"_sum{i}": F.col(c) for i, c in enumerate(columns)} | {t: F.col(c) for t, c in zip(terms, columns, strict=True)}).drop(*columns)
@@ -46,11 +54,44 @@ def filtered(df: DataFrame, edges: DataFrame, column: str | list[str], rho: floa
     return work.withColumnsRenamed({f"_sum{i}": c for i, c in enumerate(columns)}).drop(*terms)
 
 
-def gaussian(units: DataFrame, edges: DataFrame, beta: list[float], rho: float = 0.0, lam: float = 0.0, theta: list[float] | None = None, sigma: float = 1.0, seed: int = 0, key: str = "unit_id", time: str | None = None, unit_sd: float = 0.0) -> DataFrame:
-    """(keys, x1.., y): y = (I - rho W)^-1 (b0 + X b + W X theta + unit effect + (I - lam W)^-1 e)."""
+def _solved(df: DataFrame, columns: list[str], rho: float, key: str, over: list[str], known: list, rows: list) -> DataFrame:
+    place = {u: i for i, u in enumerate(known)}
+    at = np.array([(place[r[0]], place[r[1]]) for r in rows], np.int64).reshape(-1, 2)
+    a = np.eye(len(known))
+    np.subtract.at(a, (at[:, 0], at[:, 1]), rho * np.array([r[2] for r in rows], float))
+    shared = df.sparkSession.sparkContext.broadcast(np.linalg.inv(a))
+
+    def run(pdf):
+        spot = pdf[key].map(place)
+        some = spot.notna().to_numpy()
+        values = np.zeros((len(known), len(columns)))
+        values[spot[some].astype(int)] = pdf.loc[some, columns].to_numpy()
+        pdf.loc[some, columns] = (shared.value @ values)[spot[some].astype(int)]
+        return pdf
+
+    names = [c for c in df.columns if c not in columns] + columns
+    groups = over or [F.lit(0).alias("_all")]
+    return ship_and(df).groupBy(*groups).applyInPandas(run, df.schema).select(*names)
+
+
+def ship_and(df: DataFrame) -> DataFrame:
+    ship(df.sparkSession)
+    return df
+
+
+def gaussian(units: DataFrame, edges: DataFrame, beta: list[float], rho: float = 0.0, lam: float = 0.0, theta: list[float] | None = None, sigma: float = 1.0, seed: int = 0, key: str = "unit_id", time: str | None = None, unit_sd: float = 0.0, time_sd: float = 0.0, err_hetero: bool = False) -> DataFrame:
+    """(keys, x1.., y): y = (I - rho W)^-1 (b0 + X b + W X theta + effects + (I - lam W)^-1 e).
+
+    ``unit_sd`` and ``time_sd`` are the sds of unit and period effects, the first period's 0;
+    ``err_hetero`` scales e by sqrt(1 + |row of the design|^2).
+    """
     keys, over = [key, *([time] if time else [])], [time] if time else None
     xs = [f"x{i}" for i in range(1, len(beta))]
-    df = units.select(*keys).withColumns({x: normal(seed, x, *keys) for x in xs}).withColumn("_u", sigma * normal(seed, "noise", *keys))
+    df = units.select(*keys).withColumns({x: normal(seed, x, *keys) for x in xs})
+    size = F.lit(2.0)
+    for x in xs:
+        size = size + F.col(x) * F.col(x)
+    df = df.withColumn("_u", (sigma * F.sqrt(size) if err_hetero else F.lit(float(sigma))) * normal(seed, "noise", *keys))
     df = filtered(df, edges, "_u", lam, key, over)
     mean = F.lit(beta[0])
     for x, b in zip(xs, beta[1:], strict=True):
@@ -61,6 +102,9 @@ def gaussian(units: DataFrame, edges: DataFrame, beta: list[float], rho: float =
             mean = mean + t * F.col(f"W_{x}")
     if unit_sd:
         mean = mean + unit_sd * normal(seed, "unit", key)
+    if time and time_sd:
+        first = units.agg(F.min(time).alias("t")).first()["t"]
+        mean = mean + F.when(F.col(time) == first, 0.0).otherwise(time_sd * normal(seed, "period", time))
     df = df.withColumn("y", mean + F.col("_u")).select(*keys, *xs, "y")
     return filtered(df, edges, "y", rho, key, over)
 
