@@ -83,6 +83,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Shares of all rows above which a key's rows are split, and into how many places.
+SPLIT, SALTS = 4096, 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, left: str, right: str, n: str, total: int, own: Column, how: str = "inner", least: int = 2000, also: Column | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` (a row for each ``right``, with ``n``, the number of rows of that key).
+
+    Keys with over a SPLITth of ``total`` rows, of which there are fewer than SPLIT, are known to
+    all tasks by a broadcast of that bound; their rows are dealt to SALTS places by ``own``, and
+    their row of ``table`` goes to each of them, so that no task gets a whole hot key. ``also`` is a
+    further condition of the join.
+    """
+    bound = max(least, total // SPLIT)
+    heavy = table.filter(F.col(n) > bound).select(F.col(right).alias("_heavy")).distinct()
+    marked = rows.join(F.broadcast(heavy), F.col(left) == F.col("_heavy"), "left")
+    salted = marked.withColumn("_salt", F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int"))).drop("_heavy")
+    places = F.when(F.col(n) > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = table.withColumn("_place", F.explode(places))
+    met = (F.col(left) == F.col(right)) & (F.col("_salt") == F.col("_place"))
+    return salted.join(dealt, met if also is None else met & also, how).drop("_salt", "_place")
+
+
 def temp_name(stem: str) -> str:
     return f"{stem}_{uuid.uuid4().hex}"
 

@@ -61,6 +61,9 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, t
     held = F.struct(*[F.col(f"`{c}`").alias(c) for c in keep])
     base = docs.select(F.monotonically_increasing_id().alias("_row"), held.alias("_keep"), _words(F.col(text)).alias("_words"))
 
+    if blocks > 1:  # row ids are made once, not anew in every branch
+        base = cut(base)
+
     def grams(h: Column, n: int) -> Column:
         return F.transform(h, lambda _, i: F.xxhash64(F.slice(h, i + 1, n)))
 

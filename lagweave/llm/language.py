@@ -8,19 +8,17 @@ runner-up is closer than ``min_margin`` the prediction is marked as rejected.
 
 from __future__ import annotations
 
-import random
 import re
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, documents, with_row_ids
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 GAPS = re.compile(r"[\W\d_]+")
 #: Bytes of known text before a short one; texts that count as short; margins that count as narrow.
 LEAD, SHORT, NARROW = 1000, 400, 0.01
@@ -31,35 +29,41 @@ def plain(text: str) -> bytes:
     return f" {GAPS.sub(' ', text.lower()).strip()} ".encode("utf-8", "surrogatepass")
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = 400, sample_chars: int = 1000, dict_bytes: int = 64 << 10) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_docs: int = 400, dict_bytes: int = 64 << 10, max_langs: int = 256) -> dict[str, bytes]:
     """Dictionaries by language, the language with most rows first (it wins ties).
 
-    A dictionary holds the sample's words in a shuffled order, so that words and their parts are
-    matched, but no passage that documents of several languages share.
-    At most about ``sample_docs`` documents of a language are read, each by one window of
-    ``sample_chars`` characters at a place that its id's hash names; this sample is the only thing
-    here that doesn't grow with the input. Rows with a null text or language are not learned from.
+    About ``sample_docs`` labelled documents of a language are drawn by the hash of their id, once
+    for each id, and read whole. A dictionary holds ``dict_bytes`` of their words, drawn and
+    shuffled by hash, so that words and their parts are matched, but no passage that documents of
+    several languages share. These two bounds are the only things here that don't grow with the
+    input. Rows with a null text or language are not learned from; over ``max_langs`` languages raise.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[lang]: r["n"] for r in known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = known.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()
+    if len(found) > max_langs:
+        raise ValueError(f"over {max_langs} languages")
+    counts = {r[lang]: r["n"] for r in found}
     if not counts:
         return {}
-    rates = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))])
+
+    def table(values: dict) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for item in values.items() for x in item]), F.col(lang))
+
     draw = F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) / float(1 << 30)
-    place = F.pmod(F.xxhash64(F.lit("place"), id_col), F.greatest(F.length(text) - sample_chars, F.lit(1))) + 1
-    window = F.substring(F.col(text), place.cast("int"), F.lit(sample_chars))
-    # A language whose draw left nothing is still learned: its first row by hash stays in.
-    picked = known.filter(draw < F.element_at(rates, F.col(lang))).select(lang, F.xxhash64(id_col).alias("h"), window.alias("t"))
-    least = known.groupBy(lang).agg(F.min_by(F.struct(F.xxhash64(id_col).alias("h"), window.alias("t")), F.xxhash64(id_col)).alias("s")).select(lang, "s.h", "s.t")
-    texts: dict[str, list] = {}
-    for row in picked.union(least).collect():
-        texts.setdefault(row[0], []).append((row[1], row[2]))
-    out = {}
-    for name in sorted(texts, key=lambda k: (-counts[k], k)):
-        words = [w for _, t in sorted(set(texts[name])) for w in plain(t).split()]
-        random.Random(len(words)).shuffle(words)
-        out[name] = b" " + b" ".join(words)[: dict_bytes + LEAD] + b" " * 8
-    return out
+    picked = known.filter(draw < table({k: min(1.0, sample_docs / n) for k, n in counts.items()}))
+    # A language whose draw left nothing is still learned, from its first row by hash.
+    least = known.groupBy(lang).agg(F.min_by(F.struct(F.xxhash64(id_col).alias("h"), F.col(text).alias("t")), F.xxhash64(id_col)).alias("s")).select(lang, "s.h", "s.t")
+    texts = picked.groupBy(lang, F.xxhash64(id_col).alias("h")).agg(F.min(text).alias("t")).union(least).dropDuplicates([lang, "h"])
+    words = cut(texts.select(lang, "h", F.posexplode(F.split("t", r"[^\p{L}]+")).alias("i", "w")).filter("w <> ''"))
+    sizes = {r[lang]: r["b"] for r in words.groupBy(lang).agg(F.sum(F.octet_length("w") + 1).alias("b")).collect()}
+    wanted = dict_bytes + LEAD
+    order = F.xxhash64(F.lit("word"), "h", "i")
+    some = words.filter(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < table({k: min(1.0, 1.2 * wanted / b) for k, b in sizes.items()}))
+    held: dict[str, list] = {}
+    for r in some.select(lang, order.alias("o"), F.lower("w").alias("w")).collect():
+        held.setdefault(r[lang], []).append((r["o"], r["w"]))
+    names = sorted((k for k in held), key=lambda k: (-counts[k], k))
+    return {k: b" " + " ".join(w for _, w in sorted(held[k])).encode("utf-8", "surrogatepass")[:wanted] + b" " * 8 for k in names}
 
 
 class Classifier:
@@ -79,7 +83,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin (how much larger the runner-up is, relative to the best)."""
-        if not self.names or text is None or not LETTER.search(text):
+        if not self.names or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         body = plain(text)
         parts = [body[i : i + self.piece] for i in range(0, len(body), self.piece)]

@@ -109,16 +109,22 @@ ADDED = ["block", "phase", "slot", "release", "deadline", "position"]
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_rows: int = 32, slots: int = 1000, source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` and block, phase, slot, release, deadline, position (all long, from 0).
 
-    Columns of ``docs`` that have one of these names are replaced.
+    Columns of ``docs`` that have one of these names are replaced; ``in_mixed_order`` keeps them.
 
     ``weights`` gives target weights by source; without it they are the sources' row counts to the
     power ``temperature``; a source that ``weights`` lacks takes the smallest weight given. Rows
     with a null source are a source of their own. The table of sources (not of rows) is read by the
-    driver, which schedules the table of blocks. ``slots`` has no effect. Repeated rows, and null or equal keys, keep a place each. An empty table gives an
-    empty result.
+    driver, which schedules the table of blocks. ``slots`` has no effect. Repeated rows, and null or
+    equal keys, keep a place each. An empty table gives an empty result.
     """
-    kept = [F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ADDED]
-    keyed = docs.select(F.struct(*kept).alias("_doc"), F.col(key).alias("_key_col"), source_key(source).alias("_source"))
+    kept = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ADDED]
+    return _placed(docs, weights, temperature, block_rows, slots, source, key).select(*kept, *ADDED)
+
+
+def _placed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, block_rows: int = 32, slots: int = 1000, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """_doc, a struct of all columns, and where the row is placed."""
+    every = [F.col(f"`{c}`").alias(c) for c in docs.columns]
+    keyed = docs.select(F.struct(*every).alias("_doc"), F.col(key).alias("_key_col"), source_key(source).alias("_source"))
     counts = {r["_source"]: r["n"] for r in keyed.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = min(weights.values()) if weights else 0
     target = {s: (weights.get(s[1:], least) if weights else n**temperature) for s, n in counts.items()}
@@ -131,14 +137,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     index = dense_index(keyed, "_source", F.xxhash64(F.lit("mix"), F.col("_key_col")), [F.col("_key_col")], "_index")
     placed = index.withColumn("block", F.floor(F.col("_index") / block_rows))
     placed = placed.join(table, (F.col("_source") == F.col("_s")) & (F.col("block") == F.col("_b")))
-    placed = placed.withColumn("position", F.col("_start") + F.pmod("_index", F.lit(block_rows)))
-    return placed.select("_doc.*", *ADDED)
+    return placed.withColumn("position", F.col("_start") + F.pmod("_index", F.lit(block_rows)))
 
 
 def in_mixed_order(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with their columns, stored in the order of their positions: partition by partition."""
-    placed = mix_sources(docs, **how)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """``docs`` with their columns, all as they are, stored in the order of their positions."""
+    placed = _placed(docs, **how)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("_doc.*")
 
 
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -29,3 +29,17 @@ k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS kept FROM e LEFT JO
 SELECT j.doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM j LEFT JOIN k ON j.doc_id = k.doc_id
 """
+
+OP9 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, s, substr(x, 2 * s - 1, 200) AS gram FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS s FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) AS k FROM p),
+m AS (SELECT doc_id, s, s + 99 AS e, max(s + 99) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE k > 1),
+b AS (SELECT doc_id, s, e, sum(CASE WHEN before IS NULL OR s > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS g FROM m),
+c AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM b GROUP BY doc_id, g),
+k AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS last FROM c),
+h AS (SELECT k.doc_id, count(*) AS spans, sum(e - s + 1) AS gone, max(e) AS tail, string_agg(substr(x, 2 * last + 1, 2 * (s - last - 1)), '' ORDER BY s) AS kept FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN h.doc_id IS NULL THEN x ELSE kept || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id
+"""

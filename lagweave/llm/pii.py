@@ -178,7 +178,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     A null text stays null with counts of 0; an empty or clean text is returned unchanged. Equal
     values get equal pseudonyms wherever they are, in repeated rows too. A value that its check
     refuses (a card number whose Luhn sum is wrong, a day or an octet that doesn't exist) is left.
-    Further columns are kept as they are.
+    Further columns are kept as they are, but for n_matched and n_changed, which are replaced.
     """
     quick = F.col(text).rlike(rf"[0-9@]|{SECRET_NAME}")
     spans = F.when(quick, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
@@ -195,6 +195,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     }).drop("_found", "_new")
 
 
-def op2_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    done = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key="production-key")
+def op2_feistel_pseudonyms(spark, sf_dir: str, key: str | None = None) -> DataFrame:
+    """All documents with pseudonyms; the key is a parameter, or the session's spark.lagweave.pii.key."""
+    key = key or spark.conf.get("spark.lagweave.pii.key", "no key was set")
+    done = pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), key=key)
     return done.select("doc_id", "text", "n_matched", "n_changed")

@@ -28,15 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread_join
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Window starts handled at once; positions inside take the low bits of a sort key.
 STRETCH, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
 #: Bytes of documents whose single windows are compared at once.
 HELD = 1 << 20
-#: Shares of all occurrences above which an anchor's rows are split, and into how many places.
-SPLIT, SALTS = 4096, 64
 BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -145,15 +143,9 @@ def candidate_runs(rows: DataFrame, again: DataFrame, shape: Shape, text: str, h
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(own), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "_rid", "first", "n"])
 
     each = rows.select("_rid", text).mapInArrow(run, "h long, _rid long, first int, n int")
-    # Anchors with over a SPLITth of all occurrences: fewer than SPLIT, so their broadcast is bounded.
-    # Their rows are dealt to SALTS places each, so that no place gets a whole one.
     total = again.agg(F.sum("n").alias("n")).first()["n"] or 0
-    heavy = again.filter(F.col("n") > max(hot, total // SPLIT)).select(F.col("h").alias("_heavy"))
-    salted = each.join(F.broadcast(heavy), F.col("h") == F.col("_heavy"), "left")
-    salted = salted.withColumn("_salt", F.when(F.col("_heavy").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_rid", "first"), F.lit(SALTS)).cast("int"))).drop("_heavy")
-    salts = F.when(F.col("n") > max(hot, total // SPLIT), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    known = again.select(F.col("h").alias("_h"), (F.col("n") > hot).alias("hot"), F.explode(salts).alias("_s"))
-    joined = salted.join(known, (F.col("h") == F.col("_h")) & (F.col("_salt") == F.col("_s")))
+    known = again.select(F.col("h").alias("_h"), F.col("n").alias("_n"), (F.col("n") > hot).alias("hot"))
+    joined = spread_join(each, known, "h", "_h", "_n", total, F.hash("_rid", "first"), least=hot)
     return joined.groupBy("_rid").agg(F.collect_list(F.struct("first", "n", "h", "hot")).alias("runs"))
 
 

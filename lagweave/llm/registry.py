@@ -19,4 +19,4 @@ QUERIES = {
     "op10_isolation_forest_quality": quality.op10_isolation_forest_quality,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_benchmark_decontamination": oracles.OP1, "op8_repeated_phrase_automata": oracles.OP8}
+ORACLES = {"op1_benchmark_decontamination": oracles.OP1, "op8_repeated_phrase_automata": oracles.OP8, "op9_induced_suffix_sorting": oracles.OP9}

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dense_index
+from .common import cut, dense_index, spread_join
 
 ROW_OVERHEAD = 16
 
@@ -46,7 +46,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 3, text:
     groups = base.groupBy("_g", "_g2").agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     fits = max(1, int(0.9 * quota[-1]))
-    linked = base.join(groups.withColumnsRenamed({"_g": "_lg", "_g2": "_lg2"}), (F.col("_g") == F.col("_lg")) & (F.col("_g2") == F.col("_lg2")), "left").drop("_lg", "_lg2")
+    named = groups.withColumnsRenamed({"_g": "_lg", "_g2": "_lg2"})
+    linked = spread_join(base, named, "_g", "_lg", "_rows", total, F.col("_d"), "left", also=F.col("_g2") == F.col("_lg2")).drop("_lg", "_lg2")
     parts = F.ceil(F.col("_rows") / F.lit(fits))
     part = F.when(F.col("_rows") > fits, F.pmod(_mixed("_d", F.lit("part")), parts)).otherwise(F.lit(0).cast("long"))
     state = linked.select(

@@ -4,7 +4,8 @@ A fingerprint of 64 bits is cut into 32 segments of two bits, and each segment i
 bit count (0, 1 or 2). The Manhattan distance of two such vectors never exceeds the Hamming
 distance of the fingerprints, so pairs within 4 bits are within distance 4 on the grid of counts.
 Cut into 7 groups of segments, such vectors agree in 3 groups at least: the grid cells are the
-35 choices of 3 groups with their counts. Within a cell, distances are verified exactly.
+35 choices of 3 groups with their counts. Within a cell, the Manhattan distance of the counts is
+computed first, and only pairs that it leaves are verified exactly.
 
 Only distinct fingerprints enter cells. A cell yields a spanning forest of its links, not all its
 pairs; a cell above ``max_cell`` rows is dealt into pairs of blocks, which together compare all.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, documents, let, with_row_ids
+from .common import cut, documents, let, spread_join, with_row_ids
 
 BITS, SEED = 64, 42
 #: Two-bit segments in each group; 32 in all.
@@ -83,15 +84,34 @@ def cells(nodes: DataFrame) -> DataFrame:
     return coded.select("fp", F.explode(let(F.col("codes"), lambda codes: F.transform(choices, lambda c: ((c["n"] * 256 + codes[c["a"]]) * 256 + codes[c["b"]]) * 256 + codes[c["c"]]))).alias("cell"))
 
 
+ODD = np.uint64(0x5555555555555555)
+
+
+def count_codes(fps: np.ndarray) -> np.ndarray:
+    """The segments' bit counts in unary (0: 00, 1: 01, 2: 11), so that the Manhattan distance of two
+    count vectors is the number of bits in which their codes differ."""
+    high = fps >> np.uint64(1)
+    return ((fps | high) & ODD) | ((fps & high & ODD) << np.uint64(1))
+
+
+def near(a: np.ndarray, b: np.ndarray, code_a: np.ndarray, code_b: np.ndarray, most: int) -> np.ndarray:
+    """Where fingerprints differ in ``most`` bits at most: the Manhattan bound first, then those it leaves exactly."""
+    out = np.bitwise_count(code_a ^ code_b) <= most
+    left = np.nonzero(out)
+    a, b = np.broadcast_arrays(a, b)
+    out[left] = np.bitwise_count(a[left] ^ b[left]) <= most
+    return out
+
+
 def forest(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is connected within ``points`` (distinct) at up to ``most`` bits."""
     left, a, b = points, [], []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
-            near = np.bitwise_count(front[:64, None] ^ left[None]) <= most
-            hit = near.any(0)
-            a.append(front[:64][near.argmax(0)[hit]])
+            linked = near(front[:64, None], left[None], count_codes(front[:64, None]), count_codes(left)[None], most)
+            hit = linked.any(0)
+            a.append(front[:64][linked.argmax(0)[hit]])
             b.append(left[hit])
             front, left = np.concatenate([front[64:], left[hit]]), left[~hit]
     none = np.empty(0, points.dtype)
@@ -103,15 +123,16 @@ def cell_links(keys: np.ndarray, fps: np.ndarray, most: int, small: int = 24) ->
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[first, len(keys)])
     a, b = [], []
+    codes = count_codes(fps)
     ends = np.repeat(first + sizes, sizes)
     at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
     for step in range(1, small):
         at = at[at + step < ends[at]]
         if not len(at):
             break
-        near = np.bitwise_count(fps[at] ^ fps[at + step]) <= most
-        a.append(fps[at[near]])
-        b.append(fps[at[near] + step])
+        hit = at[near(fps[at], fps[at + step], codes[at], codes[at + step], most)]
+        a.append(fps[hit])
+        b.append(fps[hit + step])
     for k in np.flatnonzero(sizes > small):
         x, y = forest(np.unique(fps[first[k] : first[k] + sizes[k]]), most)
         a.append(x)
@@ -174,12 +195,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     other, when component_id is null. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_col, text, shingle))
-    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")))
     labels = components(links(nodes, most))
-    rooted = cut(nodes.join(labels, nodes["fp"] == labels["u"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = rooted.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    joined = prints.join(names, F.col("fp") == F.col("_fp"))
+    rooted = cut(nodes.join(labels, nodes["fp"] == labels["u"], "left").select("fp", "first_id", "n", F.coalesce("label", "fp").alias("root")))
+    size = rooted.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("rows")).first()
+    ids = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_m"))
+    names = spread_join(rooted, ids, "root", "_root", "_m", size["nodes"], F.col("fp")).select(F.col("fp").alias("_fp"), "component_id", "n")
+    joined = spread_join(prints, names, "fp", "_fp", "n", size["rows"] or 0, F.col(id_col))
     return joined.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
