@@ -89,19 +89,6 @@ def battery(units: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str
 
 def decide(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One row (model, path): the specification that the significant tests of ``battery`` imply."""
-    p = {r["test"]: r["p_value"] for r in tests.collect()}
-    low = lambda t: p.get(t) is not None and p[t] < alpha
-    path = []
+    from .score_tests import decide as read
 
-    def asks(t: str) -> bool:
-        path.append(f"{t}={'yes' if low(t) else 'no'}")
-        return low(t)
-
-    wx = asks("LM-WX")
-    lag, error = asks("LM-Lag"), asks("LM-Error")
-    if lag and error:
-        lag, error = asks("Robust-LM-Lag"), asks("Robust-LM-Error")
-        if lag == error:
-            lag, error = p["Robust-LM-Lag"] <= p["Robust-LM-Error"], p["Robust-LM-Lag"] > p["Robust-LM-Error"]
-    model = {(0, 0, 0): "OLS", (0, 1, 0): "SAR", (0, 0, 1): "SEM", (1, 0, 0): "SLX", (1, 1, 0): "SDM", (1, 0, 1): "SDEM"}[(int(wx), int(lag), int(error))]
-    return tests.sparkSession.createDataFrame([(model, " > ".join(path))], "model string, path string")
+    return read(tests, "OLS", alpha=alpha)

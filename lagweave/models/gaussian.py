@@ -15,7 +15,8 @@ from ..operators.gram import Gram, ols
 from ..operators.lags import spatial_lag, time_lag, within
 from ..operators.weights import check
 from ..shipping import ship
-from .logdet import log_det
+from ..plans.formula import compile_formula
+from .logdet import dense, index_of, log_det
 from .spec import SPECS, Priors, validate
 
 
@@ -264,7 +265,7 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
         raise ValueError(f"{model} is not a Gaussian model")
     validate(spec, effects, dynamic, time is not None)
     if effects == "random" or dynamic == "restricted":
-        raise NotImplementedError("random effects and restricted dynamics are not built yet")
+        raise NotImplementedError("random effects are in random_effects.fit; restricted dynamics are not built yet")
     priors = Priors.of(priors, model, panel=time is not None, effects=effects, dynamic=dynamic)
     spark = units.sparkSession
     checked(units, edges, [y, *xs], key, time, balanced=effects != "pooled" or dynamic is not None)
@@ -284,6 +285,72 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     return Fit(model, spec, kernel, out, units, edges, y, key, work, terms, time)
 
 
+def fit_formula(model: str, formula: str, units: DataFrame, edges: DataFrame, key: str = "unit_id", time: str | None = None, **how) -> Fit:
+    """As ``fit``, with outcome and covariates from ``y ~ terms``; rows with a null in a term raise.
+
+    The models have a constant of their own, so a formula without one is refused.
+    """
+    compiled = compile_formula(formula, units)
+    if not compiled.intercept:
+        raise ValueError("the models have a constant; leave '0' and '-1' out")
+    keys = [key, *([time] if time else [])]
+    plain, names = compiled.apply(units, keys)
+    if plain.count() != units.count():
+        raise ValueError("a term or the outcome is null in some rows")
+    safe = {n: f"t{i}" for i, n in enumerate(names) if not n.isidentifier()}
+    done = fit(model, plain.withColumnsRenamed(safe), edges, compiled.outcome, [safe.get(n, n) for n in names], key, time, **how)
+    done.labels = {v: k for k, v in safe.items()}
+    return done
+
+
+def predict_new(fit_: Fit, units: DataFrame, edges: DataFrame, draws: int = 200, most: int = 2000) -> DataFrame:
+    """(key, mean, sd) for the units of ``units`` whose outcome is null, given those that have one.
+
+    ``units`` holds all units, old and new, with covariates, and ``edges`` join them. Under each of
+    ``draws`` posterior draws the new outcomes are normal given the old ones, with precision
+    (I - rW)'(I - rW) / sigma^2; mean and sd are over these. W is dense, for ``most`` units at most.
+    """
+    key, y = fit_.key, fit_.y
+    if fit_.time is not None:
+        raise ValueError("new units are predicted in cross-sections")
+    ids = index_of(units, key, most)
+    w = dense(edges, ids, most)
+    xs = [t for t in fit_.kernel.names if t != "_one" and not t.startswith("W_")]
+    rows = {r[key]: r for r in units.select(key, y, *xs).collect()}
+    x = np.array([[float(rows[i][c]) for c in xs] for i in ids]).reshape(len(ids), len(xs))
+    known = {"_one": np.ones(len(ids))} | {c: x[:, k] for k, c in enumerate(xs)} | {f"W_{c}": w @ x[:, k] for k, c in enumerate(xs)}
+    z = np.column_stack([known[t] for t in fit_.kernel.names])
+    new = np.array([rows[i][y] is None for i in ids])
+    seen = np.array([0.0 if rows[i][y] is None else float(rows[i][y]) for i in ids])
+    if not new.any():
+        raise ValueError("no unit without an outcome")
+    some = fit_.draws.orderBy("chain", "draw").toPandas()
+    some = some.iloc[:: max(1, len(some) // draws)]
+    means, variances = [], []
+    for d in some.to_dict("records"):
+        r = d.get(fit_.spatial, 0.0) if fit_.spatial else 0.0
+        a = np.eye(len(ids)) - r * w
+        mean = z @ np.array([d[t] for t in fit_.kernel.names])
+        if fit_.spec.process == "lag":
+            mean = np.linalg.solve(a, mean)
+        q = a.T @ a / d["sigma"] ** 2
+        cover = np.linalg.inv(q[np.ix_(new, new)])
+        means.append(mean[new] - cover @ q[np.ix_(new, ~new)] @ (seen - mean)[~new])
+        variances.append(np.diag(cover))
+    mean, sd = np.mean(means, 0), np.sqrt(np.mean(variances, 0) + np.var(means, 0))
+    out = [(i, float(m), float(s)) for i, m, s in zip(np.array(ids, object)[new], mean, sd, strict=True)]
+    return units.sparkSession.createDataFrame(out, f"{key} {units.schema[key].dataType.simpleString()}, mean double, sd double")
+
+
+def compare(fits: dict[str, Fit]) -> DataFrame:
+    """(model, log_marginal, log_bf, probability): evidences, log Bayes factors against the best, equal prior odds."""
+    spark = next(iter(fits.values())).units.sparkSession
+    values = {k: f.log_marginal() for k, f in fits.items()}
+    top = max(values.values())
+    total = sum(np.exp(v - top) for v in values.values())
+    return spark.createDataFrame([(k, float(v), float(v - top), float(np.exp(v - top) / total)) for k, v in values.items()], "model string, log_marginal double, log_bf double, probability double")
+
+
 def bayes_factor(a: Fit, b: Fit) -> float:
     """log evidence of a less that of b."""
     return a.log_marginal() - b.log_marginal()

@@ -98,7 +98,8 @@ def by_nodes(spark, w: np.ndarray, low: float, high: float, order: int | None =
                 out.append(np.linalg.slogdet(m)[1])
             yield pdf.assign(value=out)
 
-    rows = spark.createDataFrame([(k, float(r)) for k, r in enumerate(at)], "k int, rho double").repartition(len(at), "k")
+    tasks = min(len(at), spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(k, float(r)) for k, r in enumerate(at)], "k int, rho double").repartition(tasks, "k")
     found = sorted(rows.mapInPandas(run, "k int, rho double, value double").collect(), key=lambda r: r["k"])
     return fit_series(np.array([r["value"] for r in found]), low, high)
 
@@ -160,18 +161,48 @@ class Stochastic:
 
 
 def log_det(units: DataFrame, edges: DataFrame, low: float, high: float, key: str = "unit_id", method: str = "auto", eigen_most: int = 500, dense_most: int = 4000, order: int = 30, probes: int = 50):
-    """An evaluator; methods: auto, eigenvalue, chebyshev, stochastic."""
-    n = units.select(key).distinct().count()
+    """An evaluator; methods: auto, eigenvalue, chebyshev, rational, spline, stochastic.
+
+    ``auto`` takes eigenvalues up to ``eigen_most`` units, or five times as many where W is similar
+    to a symmetric matrix; a Chebyshev series of exact values up to ``dense_most``; and stochastic
+    moments, whose error is that of ``probes`` random vectors, beyond. The method that was taken is
+    the evaluator's ``method``.
+    """
+    from . import rational
+
+    some = [r[0] for r in units.select(key).distinct().limit(dense_most + 1).collect()] if method != "stochastic" else []
+    if method == "stochastic" or (method == "auto" and len(some) > dense_most):
+        if not edges.filter("w < 0").isEmpty() or weights.asymmetry(edges).first()["asymmetry"] > 1e-9 and rational_similar(edges) is False:
+            raise ValueError("stochastic moments need a W with real eigenvalues")
+        return _named(Stochastic(moments(units.select(key).distinct(), edges, order, probes, key=key)), "stochastic")
+    if len(some) > dense_most:
+        raise ValueError(f"over {dense_most} units are too many for {method}")
+    w = dense(edges, sorted(some), dense_most)
     if method == "auto":
-        method = "eigenvalue" if n <= eigen_most else "chebyshev" if n <= dense_most else "stochastic"
-    if method == "stochastic":
-        return Stochastic(moments(units.select(key).distinct(), edges, order, probes, key=key))
-    w = dense(edges, index_of(units, key, dense_most), dense_most)
+        similar = len(some) <= 5 * eigen_most and rational.symmetrizer(w) is not None
+        method = "eigenvalue" if len(some) <= eigen_most or similar else "chebyshev"
     if method == "eigenvalue":
-        return Eigen(np.linalg.eigvals(w))
-    if method != "chebyshev":
-        raise ValueError(f"unknown method {method!r}")
-    return by_nodes(units.sparkSession, w, max(low, -0.999), min(high, 0.999))
+        return _named(Eigen(rational.symmetrized_eigenvalues(w)), method)
+    low, high = max(low, -0.999), min(high, 0.999)
+    if method == "chebyshev":
+        return _named(by_nodes(units.sparkSession, w, low, high), method)
+    exact = lambda r: float(np.linalg.slogdet(np.eye(len(w)) - r * w)[1])
+    if method == "rational":
+        return _named(rational.rational(exact, low, high), method)
+    if method == "spline":
+        return _named(rational.Spline(exact, low, high), method)
+    raise ValueError(f"unknown method {method!r}")
+
+
+def _named(evaluator, method: str):
+    evaluator.method = method
+    return evaluator
+
+
+def rational_similar(edges: DataFrame) -> bool:
+    """Whether every edge has one back: what a standardized symmetric graph has, and with it real eigenvalues."""
+    back = edges.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))
+    return edges.select("focal", "neighbor").exceptAll(back).isEmpty()
 
 
 def flow_log_det(eigenvalues: np.ndarray, rd: float, ro: float, rw: float) -> float:

@@ -80,6 +80,11 @@ def mundlak(panel: DataFrame, columns: list[str], prefix: str = "mean_") -> Data
     return panel.select("*", *[F.avg(c).over(unit).alias(prefix + c) for c in columns])
 
 
+def unit_sums(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """(unit, columns): sums over each unit's periods."""
+    return panel.groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns])
+
+
 def wide(panel: DataFrame, column: str, periods: list[int]) -> DataFrame:
     """One row for each unit, one column for each period."""
     return panel.groupBy("unit").pivot("time", periods).agg(F.first(column)).select("unit", *[F.col(str(p)).alias(f"{column}_{p}") for p in periods])

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..diagnostics import cv, lm, mcmc, posterior
-from ..models import flows, gaussian, logdet, random_effects, rowwise, two_part
+from ..dgp import catalog, simulate
+from ..dgp import flows as flow_dgp
+from ..diagnostics import cv, lm, mcmc, posterior, score_tests
+from ..models import flows, gaussian, logdet, priors, random_effects, rowwise, solves, two_part
 from ..operators import gram as g
-from ..operators import lags, weights
+from ..operators import lags, traces, weights
 from ..sources import tables
 from .spatial_sql import SQL
 
@@ -134,7 +136,7 @@ def lm_battery(spark, d):
 
 
 def lm_decision(spark, d):
-    return lm.decide(lm.battery(tables.nation_units(spark, d), grid(spark), "y", ["x1"]))
+    return score_tests.decide(lm.battery(tables.nation_units(spark, d), grid(spark), "y", ["x1"]), "OLS").select("model")
 
 
 EFFECTS = [f"{a}_{b}" for a in ("direct", "indirect", "total") for b in ("mean", "ci_lower", "ci_upper", "pvalue")]
@@ -286,6 +288,110 @@ def log_det_values(spark, d):
     return spark.createDataFrame([(r / 10, float(f(r / 10)), float(f.slope(r / 10))) for r in range(-9, 10)], "rho double, log_det double, slope double")
 
 
+def unit_sums(spark, d):
+    """Sums over a unit's periods, by the operator that takes means of them."""
+    return rounded(lags.unit_sums(tables.nation_years(spark, d), ["y"]).select("unit", "y"), ["y"])
+
+
+def _gap(df, keys, left, right):
+    """By how much the two sides of a simulator's equation differ: 0 to 6 digits."""
+    return df.select(*keys, (F.round(left - right, 6) + 0.0).alias("gap"))
+
+
+def sim_lag_equation(spark, d):
+    """(I - rho W) y less mean and noise, for the lag model with lagged covariates."""
+    out = catalog.simulated("SDM", tables.nation_units(spark, d).select("unit_id"), grid(spark), seed=3)
+    seen = lags.spatial_lag(out, grid(spark), ["y", "x1"])
+    return _gap(seen, ["unit_id"], F.col("y") - 0.4 * F.col("W_y"), 1 + 2 * F.col("x1") + 0.5 * F.col("W_x1") + simulate.normal(3, "noise", "unit_id"))
+
+
+def sim_error_equation(spark, d):
+    """(I - lam W)(y - mean) less noise, for the error model with lagged covariates."""
+    out = catalog.simulated("SDEM", tables.nation_units(spark, d).select("unit_id"), grid(spark), seed=3)
+    seen = lags.spatial_lag(out, grid(spark), ["x1"]).withColumn("u", F.col("y") - 1 - 2 * F.col("x1") - 0.5 * F.col("W_x1"))
+    seen = lags.spatial_lag(seen, grid(spark), ["u"])
+    return _gap(seen, ["unit_id"], F.col("u") - 0.4 * F.col("W_u"), simulate.normal(3, "noise", "unit_id"))
+
+
+def sim_panel_equation(spark, d):
+    """The lag model's equation in each period, with effects of units and periods."""
+    out = catalog.simulated("SAR", tables.nation_units(spark, d).select("unit_id"), grid(spark), periods=3, effects="two_way", seed=3)
+    seen = lags.spatial_lag(out, grid(spark), ["y"], over=["time"])
+    period = F.when(F.col("time") == 0, 0.0).otherwise(0.5 * simulate.normal(3, "period", "time"))
+    return _gap(seen, ["unit_id", "time"], F.col("y") - 0.5 * F.col("W_y"), 1 + 2 * F.col("x1") + 0.5 * simulate.normal(3, "unit", "unit_id") + period + simulate.normal(3, "noise", "unit_id", "time"))
+
+
+def sim_dynamic_equation(spark, d):
+    """The restricted dynamic panel's equation from the second period on."""
+    out = catalog.simulated("SDM", tables.nation_units(spark, d).select("unit_id"), grid(spark), periods=3, dynamic="restricted", rho=0.3, phi=0.4, theta=None, seed=3)
+    seen = lags.spatial_lag(out, grid(spark), ["y"], over=["time"]).withColumnsRenamed({"unit_id": "unit"})
+    seen = lags.time_lag(seen, ["y", "W_y"]).withColumnRenamed("unit", "unit_id")
+    right = 0.4 * F.col("L_y") - 0.12 * F.col("L_W_y") + 1 + 2 * F.col("x1") + simulate.normal(3, "noise", "unit_id", "time")
+    return _gap(seen, ["unit_id", "time"], F.col("y") - 0.3 * F.col("W_y"), right)
+
+
+def sim_flow_equation(spark, d):
+    """The separable flow filter on flows less mean and noise."""
+    out = flow_dgp.flows(tables.nation_units(spark, d).select("unit_id"), grid(spark), rho_w=None, seed=3)
+    seen = lags.flow_lags(out, grid(spark), "y")
+    mean = -0.5 * F.col("log_distance") + F.col("d1") + 0.5 * F.col("d2") + 0.5 * F.col("o1") + 0.3 * F.col("o2")
+    return _gap(seen, ["origin", "dest"], F.col("y") - 0.3 * F.col("Wd_y") - 0.2 * F.col("Wo_y") + 0.06 * F.col("Ww_y"), mean + simulate.normal(3, "noise", "origin", "dest"))
+
+
+def flow_solve(spark, d):
+    """The filter on its own solution less what was solved for, with the flow table as right side."""
+    ids = [r[0] for r in tables.nation_units(spark, d).select("unit_id").orderBy("unit_id").collect()]
+    w = logdet.dense(grid(spark), ids)
+    import numpy as np
+
+    y = np.zeros((len(ids), len(ids)))
+    for r in _dense(spark, d).collect():
+        y[ids.index(r["origin"]), ids.index(r["dest"])] = r["y"]
+    gap = solves.kron_apply(w, solves.unrestricted_solve(w, y, 0.3, 0.2, 0.1), 0.3, 0.2, 0.1) - y
+    return spark.createDataFrame([(o, t, round(float(gap[i, j]), 6) + 0.0) for i, o in enumerate(ids) for j, t in enumerate(ids)], "origin long, dest long, gap double")
+
+
+def prior_defaults(spark, d):
+    """The default hyper-parameters of some models; null where the data decide."""
+    rows = [(m, k, None if v is None else float(v)) for m in ("SAR", "NegBin", "SARLogit", "PanelSDMUDynamic", "PanelSARRE") for k, v in priors.FAMILIES[m].items()]
+    return spark.createDataFrame(rows, "model string, setting string, value double")
+
+
+def trace_resolvent(spark, d):
+    """tr of W (I - rW)^-1 at r = 0, and its products: those of W."""
+    t = traces.resolvent_traces(tables.nation_units(spark, d).select("unit_id"), grid(spark), 0.0)
+    return rounded(spark.createDataFrame([(k, t[k]) for k in sorted(t)], "product string, value double"), ["value"])
+
+
+def log_det_series(spark, d):
+    """log|I - rho W| at small rho, where its power series is short."""
+    f = logdet.log_det(tables.nation_units(spark, d), grid(spark), -0.95, 0.95)
+    return rounded(spark.createDataFrame([(r / 20, float(f(r / 20))) for r in range(-4, 5)], "rho double, log_det double"), ["log_det"], 5)
+
+
+def _score_fit(model):
+    def run(spark, d):
+        fit = gaussian.fit(model, tables.nation_units(spark, d), grid(spark), "y", ["x1"], draws=200, tune=100, n_chains=2, seed=1)
+        return score_tests.tests(fit)
+
+    return run
+
+
+def score_tests_logit(spark, d):
+    units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), F.expr("CAST(y > 4500 AS DOUBLE)").alias("y"))
+    return score_tests.glm_tests(rowwise.fit("Logit", units, grid(spark), "y", ["x"], draws=100, tune=50, n_chains=2, seed=1))
+
+
+def fit_formula_sar(spark, d):
+    return gaussian.fit_formula("SAR", "y ~ x1 + log(x1)", tables.nation_units(spark, d).filter("x1 > 0"), grid(spark), draws=200, tune=100, n_chains=2, seed=1).summary()
+
+
+def predict_new_units(spark, d):
+    units = tables.nation_units(spark, d)
+    fit = gaussian.fit("SAR", units, grid(spark), "y", ["x1"], draws=200, tune=100, n_chains=2, seed=1)
+    return gaussian.predict_new(fit, units.withColumn("y", F.when(F.col("unit_id") % 6 != 0, F.col("y"))), grid(spark))
+
+
 def _trace(make, graph=grid):
     return lambda spark, d: rounded(make(graph(spark, d)), ["trace"])
 
@@ -351,7 +457,7 @@ QUERIES = {
     "left_censor": lambda spark, d: rounded(lags.left_censor(tables.nation_units(spark, d).select("unit_id", "y"), "y", 4500.0), ["y"]),
     "level_nesting": lambda spark, d: lags.nesting(tables.nation_units(spark, d), "unit_id", "region"),
     "counts_check": lambda spark, d: lags.are_counts(tables.nation_units(spark, d), "x1"),
-    "unit_sums": lambda spark, d: rounded(tables.nation_years(spark, d).groupBy("unit").agg(F.sum("y").alias("y")), ["y"]),
+    "unit_sums": unit_sums,
     "impacts_isolates": impacts_isolates,
     "pointwise_lpd": pointwise_lpd,
     "bic_of_draws": bic_of_draws,
@@ -374,6 +480,19 @@ QUERIES = {
     "fit_negbin_flow": fit_negbin_flow,
     **{f"fit_{m.lower()}": _two_part_fit(m) for m in ("ZINB", "SARZINB", "HurdleNegBin", "SARHurdleNegBin")},
     "flow_lm_tests": flow_lm_tests,
+    "sim_lag_equation": sim_lag_equation,
+    "sim_error_equation": sim_error_equation,
+    "sim_panel_equation": sim_panel_equation,
+    "sim_dynamic_equation": sim_dynamic_equation,
+    "sim_flow_equation": sim_flow_equation,
+    "flow_solve": flow_solve,
+    "prior_defaults": prior_defaults,
+    "trace_resolvent": trace_resolvent,
+    "log_det_series": log_det_series,
+    **{f"score_tests_{m.lower()}": _score_fit(m) for m in ("SAR", "SEM", "SDM", "SDEM")},
+    "score_tests_logit": score_tests_logit,
+    "fit_formula_sar": fit_formula_sar,
+    "predict_new_units": predict_new_units,
     "log_det_values": log_det_values,
 }
 ORACLES = dict(SQL)

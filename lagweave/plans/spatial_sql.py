@@ -154,3 +154,34 @@ SQL |= {
     "bic_of_draws": f"WITH {UNITS}, {DRAWS}, {POINT} SELECT {r('2 * ln(25) - 2 * max(ll)', 'bic', 4)} FROM (SELECT chain, draw, sum(ll) AS ll FROM p GROUP BY 1, 2)",
     "scalar_functions": f"SELECT id, {r('exp(2 * (ln(2) - ln(2 + exp(k))))', 'p0')}, {r('CASE WHEN id = 0 THEN 0.75 ELSE 3 * (exp(k) - 1) / (exp(k) + 1) / (2 * k) END', 'pg')}, {r('1 / (1 + exp(-k))', 'logistic')}, {r('ln(1 + abs(k))', 'log1p')} FROM (SELECT id, CAST(id AS DOUBLE) / 10 AS k FROM (SELECT CAST(unnest(range(-40, 41)) AS BIGINT) AS id))",
 }
+
+# The sides of a simulator's equation differ by 0 everywhere, whatever was drawn.
+IDS = "SELECT n_nationkey AS unit_id FROM nation"
+CHI2 = "3.841458820694124"
+SMALL = "(VALUES ('SAR', 'beta_mu', NULL), ('SAR', 'beta_sigma', NULL), ('SAR', 'sigma2_alpha', 2.0), ('SAR', 'sigma2_beta', NULL), ('SAR', 'nu', 4.0), ('SAR', 'rho_lower', -1.0), ('SAR', 'rho_upper', 1.0), " \
+    "('NegBin', 'beta_mu', NULL), ('NegBin', 'beta_sigma', NULL), ('NegBin', 'sigma2_alpha', 2.0), ('NegBin', 'sigma2_beta', NULL), ('NegBin', 'nu', 4.0), ('NegBin', 'alpha_sigma', 2.5), ('NegBin', 'alpha_nu', 3.0), ('NegBin', 'alpha_fixed', NULL), " \
+    "('SARLogit', 'beta_mu', NULL), ('SARLogit', 'beta_sigma', NULL), ('SARLogit', 'rho_lower', -0.999), ('SARLogit', 'rho_upper', 0.999), " \
+    "('PanelSDMUDynamic', 'beta_mu', NULL), ('PanelSDMUDynamic', 'beta_sigma', NULL), ('PanelSDMUDynamic', 'sigma2_alpha', 2.0), ('PanelSDMUDynamic', 'sigma2_beta', NULL), ('PanelSDMUDynamic', 'nu', 4.0), ('PanelSDMUDynamic', 'phi_lower', -0.95), ('PanelSDMUDynamic', 'phi_upper', 0.95), " \
+    "('PanelSDMUDynamic', 'rho_lower', -0.95), ('PanelSDMUDynamic', 'rho_upper', 0.95), ('PanelSDMUDynamic', 'theta_lower', -0.95), ('PanelSDMUDynamic', 'theta_upper', 0.95), " \
+    "('PanelSARRE', 'beta_mu', NULL), ('PanelSARRE', 'beta_sigma', NULL), ('PanelSARRE', 'sigma2_alpha', 2.0), ('PanelSARRE', 'sigma2_beta', NULL), ('PanelSARRE', 'nu', 4.0), ('PanelSARRE', 'rho_lower', -1.0), ('PanelSARRE', 'rho_upper', 1.0), ('PanelSARRE', 'unit_effect_sd_nu', 1.0), ('PanelSARRE', 'unit_effect_sd_scale', NULL)) AS t(model, setting, v)"
+POWERS = "p1 AS (SELECT focal, neighbor, w FROM grid), " + ", ".join(
+    f"p{k + 1} AS (SELECT a.focal, b.neighbor, sum(a.w * b.w) AS w FROM p{k} a JOIN grid b ON a.neighbor = b.focal GROUP BY 1, 2)" for k in range(1, 14)
+)
+TRACES = "t AS (" + " UNION ALL ".join(f"SELECT {k} AS k, coalesce(sum(w), 0) AS v FROM p{k} WHERE focal = neighbor" for k in range(1, 15)) + ")"
+SQL |= {
+    "sim_lag_equation": f"SELECT CAST(unit_id AS BIGINT) AS unit_id, CAST(0 AS DOUBLE) AS gap FROM ({IDS})",
+    "sim_error_equation": f"SELECT CAST(unit_id AS BIGINT) AS unit_id, CAST(0 AS DOUBLE) AS gap FROM ({IDS})",
+    "sim_panel_equation": f"SELECT CAST(unit_id AS BIGINT) AS unit_id, t.time, CAST(0 AS DOUBLE) AS gap FROM ({IDS}), (SELECT unnest(range(3)) AS time) t",
+    "sim_dynamic_equation": f"SELECT CAST(unit_id AS BIGINT) AS unit_id, t.time, CAST(0 AS DOUBLE) AS gap FROM ({IDS}), (SELECT unnest(range(1, 3)) AS time) t",
+    "sim_flow_equation": f"SELECT CAST(a.unit_id AS BIGINT) AS origin, CAST(b.unit_id AS BIGINT) AS dest, CAST(0 AS DOUBLE) AS gap FROM ({IDS}) a, ({IDS}) b",
+    "flow_solve": f"SELECT CAST(a.unit_id AS BIGINT) AS origin, CAST(b.unit_id AS BIGINT) AS dest, CAST(0 AS DOUBLE) AS gap FROM ({IDS}) a, ({IDS}) b",
+    "prior_defaults": f"SELECT model, setting, CAST(v AS DOUBLE) AS value FROM {SMALL}",
+    "trace_resolvent": f"WITH {GRID}, x AS (SELECT sum(a.w * b.w) AS cross_ FROM grid a JOIN grid b ON a.focal = b.neighbor AND a.neighbor = b.focal), s AS (SELECT sum(w * w) AS square FROM grid) "
+    f"SELECT product, {r('v', 'value')} FROM (SELECT 'g' AS product, CAST(0 AS DOUBLE) AS v UNION ALL SELECT 'gg', cross_ FROM x UNION ALL SELECT 'gtg', square FROM s UNION ALL SELECT 'wg', cross_ FROM x UNION ALL SELECT 'wtg', square FROM s)",
+    "log_det_series": f"WITH {GRID}, {POWERS}, {TRACES}, q AS (SELECT CAST(i AS DOUBLE) / 20 AS rho FROM (SELECT unnest(range(-4, 5)) AS i)) SELECT rho, {r('-sum(pow(rho, k) * v / k)', 'log_det', 5)} FROM q, t GROUP BY rho",
+    "lm_decision": f"WITH {FIT}, signs AS (SELECT " + ", ".join(f"{v} AS \"{k}\"" for k, v in LM.items()) + " FROM q) SELECT CASE "
+    f"WHEN \"LM-Lag\" > {CHI2} AND \"LM-Error\" > {CHI2} THEN (CASE WHEN (\"Robust-LM-Lag\" > {CHI2}) <> (\"Robust-LM-Error\" > {CHI2}) THEN (CASE WHEN \"Robust-LM-Lag\" > {CHI2} THEN 'SAR' ELSE 'SEM' END) WHEN \"Robust-LM-Lag\" >= \"Robust-LM-Error\" THEN 'SAR' ELSE 'SEM' END) "
+    f"WHEN \"LM-Lag\" > {CHI2} THEN (CASE WHEN \"LM-WX\" <= {CHI2} THEN 'SAR' WHEN \"Robust-LM-WX\" > {CHI2} THEN 'SLX' WHEN \"LM-Error\" >= \"Robust-LM-WX\" THEN 'SAR' ELSE 'SLX' END) "
+    f"WHEN \"LM-Error\" > {CHI2} THEN (CASE WHEN \"LM-WX\" <= {CHI2} THEN 'SEM' WHEN \"LM-Error\" >= \"LM-WX\" THEN 'SEM' ELSE 'SLX' END) "
+    f"WHEN \"LM-WX\" > {CHI2} THEN 'SLX' ELSE 'OLS' END AS model FROM signs",
+}
