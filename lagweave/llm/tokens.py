@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, shared_folder, temp_name, with_row_ids, write_table
 
-MAGIC, VERSION = b"LWTK", 2
+MAGIC, VERSION = b"LWTK", 3
 HEAD = struct.Struct("<4sHIQII")
-SLOTS = 1024
+SLOTS = 512
 SCALE = 20
-TOP, BOTTOM = np.uint64(48), np.uint64(1 << 40)
+TOP, BOTTOM = np.uint64(48), np.uint64(1 << 48)
 FIELD, MASK = np.uint64(20), np.uint64((1 << 20) - 1)
 #: What an outcome adds to its count, by class: order 2 right, order 1 right, neither.
 GAIN = np.array([24, 24 << 20, 24 << 40], np.uint64)
@@ -59,10 +59,10 @@ class Model:
         self.by_sure, self.by_past = np.full(lanes * 32, FRESH), np.full(lanes * 9, FRESH)
         self.base = np.arange(lanes) * SLOTS
         self.row32, self.row9 = np.arange(lanes) * 32, np.arange(lanes) * 9
-        self.last, self.before, self.past = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.last, self.before, self.past, self.kind = (np.zeros(lanes, np.int64) for _ in range(4))
 
     def shrink(self, lanes: int) -> None:
-        for k in ("base", "row32", "row9", "last", "before", "past"):
+        for k in ("base", "row32", "row9", "last", "before", "past", "kind"):
             setattr(self, k, getattr(self, k)[:lanes])
         self.lanes = lanes
 
@@ -85,18 +85,20 @@ class Model:
         gain = GAIN.take(kind)
         self.by_sure[self.sure] += gain
         self.by_past[self.hist] += gain
-        self.past = (self.past * 3 + kind) % 9
+        self.past, self.kind = self.kind * 3 + kind, kind
         fresh = (x << 2 | 1).astype(np.int32)
         self.one[self.at1] = np.where(self.p1 == x, self.e1 + (self.q1 < 3), np.where(self.q1 > 1, self.e1 - 1, fresh))
         self.two[self.at2] = np.where(self.p2 == x, self.e2 + (self.q2 < 3), np.where(self.q2 > 1, self.e2 - 1, fresh))
         self.before, self.last = self.last, x
 
 
-def _loose(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes whose top 16 bits are settled, or whose width is too small; and which are settled."""
-    settled = ((low ^ (low + width)) >> TOP) == 0
-    at = np.flatnonzero(settled | (width < BOTTOM))
-    return at, settled[at]
+def _narrowed(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The top words of lanes ``at``, which are shifted out; an interval that a word's boundary cuts
+    loses what lies beyond it."""
+    bits, kept = low[at], width[at]
+    kept = np.minimum(kept, BOTTOM - (bits & (BOTTOM - U(1)))) << U(16)
+    low[at], width[at] = bits << U(16), kept
+    return bits >> TOP
 
 
 def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]:
@@ -106,6 +108,7 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
     table = np.zeros(lanes * block, np.int64)
     table[: len(ids)] = ids
     steps = np.ascontiguousarray(table.reshape(lanes, block).T)
+    del table
     ends = np.full(lanes, block)
     ends[-1] = len(ids) - (lanes - 1) * block
     low, width, pos = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max), np.zeros(lanes, np.int64)
@@ -131,15 +134,12 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
         unit = width // model.total
         low += unit * start
         width = unit * size
-        while True:
-            at, settled = _loose(low, width)
-            if not len(at):
-                break
-            bits = low[at]
-            out[at, pos[at]] = (bits >> TOP).astype(np.uint16)
-            pos[at] += 1
-            width[at] = np.where(settled, width[at], (U(0) - bits) & (BOTTOM - U(1))) << U(16)
-            low[at] = bits << U(16)
+        at = np.flatnonzero(width < BOTTOM)
+        while len(at):
+            spot = pos[at]
+            out[at, spot] = _narrowed(low, width, at)
+            pos[at] = spot + 1
+            at = at[width[at] < BOTTOM]
         model.update(x, kind)
     whole = [_flushed(out[k], int(pos[k]), low[k]) for k in range(len(low))]
     return [w.tobytes() for w in whole + done]
@@ -182,15 +182,13 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
         size = np.where(literal, model.n2 * model.freq.take(x), np.where(first, model.n0, model.n1) << U(SCALE))
         low += unit * start
         width = unit * size
-        while True:
-            at, settled = _loose(low, width)
-            if not len(at):
-                break
-            bits = low[at]
-            width[at] = np.where(settled, width[at], (U(0) - bits) & (BOTTOM - U(1))) << U(16)
-            low[at] = bits << U(16)
-            code[at] = code[at] << U(16) | words.take(pos[at], mode="clip")
-            pos[at] += 1
+        at = np.flatnonzero(width < BOTTOM)
+        while len(at):
+            _narrowed(low, width, at)
+            spot = pos[at]
+            code[at] = code[at] << U(16) | words.take(spot, mode="clip")
+            pos[at] = spot + 1
+            at = at[width[at] < BOTTOM]
         out[t, : model.lanes] = x
         model.update(x, np.where(first, 0, np.where(literal, 2, 1)))
     return out.T.reshape(-1)[:n_ids] if lanes > 1 else out[:n_ids, 0]
@@ -211,7 +209,7 @@ def write_image(order: np.ndarray, lengths: np.ndarray, ids: np.ndarray, most: i
     symbols, n = np.unique(ids, return_counts=True)
     table = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
     table[symbols] = n
-    payloads = encode_lanes(ids.astype(np.int64), block, scaled(table)) if len(ids) else []
+    payloads = encode_lanes(ids, block, scaled(table)) if len(ids) else []
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
     sizes = [(min(block, len(ids) - k * block), len(p), c) for k, (p, c) in enumerate(zip(payloads, sums, strict=True))]
     parts = [
@@ -520,7 +518,7 @@ def read_documents(written: DataFrame) -> DataFrame:
     return joined.select("_rid", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 1 << 20) -> DataFrame:
+def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 2 << 20) -> DataFrame:
     """Write ``rows`` (_rid, unique and ascending, and text) as images; what they hold, read back.
 
     A null or empty text is the end id alone. Images go to ``out_dir`` (by default a folder beside
