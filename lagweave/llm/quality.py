@@ -1,10 +1,10 @@
 """Quality rules and an isolation forest over their statistics.
 
-Rule statistics are counted for every whole text. A forest of random splits, fitted on a bounded
-sample of the statistics, gives each document its expected path length; short paths are anomalies.
-The threshold is set on labelled rows: the one that best separates poor from good documents among
-those that keep at least ``keep_good`` of the good ones. Labelled rows also choose which of the
-statistics the forest splits on.
+Rule statistics are counted for every whole text. A forest of random splits, grown on a bounded
+sample of the statistics and scaled by quantiles of all rows, gives each document its expected path
+length; short paths are anomalies. The threshold is set on all labelled rows: the one that best
+separates poor from good documents among those that keep at least ``keep_good`` of the good ones. A
+bounded sample of labelled rows chooses which of the statistics the forest splits on.
 """
 
 from __future__ import annotations
@@ -83,14 +83,21 @@ def features(counts: np.ndarray) -> np.ndarray:
     return np.column_stack([symbols / w, dups / (5 + w / 20), repeats / (w + 50), upper / (c + 300), marks / (w + 50)])
 
 
+def feature_columns() -> list:
+    """``features`` as columns."""
+    w, c = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    return [F.col("n_symbols") / w, F.col("n_dup_lines") / (5 + w / 20), F.col("n_repeat_words") / (w + 50), F.col("n_upper") / (c + 300), F.col("n_marks") / (w + 50)]
+
+
 class Forest:
     """Isolation trees as arrays of split feature, split value, children and path length."""
 
-    def __init__(self, rows: np.ndarray, columns: list[int] | None = None, trees: int = 100, sample: int = 256, seed: int = 7):
+    def __init__(self, rows: np.ndarray, columns: list[int] | None = None, trees: int = 100, sample: int = 256, seed: int = 7, spread: np.ndarray | None = None):
+        """``spread``: the quantiles 0.1, 0.5 and 0.9 of each column, by default those of ``rows``."""
         rng = np.random.default_rng(seed)
         self.columns = list(range(rows.shape[1])) if columns is None else columns
+        low, self.middle, high = (np.quantile(rows, (0.1, 0.5, 0.9), axis=0) if spread is None else spread)[:, self.columns]
         rows = rows[:, self.columns]
-        low, self.middle, high = np.quantile(rows, (0.1, 0.5, 0.9), axis=0)
         self.width = np.maximum(high - low, 1e-9)
         rows = self._beyond(rows)
         self.size = min(sample, len(rows))
@@ -146,16 +153,16 @@ def separation(scores: np.ndarray, good: np.ndarray, limit: float) -> float:
     return float((scores[~good] > limit).mean() - (scores[good] > limit).mean())
 
 
-def fitted(sample: np.ndarray, marked: np.ndarray, good: np.ndarray, keep_good: float, trees: int) -> tuple[Forest, float]:
+def fitted(sample: np.ndarray, marked: np.ndarray, good: np.ndarray, keep_good: float, trees: int, spread: np.ndarray | None = None) -> tuple[Forest, float]:
     """The forest over those statistics that, added one by one, best tell labelled rows apart."""
     if not good.any() or good.all():
-        return Forest(sample, trees=trees), 1.0
+        return Forest(sample, trees=trees, spread=spread), 1.0
     chosen: list[int] = []
     best = (-1.0, None, 1.0)
     while len(chosen) < sample.shape[1]:
         tried = []
         for f in set(range(sample.shape[1])) - set(chosen):
-            forest = Forest(sample, [*chosen, f], trees)
+            forest = Forest(sample, [*chosen, f], trees, spread=spread)
             scores = forest.score(marked)
             limit = calibrate(scores, good, keep_good)
             tried.append((separation(scores, good, limit), -f, forest, limit))
@@ -167,17 +174,22 @@ def fitted(sample: np.ndarray, marked: np.ndarray, good: np.ndarray, keep_good:
     return best[1], best[2]
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, keep_good: float) -> float:
-    """The threshold with the most poor rows above it that keeps ``keep_good`` of the good ones."""
+def calibrate(scores: np.ndarray, good: np.ndarray, keep_good: float, n: np.ndarray | None = None) -> float:
+    """The threshold with the most poor rows above it that keeps ``keep_good`` of the good ones.
+
+    ``n`` counts the rows of each score. The threshold lies in the middle of the gap above it.
+    """
     if not good.any() or good.all():
         return 1.0
-    floor = np.quantile(scores[good], keep_good)
-    tries = np.unique(np.r_[floor, scores[scores >= floor]])
-    gain = np.array([separation(scores, good, t) for t in tries])
-    first = int(np.argmax(gain))
-    last = first + int(np.argmin(np.r_[gain[first:] == gain[first], False]))
-    # In the middle of the gap between good and poor scores.
-    return float((tries[first] + tries[min(last, len(tries) - 1)]) / 2)
+    n = np.ones(len(scores), np.int64) if n is None else n
+    tries = np.unique(scores)
+    at = np.searchsorted(tries, scores)
+    goods, poors = np.bincount(at, n * good, len(tries)), np.bincount(at, n * ~good, len(tries))
+    kept = np.cumsum(goods) / goods.sum()
+    gain = np.cumsum(goods) / goods.sum() - np.cumsum(poors) / poors.sum()
+    allowed = np.flatnonzero(kept >= keep_good)
+    first = allowed[int(np.argmax(gain[allowed]))]
+    return float((tries[first] + tries[min(first + 1, len(tries) - 1)]) / 2)
 
 
 def base_failed():
@@ -187,39 +199,49 @@ def base_failed():
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", fit_rows: int = 10_000, label_rows: int = 5_000, keep_good: float = 0.99, trees: int = 100) -> DataFrame:
     """``id_col``, COUNTS, anomaly, base_failed, kept: a row for each row.
 
-    The forest is fitted on about ``fit_rows`` rows and the threshold on about ``label_rows``
-    labelled rows, drawn by the hash of the id: both are bounded samples. A null or empty text has
-    counts of 0 and fails the base rules. Without labels of both kinds nothing is rejected beyond
-    the base rules. Repeated rows are judged alike; null ids are judged, but not fitted on.
+    Trees grow on about ``fit_rows`` rows, and about ``label_rows`` labelled rows choose the
+    statistics, drawn by the hash of the id: these are the bounded samples. The statistics' scales
+    are quantiles of all rows that pass the base rules, and the threshold is calibrated on all of
+    these that are labelled, by counts of scores of four digits. A null or empty text has counts of
+    0 and fails the base rules. Without labels of both kinds nothing is rejected beyond the base
+    rules. Repeated rows are judged alike; null ids are judged, but not fitted on.
     """
     counts = cut(rule_counts(docs, id_col, text))
     passed = counts.filter(~base_failed())
 
-    def drawn(df: DataFrame, n: int) -> np.ndarray:
+    def drawn(df: DataFrame, n: int) -> DataFrame:
         rate = min(1.0, n / max(1, df.count()))
         draw = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30)) / float(1 << 30)
-        return df.filter((draw < rate) & F.col(id_col).isNotNull())
+        return df.filter((draw < rate) & F.col(id_col).isNotNull()).dropDuplicates([id_col, *COUNTS])
 
     order = F.xxhash64(id_col)
     sample = np.array(drawn(passed, fit_rows).orderBy(order, id_col).select(*COUNTS).collect(), np.int64).reshape(-1, len(COUNTS))
-    named = passed.join(labels.select(F.col("doc_id").alias("_label_id"), "quality").filter(F.col("quality").isNotNull()), F.col(id_col) == F.col("_label_id"))
+    marks = labels.select(F.col("doc_id").alias("_label_id"), "quality").filter(F.col("quality").isNotNull())
+    named = passed.join(marks, F.col(id_col) == F.col("_label_id"))
     marked = np.array(drawn(named, label_rows).orderBy(order, id_col).select(*COUNTS, "quality").collect(), np.int64).reshape(-1, len(COUNTS) + 1)
-    forest, limit = None, 1.0
+    forest = None
     if len(sample) > 1:
-        forest, limit = fitted(features(sample), features(marked[:, :-1]), marked[:, -1] == 1, keep_good, trees)
-    model = docs.sparkSession.sparkContext.broadcast((forest, limit))
+        found = passed.agg(*[F.percentile_approx(c, [0.1, 0.5, 0.9], 10_000).alias(f"q{i}") for i, c in enumerate(feature_columns())]).first()
+        spread = np.array([found[f"q{i}"] for i in range(len(found))], float).T
+        forest = fitted(features(sample), features(marked[:, :-1]), marked[:, -1] == 1, keep_good, trees, spread)[0]
+    model = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
-        tool, most = model.value
+        tool = model.value
         for b in batches:
             rows = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in COUNTS]).reshape(-1, len(COUNTS))
             score = tool.score(features(rows)) if tool else np.zeros(len(rows))
-            columns = [*b.columns, pa.array(score), pa.array(score > most)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, "anomaly", "_odd"])
-
-    schema = T.StructType([*counts.schema.fields, T.StructField("anomaly", T.DoubleType()), T.StructField("_odd", T.BooleanType())])
-    scored = counts.mapInArrow(run, schema)
-    return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("_odd")).drop("_odd")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "anomaly"])
+
+    schema = T.StructType([*counts.schema.fields, T.StructField("anomaly", T.DoubleType())])
+    scored = cut(counts.mapInArrow(run, schema))
+    # At most 10,001 scores of four digits, for each kind of label.
+    known = scored.filter(~base_failed()).join(marks, F.col(id_col) == F.col("_label_id"))
+    tally = known.groupBy(F.round("anomaly", 4).alias("s"), (F.col("quality") == 1).alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()
+    scores, good, n = (np.array([r[c] for r in tally]) for c in ("s", "good", "n"))
+    limit = calibrate(scores, good.astype(bool), keep_good, n) if len(tally) else 1.0
+    judged = scored.withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.round("anomaly", 4) <= float(limit)))
 
 
 def op10_isolation_forest_quality(spark, sf_dir: str) -> DataFrame:
