@@ -1,43 +1,62 @@
 """Substring removal by repeated-phrase automata.
 
-A shard holds the distinct segments whose anchors it was dealt. Windows that occur twice or more
-in it are the confirmed phrases; they are compiled into an Aho-Corasick automaton over word
-numbers, and every segment is streamed through it, which gives every occurrence of every phrase.
+A shard holds the distinct segments whose anchors it was dealt. Windows whose hash is met twice or
+more in it are the confirmed phrases; they are compiled into an Aho-Corasick automaton over word
+numbers, and every segment is streamed through it, which alone tells where each phrase occurs.
 Any occurrence but the earliest is marked.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, with_row_ids
-from .recurring import Shape, covered, encoded, intervals, marked_runs, word_units
+from .recurring import MULTIPLIER, Shape, covered, encoded, intervals, marked_runs, mixed, word_units
 
 WINDOW = 20
 
 
+def confirmed(texts: list[list[int]], window: int) -> list[tuple[int, ...]]:
+    """Windows whose hash is met twice or more in the texts: the phrases to compile. Two different
+    windows of one hash only add a phrase; what occurs where is found by the automaton."""
+    sizes = np.array([len(t) for t in texts])
+    flat = np.array([n for t in texts for n in t], np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    if len(flat) < window:
+        return []
+    names, k = mixed(flat * MULTIPLIER), 1
+    with np.errstate(over="ignore"):
+        while 2 * k <= window:
+            names, k = mixed(names[:-k] * MULTIPLIER + names[k:]), 2 * k
+        left = len(flat) - window + 1
+        names = names[:left] * MULTIPLIER + names[window - k : window - k + left]
+    whole = np.flatnonzero(np.arange(left) + window <= np.repeat(starts + sizes, sizes)[:left])
+    _, first, n = np.unique(names[whole], return_index=True, return_counts=True)
+    numbers = flat.tolist()
+    return [tuple(numbers[at : at + window]) for at in whole[first[n > 1]].tolist()]
+
+
 def resolver(window: int):
     """Marks for the segments of one shard: (piece, rid, first, n) -> (rid, first, n)."""
 
     def resolve(pieces: list[tuple]) -> list[tuple]:
         numbers: dict[bytes, int] = {}
-        texts = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in p[0].split()]) for p in pieces]
-        seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
-        phrases = [p for p, n in seen.items() if n > 1]
+        texts = [[numbers.setdefault(w, len(numbers) + 1) for w in p[0].split()] for p in pieces]
+        phrases = confirmed(texts, window)
         if not phrases:
             return []
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, phrase in enumerate(phrases):
             automaton.add_word(phrase, k)
         automaton.make_automaton()
-        met = [(k, pieces[s][1], pieces[s][2] + end - window + 1) for s, t in enumerate(texts) for end, k in automaton.iter(t)]
+        met = [(k, pieces[s][1], pieces[s][2] + end - window + 1) for s, t in enumerate(texts) for end, k in automaton.iter(tuple(t))]
         earliest: dict[int, tuple] = {}
         for k, rid, at in met:
             if k not in earliest or (rid, at) < earliest[k]:
