@@ -160,46 +160,92 @@ class Stochastic:
         return np.vectorize(one)(np.asarray(rho, float))
 
 
-def log_det(units: DataFrame, edges: DataFrame, low: float, high: float, key: str = "unit_id", method: str = "auto", eigen_most: int = 500, dense_most: int = 4000, order: int = 30, probes: int = 50):
-    """An evaluator; methods: auto, eigenvalue, chebyshev, rational, spline, stochastic.
-
-    ``auto`` takes eigenvalues up to ``eigen_most`` units, or five times as many where W is similar
-    to a symmetric matrix; a Chebyshev series of exact values up to ``dense_most``; and stochastic
-    moments, whose error is that of ``probes`` random vectors, beyond. The method that was taken is
-    the evaluator's ``method``.
-    """
+def arrays(units: DataFrame, edges: DataFrame, key: str, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int] | None:
+    """focal, neighbor (places in no particular order), weights and n; None for over ``most`` units, or 50 edges a unit."""
+    ids = [r[0] for r in units.select(key).distinct().limit(most + 1).collect()]
+    rows = edges.select("focal", "neighbor", "w").limit(50 * most + 1).collect() if len(ids) <= most else []
+    if len(ids) > most or len(rows) > 50 * most:
+        return None
+    at = {u: i for i, u in enumerate(sorted(ids))}
+    place = lambda k: np.array([at[r[k]] for r in rows], np.int64)
+    return place(0), place(1), np.array([r[2] for r in rows], float), len(ids)
+
+
+def from_arrays(graph: tuple, low: float, high: float, method: str = "auto", spark=None, eigen_most: int = 500, dense_most: int = 4000, most_cost: float = 2e11):
+    """An evaluator from a graph on the driver; None where none of the exact methods can carry it."""
     from . import rational
-
-    some = [r[0] for r in units.select(key).distinct().limit(dense_most + 1).collect()] if method != "stochastic" else []
-    if method == "stochastic" or (method == "auto" and len(some) > dense_most):
-        if not edges.filter("w < 0").isEmpty() or weights.asymmetry(edges).first()["asymmetry"] > 1e-9 and rational_similar(edges) is False:
-            raise ValueError("stochastic moments need a W with real eigenvalues")
-        return _named(Stochastic(moments(units.select(key).distinct(), edges, order, probes, key=key)), "stochastic")
-    if len(some) > dense_most:
-        raise ValueError(f"over {dense_most} units are too many for {method}")
-    w = dense(edges, sorted(some), dense_most)
-    if method == "auto":
-        similar = len(some) <= 5 * eigen_most and rational.symmetrizer(w) is not None
-        method = "eigenvalue" if len(some) <= eigen_most or similar else "chebyshev"
-    if method == "eigenvalue":
-        return _named(Eigen(rational.symmetrized_eigenvalues(w)), method)
-    low, high = max(low, -0.999), min(high, 0.999)
-    if method == "chebyshev":
-        return _named(by_nodes(units.sparkSession, w, low, high), method)
-    exact = lambda r: float(np.linalg.slogdet(np.eye(len(w)) - r * w)[1])
+    from .banded import Banded
+
+    focal, neighbor, value, n = graph
+    low, high = (max(low, -0.999), min(high, 0.999)) if method != "eigenvalue" else (low, high)
+
+    def matrix() -> np.ndarray:
+        if n > dense_most:
+            raise ValueError(f"{n} units are too many for a dense matrix ({dense_most})")
+        w = np.zeros((n, n))
+        np.add.at(w, (focal, neighbor), value)
+        return w
+
+    if method == "eigenvalue" or (method == "auto" and n <= eigen_most):
+        return _named(Eigen(rational.symmetrized_eigenvalues(matrix())), "eigenvalue")
+    band = Banded(focal, neighbor, value, n)
+    if method == "auto" and band.cost > most_cost and n > dense_most:
+        return None
+    if method in ("auto", "chebyshev"):
+        order = order_for(low, high, n)
+        at = nodes(order, low, high)
+        if method == "auto" and band.cost > most_cost:
+            return _named(by_nodes(spark, matrix(), low, high, order), "chebyshev")
+        return _named(fit_series(_at_nodes(spark, band, at), low, high), "chebyshev")
     if method == "rational":
-        return _named(rational.rational(exact, low, high), method)
+        return _named(rational.rational(band.log_det, low, high), method)
     if method == "spline":
-        return _named(rational.Spline(exact, low, high), method)
+        return _named(rational.Spline(band.log_det, low, high), method)
     raise ValueError(f"unknown method {method!r}")
 
 
+def _at_nodes(spark, band, at: np.ndarray, here: float = 2e10) -> np.ndarray:
+    """Determinants at the nodes: on the driver while they are cheap, dealt to tasks otherwise."""
+    if spark is None or band.cost * len(at) <= here:
+        return band.log_dets(at)
+    shared = spark.sparkContext.broadcast(band)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(value=[shared.value.log_det(r) for r in pdf["rho"]])
+
+    tasks = min(len(at), spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(k, float(r)) for k, r in enumerate(at)], "k int, rho double").repartition(tasks, "k")
+    found = sorted(rows.mapInPandas(run, "k int, rho double, value double").collect(), key=lambda r: r["k"])
+    return np.array([r["value"] for r in found])
+
+
+def log_det(units: DataFrame, edges: DataFrame, low: float, high: float, key: str = "unit_id", method: str = "auto", eigen_most: int = 500, dense_most: int = 4000, sparse_most: int = 60_000, order: int = 30, probes: int = 50):
+    """An evaluator; methods: auto, eigenvalue, chebyshev, rational, spline, stochastic.
+
+    ``auto`` takes eigenvalues up to ``eigen_most`` units; up to ``sparse_most`` a Chebyshev series
+    through exact determinants, of block tridiagonal form where the graph is narrow enough and of
+    dense matrices up to ``dense_most`` otherwise; and stochastic moments, whose error is that of
+    ``probes`` random vectors, beyond. The method that was taken is the evaluator's ``method``.
+    """
+    if method != "stochastic":
+        graph = arrays(units, edges, key, sparse_most)
+        found = None if graph is None else from_arrays(graph, low, high, method, units.sparkSession, eigen_most, dense_most)
+        if found is not None:
+            return found
+        if method != "auto":
+            raise ValueError(f"over {sparse_most} units are too many for {method}")
+    if not edges.filter("w < 0").isEmpty() or not has_edges_back(edges):
+        raise ValueError("stochastic moments need a W with real eigenvalues")
+    return _named(Stochastic(moments(units.select(key).distinct(), edges, order, probes, key=key)), "stochastic")
+
+
 def _named(evaluator, method: str):
     evaluator.method = method
     return evaluator
 
 
-def rational_similar(edges: DataFrame) -> bool:
+def has_edges_back(edges: DataFrame) -> bool:
     """Whether every edge has one back: what a standardized symmetric graph has, and with it real eigenvalues."""
     back = edges.select(F.col("neighbor").alias("focal"), F.col("focal").alias("neighbor"))
     return edges.select("focal", "neighbor").exceptAll(back).isEmpty()
