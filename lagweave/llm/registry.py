@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontamination, language, mixing, oracles, pii, quality, sharding, simhash, substring, suffixes, tokens
 
 QUERIES = {
@@ -17,6 +15,5 @@ QUERIES = {
     "op8_repeated_phrase_automata": substring.op8_repeated_phrase_automata,
     "op9_induced_suffix_sorting": suffixes.op9_induced_suffix_sorting,
     "op10_isolation_forest_quality": quality.op10_isolation_forest_quality,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_benchmark_decontamination": oracles.OP1, "op8_repeated_phrase_automata": oracles.OP8, "op9_induced_suffix_sorting": oracles.OP9}
