@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..dgp import catalog, simulate
 from ..dgp import flows as flow_dgp
 from ..diagnostics import cv, lm, mcmc, posterior, score_tests
-from ..models import flows, gaussian, logdet, priors, random_effects, rowwise, solves, two_part
+from ..models import flow_counts, flows, gaussian, latent, logdet, multilevel, priors, random_effects, rowwise, solves, two_part
 from ..operators import gram as g
 from ..operators import lags, traces, weights
 from ..sources import tables
@@ -392,6 +392,36 @@ def predict_new_units(spark, d):
     return gaussian.predict_new(fit, units.withColumn("y", F.when(F.col("unit_id") % 6 != 0, F.col("y"))), grid(spark))
 
 
+def _latent_fit(model):
+    def run(spark, d):
+        units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), F.expr("CAST(y > 4500 AS DOUBLE)").alias("y"))
+        return latent.fit(model, units, grid(spark), "y", ["x"], draws=60, tune=40, n_chains=2, seed=1).summary()
+
+    return run
+
+
+def fit_multilevel(spark, d):
+    """Nations in regions: an error process among nations, plain effects of regions."""
+    units = tables.nation_units(spark, d).select("unit_id", "region", (F.col("y") / 1000).alias("y"), ((F.col("x1") - 60) / 10).alias("x"))
+    regions = units.groupBy(F.col("region").alias("unit_id")).agg(F.avg("x").alias("mean_x"))
+    low = multilevel.Level(units, grid(spark), "SEM", ["x"], parent="region")
+    return multilevel.fit([low, multilevel.Level(regions, None, "OLS", ["mean_x"])], "y", draws=80, tune=60, n_chains=2, seed=1).summary()
+
+
+def _count_flow_fit(model):
+    def run(spark, d):
+        table, _, terms = _flow_terms(spark, d)
+        scaled = table.withColumns({t: F.col(t) / 60 - 1 for t in terms[1:]})
+        return flow_counts.fit(model, scaled, grid(spark), terms, draws=40, tune=30, n_chains=2, seed=1).summary()
+
+    return run
+
+
+def compare_models(spark, d):
+    units = tables.nation_units(spark, d).withColumn("y", F.col("y") / 1000)
+    return gaussian.compare({m: gaussian.fit(m, units, grid(spark), "y", ["x1"], draws=20, tune=20, n_chains=1, seed=1) for m in ("OLS", "SAR", "SEM")})
+
+
 def _trace(make, graph=grid):
     return lambda spark, d: rounded(make(graph(spark, d)), ["trace"])
 
@@ -491,6 +521,10 @@ QUERIES = {
     "log_det_series": log_det_series,
     **{f"score_tests_{m.lower()}": _score_fit(m) for m in ("SAR", "SEM", "SDM", "SDEM")},
     "score_tests_logit": score_tests_logit,
+    **{f"fit_latent_{m.lower()}": _latent_fit(m) for m in ("SEMProbit", "SEMLogit", "SDEMProbit", "SDEMLogit")},
+    "fit_multilevel": fit_multilevel,
+    **{f"fit_{m.lower()}": _count_flow_fit(m) for m in ("SARNegBinFlow", "SARPoissonFlow", "SARZINBFlow", "SARHurdleNegBinFlow")},
+    "compare_models": compare_models,
     "fit_formula_sar": fit_formula_sar,
     "predict_new_units": predict_new_units,
     "log_det_values": log_det_values,
