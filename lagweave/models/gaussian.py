@@ -46,17 +46,19 @@ class Kernel:
     jacobian: object
     times: float
     shift: float
+    filtered: np.ndarray | None = None
 
     def log_jacobian(self, r: float) -> float:
         return float(self.times * self.jacobian(r) - self.shift * np.log1p(-r)) if self.jacobian is not None else 0.0
 
     def parts(self, r: float) -> tuple[np.ndarray, np.ndarray, float]:
         """Cross-products of the filtered regressors and outcome."""
-        if self.process == "error":
-            zz = self.zz - r * (self.zwz + self.zwz.T) + r * r * self.wzwz
-            zy = self.zy - r * (self.zwy + self.wzy) + r * r * self.wzwy
-        else:
-            zz, zy = self.zz, self.zy - r * self.zwy
+        # Columns that the process filters (all of an error process; the lagged outcome of a restricted
+        # dynamic panel) are z - r Wz, the others z.
+        f = self.filtered if self.filtered is not None else np.full(len(self.zy), float(self.process == "error"))
+        cross = self.zwz * f[None]
+        zz = self.zz - r * (cross + cross.T) + r * r * self.wzwz * np.outer(f, f)
+        zy = self.zy - r * (self.zwy + f * self.wzy) + r * r * f * self.wzwy
         return zz, zy, self.yy - 2 * r * self.ywy + r * r * self.wywy
 
     def log_density(self, r: float, s2: float) -> float:
@@ -219,12 +221,13 @@ def design(units: DataFrame, edges: DataFrame, spec, y: str, xs: list[str], key:
         work = spatial_lag(work, edges, [f"W_{x}" for x in lagging], key=key, over=over)
     if dynamic:
         moved = work.withColumnsRenamed({key: "unit", time: "time"})
-        terms += [f"L_{y}"] + ([f"L_W_{y}"] if spec.durbin else [])
+        restricted = dynamic == "restricted"
+        terms += [f"L_{y}"] + ([f"L_W_{y}"] if spec.durbin and not restricted else [])
         moved = time_lag(moved, [y, f"W_{y}"])
-        if spec.process == "error":
+        if spec.process == "error" or restricted:
             moved = spatial_lag(moved, edges, [f"L_{y}"], key="unit", over=["time"])
         work = moved.withColumnsRenamed({"unit": key, "time": time})
-    needs = [f"W_{y}", *([f"W_{t}" for t in terms] if spec.process == "error" else [])]
+    needs = [f"W_{y}", *([f"W_{t}" for t in terms] if spec.process == "error" else [f"W_L_{y}"] if dynamic == "restricted" else [])]
     if effects in ("unit", "time", "two_way"):
         terms = [t for t in terms if t != "_one"]
         needs = [c for c in needs if c != "W__one"]
@@ -234,9 +237,10 @@ def design(units: DataFrame, edges: DataFrame, spec, y: str, xs: list[str], key:
     return work, terms, needs
 
 
-def kernel_of(g: Gram, spec, y: str, terms: list[str], priors: Priors, jacobian, n: float, times: float, shift: float) -> Kernel:
+def kernel_of(g: Gram, spec, y: str, terms: list[str], priors: Priors, jacobian, n: float, times: float, shift: float, restricted: str | None = None) -> Kernel:
     wy = f"W_{y}"
-    wz = [f"W_{t}" for t in terms] if spec.process == "error" else None
+    filtered = np.array([float(spec.process == "error" or t == restricted) for t in terms])
+    wz = [f"W_{t}" if f else t for t, f in zip(terms, filtered, strict=True)] if filtered.any() else None
     get = lambda a, b: g.get(a, b)
     k = len(terms)
     zero = np.zeros((k, k))
@@ -249,7 +253,7 @@ def kernel_of(g: Gram, spec, y: str, terms: list[str], priors: Priors, jacobian,
     return Kernel(
         spec.process, terms, get(terms, terms), get(terms, [y])[:, 0], float(get([y], [y])[0, 0]), get(terms, [wy])[:, 0], float(get([y], [wy])[0, 0]), float(get([wy], [wy])[0, 0]),
         get(terms, wz) if wz else zero, get(wz, wz) if wz else zero, get(wz, [y])[:, 0] if wz else np.zeros(k), get(wz, [wy])[:, 0] if wz else np.zeros(k),
-        n, mean, 1 / sd**2, priors.sigma_shape, priors.sigma_scale if priors.sigma_scale is not None else var_y, priors.low, priors.high, jacobian, times, shift,
+        n, mean, 1 / sd**2, priors.sigma_shape, priors.sigma_scale if priors.sigma_scale is not None else var_y, priors.low, priors.high, jacobian, times, shift, filtered,
     )
 
 
@@ -257,15 +261,15 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     """Estimate OLS, SLX, SAR, SEM, SDM or SDEM.
 
     All that is as large as the data happens in two joins and one aggregate; only k x k sums reach
-    the driver. Fixed effects use within-transformed columns, and count the Jacobian T - 1 times
+    the driver. A restricted dynamic SDM ties the coefficient of W y_t-1 to -rho phi. Fixed effects use within-transformed columns, and count the Jacobian T - 1 times
     under unit effects, less log(1 - rho) under time effects.
     """
     spec = SPECS[model]
     if spec.likelihood != "gaussian":
         raise ValueError(f"{model} is not a Gaussian model")
     validate(spec, effects, dynamic, time is not None)
-    if effects == "random" or dynamic == "restricted":
-        raise NotImplementedError("random effects are in random_effects.fit; restricted dynamics are not built yet")
+    if effects == "random":
+        raise NotImplementedError("random effects are in random_effects.fit")
     priors = Priors.of(priors, model, panel=time is not None, effects=effects, dynamic=dynamic)
     spark = units.sparkSession
     checked(units, edges, [y, *xs], key, time, balanced=effects != "pooled" or dynamic is not None)
@@ -277,7 +281,7 @@ def fit(model: str, units: DataFrame, edges: DataFrame, y: str, xs: list[str], k
     times = periods - (effects in ("unit", "two_way"))
     n = (n_units - (effects in ("time", "two_way"))) * times
     jacobian = log_det(units, edges, priors.low, priors.high, key, method) if spec.process != "none" else None
-    kernel = kernel_of(g, spec, y, terms, priors, jacobian, n, times, times if effects in ("time", "two_way") else 0.0)
+    kernel = kernel_of(g, spec, y, terms, priors, jacobian, n, times, times if effects in ("time", "two_way") else 0.0, f"L_{y}" if dynamic == "restricted" else None)
     names = ["_spatial", "sigma", *terms]
     out = chains(spark, kernel, names, draws, tune, n_chains, seed)
     label = {"lag": "rho", "error": "lam"}.get(spec.process)
