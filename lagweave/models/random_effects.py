@@ -77,21 +77,121 @@ class RandomKernel:
         return out
 
 
-def fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str = "unit", time: str = "time", priors=None, draws: int = 1000, tune: int = 500, n_chains: int = 4, seed: int = 0, method: str = "auto") -> DataFrame:
-    """Draws (chain, draw, [rho,] sigma, sigma_alpha, coefficients) of OLS or SAR with random effects."""
+@dataclass
+class ErrorKernel:
+    """An error process with random effects: y_t = Z_t b + a + u_t, u_t = (I - lam W) ^-1 e_t.
+
+    ``within`` are cross-products of [y, Z] and their lags, less unit means; ``means`` the unit means
+    of [y, Z], a row for each unit; W is dense.
+    """
+
+    names: list[str]
+    within: np.ndarray
+    lagged: np.ndarray
+    both: np.ndarray
+    means: np.ndarray
+    w: np.ndarray
+    periods: int
+    mean: np.ndarray
+    precision: np.ndarray
+    shape: float
+    scale: float
+    low: float
+    high: float
+    jacobian: object
+    unit_scale: float
+    unit_nu: float = 1.0
+
+    def run(self, draws: int, tune: int, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        n, t, k = len(self.means), self.periods, len(self.names)
+        a, lam, s2, sa2, aux = np.zeros(n), 0.0, float(self.scale), float(self.scale) / 2, 1.0
+        out = np.empty((draws, 3 + k))
+
+        def moments(lam, a):
+            """Cross-products of B[y - a, Z] over all rows."""
+            g = self.within - lam * (self.both + self.both.T) + lam * lam * self.lagged
+            m = self.means.copy()
+            m[:, 0] -= a
+            m = m - lam * (self.w @ m)
+            return g + t * m.T @ m
+
+        def density(lam, a=None, s2=None, sa2=None):
+            g = moments(lam, a)
+            p = g[1:, 1:] / s2 + np.diag(self.precision)
+            b = g[1:, 0] / s2 + self.precision * self.mean
+            c = np.linalg.cholesky(p)
+            u = np.linalg.solve(c, b)
+            return float(t * self.jacobian(lam) - g[0, 0] / (2 * s2) - np.log(np.diag(c)).sum() + 0.5 * u @ u)
+
+        for i in range(tune + draws):
+            lam = slice_sample(lambda x: density(x, a, s2, sa2), lam, self.low, self.high, 0.2, rng)
+            g = moments(lam, a)
+            c = np.linalg.cholesky(g[1:, 1:] / s2 + np.diag(self.precision))
+            beta = np.linalg.solve(c.T, np.linalg.solve(c, g[1:, 0] / s2 + self.precision * self.mean) + rng.standard_normal(k))
+            v = np.r_[1.0, -beta]
+            s2 = (self.scale + max(v @ g @ v, 0.0) / 2) / rng.gamma(self.shape + n * t / 2)
+            b = np.eye(n) - lam * self.w
+            r = b @ (self.means @ v)
+            q = np.linalg.cholesky(t * b.T @ b / s2 + np.eye(n) / sa2)
+            a = np.linalg.solve(q.T, np.linalg.solve(q, t * b.T @ r / s2) + rng.standard_normal(n))
+            # A half-t as a mixture of inverse gammas.
+            aux = (1 / self.unit_scale**2 + self.unit_nu / sa2) / rng.gamma((self.unit_nu + 1) / 2)
+            sa2 = (self.unit_nu / aux + a @ a / 2) / rng.gamma((self.unit_nu + n) / 2)
+            if i >= tune:
+                out[i - tune] = [lam, np.sqrt(s2), np.sqrt(sa2), *beta]
+        return out
+
+
+def error_fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str, time: str, priors, draws: int, tune: int, n_chains: int, seed: int, method: str, most: int) -> DataFrame:
+    """Draws (chain, draw, lam, sigma, sigma_alpha, coefficients) of SEM or SDEM with random effects."""
+    from .gaussian import chains
+    from .logdet import dense, index_of, log_det
+
+    work, terms = panel.withColumn("_const", F.lit(1.0)), ["_const", *xs]
+    if model == "SDEM":
+        work = spatial_lag(work, edges, xs, key=key, over=[time])
+        terms += [f"W_{x}" for x in xs]
+    columns = [y, *terms]
+    work = spatial_lag(work, edges, columns, key=key, over=[time], prefix="V_")
+    every = [*columns, *[f"V_{c}" for c in columns]]
+    means = work.groupBy(key).agg(*[F.avg(c).alias(c) for c in every])
+    ids = index_of(panel, key, most)
+    rows = {r[key]: r for r in means.collect()}
+    m = np.array([[rows[i][c] for c in columns] for i in ids])
+    t = panel.select(time).distinct().count()
+    total, between = Gram.of(work, every), Gram.of(means, every)
+    g = total.get(every, every) - t * between.get(every, every)
+    size = len(columns)
+    n = total.n
+    moment = total.get([*columns], ["_one"])[:, 0] / n
+    var = np.diag(total.get(columns, columns)) / n - moment**2
+    spread = np.sqrt(np.maximum(var[1:], 0.0))
+    mean, sd = priors.coefficients(moment[0], np.sqrt(var[0]), n, spread, var[1:] <= 1e-12 * np.maximum(1.0, moment[1:] ** 2))
+    names = ["_one", *terms[1:]]
+    kernel = ErrorKernel(names, g[:size, :size], g[size:, size:], g[:size, size:], m, dense(edges, ids, most), t, mean, 1 / sd**2, priors.sigma_shape, priors.sigma_scale or float(var[0]), priors.low, priors.high, log_det(panel, edges, priors.low, priors.high, key, method), priors.unit_scale or float(np.sqrt(var[0])), priors.unit_nu)
+    return chains(panel.sparkSession, kernel, ["lam", "sigma", "sigma_alpha", *names], draws, tune, n_chains, seed)
+
+
+def fit(model: str, panel: DataFrame, edges: DataFrame, y: str, xs: list[str], key: str = "unit", time: str = "time", priors=None, draws: int = 1000, tune: int = 500, n_chains: int = 4, seed: int = 0, method: str = "auto", most: int = 2000) -> DataFrame:
+    """Draws (chain, draw, [rho|lam,] sigma, sigma_alpha, coefficients) with random effects.
+
+    OLS and SAR integrate the effects out and take cross-products alone; SEM and SDEM, whose filter
+    mixes the effects, draw them, for ``most`` units at most.
+    """
     from .gaussian import chains, checked
     from .logdet import log_det
     from .spec import SPECS, Priors, validate
 
     spec = SPECS[model]
     validate(spec, "random", None, True)
-    if spec.process == "error":
-        raise NotImplementedError("random effects are built for OLS and SAR")
     priors = Priors.of(priors, model, panel=True, effects="random")
     size = panel.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("u"), F.count_distinct(time).alias("t")).first()
     if size["n"] != size["u"] * size["t"] or size["t"] < 2:
         raise ValueError("random effects need a balanced panel of two periods at least")
     checked(panel, edges, [y, *xs], key, time, balanced=True)
+    if spec.process == "error":
+        return error_fit(model, panel, edges, y, xs, key, time, priors, draws, tune, n_chains, seed, method, most)
     lagged = spatial_lag(panel, edges, [y], key=key, over=[time]).withColumn("_const", F.lit(1.0))
     columns = [y, f"W_{y}", "_const", *xs]
     means = lagged.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns])
