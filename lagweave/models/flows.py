@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..operators.gram import Gram, ols
 from ..operators.lags import flow_lags
 from .gaussian import chains
 from .logdet import dense, flow_log_det, index_of
+from .solves import unrestricted_solve
 from .spec import Priors
 
 LAGS = ["Wd", "Wo", "Ww"]
@@ -90,6 +92,36 @@ class FlowKernel:
         return out
 
 
+class Shocks:
+    """What unit shocks to each region do to flows, in the eigenvectors of W: n^2 terms a draw.
+
+    Called with rho_d, rho_o, rho_w it gives, for shocks to destinations, origins and own flows of
+    region j (summed over j): the sum over all flows, the own flow's, that of origin j, of dest j.
+    """
+
+    def __init__(self, w: np.ndarray):
+        self.values, v = np.linalg.eig(w)
+        back = np.linalg.inv(v)
+        own = v * back.T
+        self.p, self.t = back.sum(1), v.sum(0)
+        self.first, self.second = v.T @ own, own.T @ v
+        self.cross, self.square = back @ back.T, own.T @ own
+        self.rows, self.columns = own.T @ back.T, back @ own
+
+    def __call__(self, rd: float, ro: float, rw: float) -> np.ndarray:
+        a, b = self.values[:, None], self.values[None, :]
+        c = 1 / (1 - ro * a - rd * b - rw * a * b)
+        p, t, pt = self.p, self.t, self.p * self.t
+        diagonal = (np.diag(c) * pt).sum()
+        every = pt @ c @ pt
+        out = [
+            [every, (c * p[:, None] * self.first).sum(), diagonal, (pt @ c).sum()],
+            [every, (c * p[None] * self.second).sum(), (c @ pt).sum(), diagonal],
+            [(c * self.cross * t[:, None] * t[None]).sum(), (c * self.square).sum(), (c * t[None] * self.rows).sum(), (c * t[:, None] * self.columns).sum()],
+        ]
+        return np.array(out).real
+
+
 class FlowFit:
     def __init__(self, draws: DataFrame, terms: list[str], n: int, w: np.ndarray, spatial: bool):
         self.draws, self.terms, self.n, self.w, self.spatial = draws, terms, n, w, spatial
@@ -104,44 +136,42 @@ class FlowFit:
         row = self.draws.agg(*[F.avg(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(self.parameters())]).first()
         return dict(zip(self.parameters(), row, strict=True))
 
+    def posterior_predictive(self, flows: DataFrame, draws: int = 50, seed: int = 0, error: bool = False) -> DataFrame:
+        """(chain, draw, origin, dest, y): replicates at the terms of ``flows``; lag models unless ``error``."""
+        rows = flows.select("origin", "dest", *self.terms).orderBy("origin", "dest").limit(self.n**2 + 1).collect()
+        if len(rows) != self.n**2:
+            raise ValueError("flows must hold every pair of units once")
+        x = np.array([[float(r[t]) for t in self.terms] for r in rows])
+        rng, out = np.random.default_rng(seed), []
+        table = self.draws.orderBy("chain", "draw").toPandas()
+        mark = "lam" if error else "rho"
+        for d in table.iloc[:: max(1, len(table) // draws)].to_dict("records"):
+            mean = (x @ np.array([d[t] for t in self.terms])).reshape(self.n, self.n)
+            e = d["sigma"] * rng.standard_normal((self.n, self.n))
+            r = [d.get(f"{mark}_{k}", 0.0) for k in "dow"]
+            y = mean + unrestricted_solve(self.w, e, *r) if error else unrestricted_solve(self.w, mean + e, *r)
+            out.extend((int(d["chain"]), int(d["draw"]), q["origin"], q["dest"], float(v)) for q, v in zip(rows, y.ravel(), strict=True))
+        return flows.sparkSession.createDataFrame(out, ["chain", "draw", "origin", "dest", "y"])
+
     def impacts(self) -> DataFrame:
         """(effect, variable, mean, lower, upper): origin, destination, intra, network, total.
 
         Unit shocks to a region's attribute, summed over flows and averaged over regions.
         """
-        n, w, spatial = self.n, self.w, self.spatial
         names = [t[5:] for t in self.terms if t.startswith("dest_") and f"orig_{t[5:]}" in self.terms]
+        shared = self.draws.sparkSession.sparkContext.broadcast(Shocks(self.w))
+        spatial, n = self.spatial, self.n
 
         def run(batches):
-            eye = np.eye(n)
             for pdf in batches:
                 parts = []
                 for row in pdf.to_dict("records"):
-                    rd, ro, rw = (row.get(f"rho_{k}", 0.0) for k in "dow") if spatial else (0.0, 0.0, 0.0)
-                    # S on the separable surface is a product of two resolvents; else the full filter.
+                    sums = shared.value(*((row.get(f"rho_{k}", 0.0) for k in "dow") if spatial else (0.0, 0.0, 0.0)))
                     for x in names:
-                        bd, bo, bi = row[f"dest_{x}"], row[f"orig_{x}"], row.get(f"intra_{x}", 0.0)
-                        shock = np.zeros((n, n, n))
-                        for j in range(n):
-                            shock[j, :, j] += bd
-                            shock[j, j, :] += bo
-                            shock[j, j, j] += bi
-                        if not spatial:
-                            moved = shock
-                        elif abs(rw + rd * ro) < 1e-12:
-                            moved = np.linalg.solve(eye - ro * w, shock.transpose(1, 0, 2).reshape(n, -1)).reshape(n, n, n).transpose(1, 0, 2)
-                            moved = np.linalg.solve(eye - rd * w, moved.reshape(-1, n).T).T.reshape(n, n, n)
-                        else:
-                            full = np.eye(n * n) - ro * np.kron(w, eye) - rd * np.kron(eye, w) - rw * np.kron(w, w)
-                            moved = np.linalg.solve(full, shock.reshape(n, -1).T).T.reshape(n, n, n)
-                        total = moved.sum() / n**2
-                        intra = np.einsum("jjj->", moved) / n**2
-                        origin = np.einsum("jjk->", moved) / n**2 - intra
-                        dest = np.einsum("jkj->", moved) / n**2 - intra
+                        total, intra, rows, columns = np.array([row[f"dest_{x}"], row[f"orig_{x}"], row.get(f"intra_{x}", 0.0)]) @ sums / n**2
+                        origin, dest = rows - intra, columns - intra
                         for name, v in (("total", total), ("intra", intra), ("origin", origin), ("destination", dest), ("network", total - origin - dest - intra)):
                             parts.append((name, x, float(v)))
-                import pandas as pd
-
                 yield pd.DataFrame(parts, columns=["effect", "variable", "value"])
 
         long = self.draws.mapInPandas(run, "effect string, variable string, value double")

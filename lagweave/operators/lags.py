@@ -142,3 +142,41 @@ def nesting(df: DataFrame, child: str, parent: str) -> DataFrame:
 def are_counts(df: DataFrame, column: str) -> DataFrame:
     """One row: whether all values are whole and not negative."""
     return df.agg(F.bool_and((F.col(column) >= 0) & (F.col(column) == F.floor(column))).alias("counts"))
+
+
+def column_kinds(panel: DataFrame, columns: list[str], tolerance: float = 1e-10) -> DataFrame:
+    """(variable, over_units, over_time): whether a column varies between units of a period, and in time within a unit."""
+    def spread(by: str) -> DataFrame:
+        return panel.groupBy(by).agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns]).agg(*[F.max(c).alias(c) for c in columns])
+
+    size = panel.agg(*[F.max(F.abs(c)).alias(c) for c in columns])
+    parts = [d.select(*[F.col(c).alias(f"{n}_{i}") for i, c in enumerate(columns)]) for n, d in (("u", spread("time")), ("t", spread("unit")), ("m", size))]
+    row = parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # a row each
+    varies = lambda n, i: F.col(f"{n}_{i}") > tolerance * F.greatest(F.col(f"m_{i}"), F.lit(1.0))
+    cells = [F.struct(F.lit(c).alias("variable"), varies("u", i).alias("over_units"), varies("t", i).alias("over_time")) for i, c in enumerate(columns)]
+    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def has_level(df: DataFrame, columns: list[str], tolerance: float = 1e-10) -> bool:
+    """Whether one of the columns is constant (and not 0): the level of an outcome."""
+    row = df.agg(*[F.struct(F.min(c).alias("a"), F.max(c).alias("b")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return any(v["a"] is not None and v["b"] - v["a"] <= tolerance * max(1.0, abs(v["b"])) and v["b"] != 0 for v in row)
+
+
+def flow_term_kinds(flows: DataFrame, columns: list[str], tolerance: float = 1e-10) -> DataFrame:
+    """(variable, kind): constant, destination (the same for all origins), origin, or pair."""
+    def varies(by: str | None) -> DataFrame:
+        inside = flows.groupBy(*([by] if by else [])).agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns])
+        return inside.agg(*[F.max(c).alias(c) for c in columns])
+
+    parts = [varies(b).select(*[(F.col(c) > tolerance).alias(f"{n}_{i}") for i, c in enumerate(columns)]) for n, b in (("a", None), ("d", "dest"), ("o", "origin"))]
+    row = parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))
+    kind = lambda i: F.when(~F.col(f"a_{i}"), "constant").when(~F.col(f"d_{i}"), "destination").when(~F.col(f"o_{i}"), "origin").otherwise("pair")
+    cells = [F.struct(F.lit(c).alias("variable"), kind(i).alias("kind")) for i, c in enumerate(columns)]
+    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def kept_cells(flows: DataFrame, mask: DataFrame) -> DataFrame:
+    """Flows of the cells that ``mask`` (origin, dest[, keep]) keeps; cells that it lacks go, and so do null marks."""
+    kept = mask.filter("keep") if "keep" in mask.columns else mask
+    return flows.join(kept.select("origin", "dest").distinct(), ["origin", "dest"], "left_semi")

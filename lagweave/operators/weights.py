@@ -89,6 +89,42 @@ def k_nearest(points: DataFrame, k: int, key: str = "unit_id", size: float | Non
         size *= 2
 
 
+def contiguity(polygons: DataFrame, kind: str = "queen", key: str = "unit_id", digits: int = 9) -> DataFrame:
+    """Neighbours of polygons (key, ring: array of struct x, y, closed or not), row-standardized.
+
+    Queen: a shared corner; rook: a shared side between the same two corners. Corners are equal
+    where they agree to ``digits`` digits. Two joins on corners or sides, no pair of polygons else.
+    """
+    ring = polygons.select(F.col(key).alias("_k"), F.expr(f"transform(ring, p -> concat_ws(' ', round(p.x, {digits}) + 0.0D, round(p.y, {digits}) + 0.0D))").alias("_c"))
+    if kind == "queen":
+        parts = ring.select("_k", F.explode("_c").alias("_s"))
+    elif kind == "rook":
+        closed = ring.withColumn("_c", F.when(F.element_at("_c", 1) == F.element_at("_c", -1), F.col("_c")).otherwise(F.concat("_c", F.slice("_c", 1, 1))))
+        sides = F.expr("transform(sequence(1, size(_c) - 1), i -> concat_ws('|', least(_c[i - 1], _c[i]), greatest(_c[i - 1], _c[i])))")
+        parts = closed.filter(F.size("_c") > 1).select("_k", F.explode(sides).alias("_s"))
+    else:
+        raise ValueError(f"unknown contiguity {kind!r}")
+    parts = parts.distinct()
+    other = parts.select(F.col("_k").alias("neighbor"), F.col("_s").alias("_o"))
+    met = parts.join(other, (F.col("_s") == F.col("_o")) & (F.col("_k") != F.col("neighbor"))).select(F.col("_k").alias("focal"), "neighbor").distinct()
+    return row_standardize(met.withColumn("w", F.lit(1.0)))
+
+
+def resolve(spark: SparkSession, edges: DataFrame | None = None, units: DataFrame | None = None, n_side: int | None = None, kind: str = "queen", k: int = 4, key: str = "unit_id") -> DataFrame:
+    """Edges as given, of a lattice of ``n_side``, of polygons (ring), or of the ``k`` nearest points (px, py)."""
+    if edges is not None:
+        if units is not None:
+            check(edges, units, key)
+        return edges
+    if n_side is not None:
+        return lattice(spark, n_side, contiguity=kind)
+    if units is not None and "ring" in units.columns:
+        return contiguity(units, kind, key)
+    if units is not None and {"px", "py"} <= set(units.columns):
+        return k_nearest(units, k, key)
+    raise ValueError("give edges, n_side, or units with polygons or points")
+
+
 def row_sums(edges: DataFrame, units: DataFrame | None = None, key: str = "unit_id") -> DataFrame:
     """(unit_id, row_sum, degree); with ``units`` also those without neighbours."""
     sums = edges.groupBy(F.col("focal").alias("unit_id")).agg(F.sum("w").alias("row_sum"), F.count(F.lit(1)).alias("degree"))

@@ -392,6 +392,28 @@ def predict_new_units(spark, d):
     return gaussian.predict_new(fit, units.withColumn("y", F.when(F.col("unit_id") % 6 != 0, F.col("y"))), grid(spark))
 
 
+def _squares(spark):
+    """A 5 x 5 map of unit squares, as rings."""
+    r, c = F.floor(F.col("unit_id") / 5).cast("double"), F.pmod("unit_id", F.lit(5)).cast("double")
+    corner = lambda a, b: F.struct((c + a).alias("x"), (r + b).alias("y"))
+    return spark.range(25).withColumnRenamed("id", "unit_id").withColumn("ring", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
+
+
+def column_kinds(spark, d):
+    panel = tables.nation_years(spark, d).withColumns({"size": F.col("unit") * 2.0, "year": F.col("time") * 1.0, "one": F.lit(1.0)})
+    return lags.column_kinds(panel, ["x1", "size", "year", "one"])
+
+
+def flow_term_kinds(spark, d):
+    table, _, terms = _flow_terms(spark, d)
+    return lags.flow_term_kinds(table, [*terms, "y"])
+
+
+def flow_mask(spark, d):
+    flows_ = _dense(spark, d)
+    return lags.kept_cells(flows_, flows_.select("origin", "dest", (F.col("origin") != F.col("dest")).alias("keep")))
+
+
 def _latent_fit(model):
     def run(spark, d):
         units = tables.nation_units(spark, d).select("unit_id", ((F.col("x1") - 60) / 10).alias("x"), F.expr("CAST(y > 4500 AS DOUBLE)").alias("y"))
@@ -523,6 +545,11 @@ QUERIES = {
     "score_tests_logit": score_tests_logit,
     **{f"fit_latent_{m.lower()}": _latent_fit(m) for m in ("SEMProbit", "SEMLogit", "SDEMProbit", "SDEMLogit")},
     "fit_multilevel": fit_multilevel,
+    "w_polygons_queen": _edges(lambda spark, d: weights.contiguity(_squares(spark))),
+    "w_polygons_rook": _edges(lambda spark, d: weights.contiguity(_squares(spark), "rook")),
+    "column_kinds": column_kinds,
+    "flow_term_kinds": flow_term_kinds,
+    "flow_mask": flow_mask,
     **{f"fit_{m.lower()}": _count_flow_fit(m) for m in ("SARNegBinFlow", "SARPoissonFlow", "SARZINBFlow", "SARHurdleNegBinFlow")},
     "compare_models": compare_models,
     "fit_formula_sar": fit_formula_sar,

@@ -185,3 +185,11 @@ SQL |= {
     f"WHEN \"LM-Error\" > {CHI2} THEN (CASE WHEN \"LM-WX\" <= {CHI2} THEN 'SEM' WHEN \"LM-Error\" >= \"LM-WX\" THEN 'SEM' ELSE 'SLX' END) "
     f"WHEN \"LM-WX\" > {CHI2} THEN 'SLX' ELSE 'OLS' END AS model FROM signs",
 }
+SQL |= {
+    "w_polygons_queen": SQL["w_grid_queen"],
+    "w_polygons_rook": SQL["w_grid_rook"],
+    "column_kinds": f"WITH {PANEL} SELECT 'x1' AS variable, (SELECT bool_or(n > 1) FROM (SELECT count(DISTINCT x1) AS n FROM panel GROUP BY time)) AS over_units, (SELECT bool_or(n > 1) FROM (SELECT count(DISTINCT x1) AS n FROM panel GROUP BY unit)) AS over_time "
+    "UNION ALL SELECT * FROM (VALUES ('size', true, false), ('year', false, true), ('one', false, false)) AS t(a, b, c)",
+    "flow_term_kinds": "SELECT * FROM (VALUES ('intercept', 'constant'), ('dest_x1', 'destination'), ('orig_x1', 'origin'), ('y', 'pair')) AS t(variable, kind)",
+    "flow_mask": f"SELECT origin, dest, y FROM ({SQL['flow_dense_zero_fill']}) WHERE origin <> dest",
+}

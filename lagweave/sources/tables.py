@@ -86,3 +86,21 @@ def demo_draws(spark: SparkSession) -> DataFrame:
         "chain", "draw", (0.35 + wave(7, 0.2)).alias("rho"), (1.2 + wave(11, 0.5)).alias("beta0"),
         (-0.1 + wave(13, 0.6)).alias("beta1"), (0.3 + wave(17, 0.4)).alias("theta1"), (1.0 + wave(19, 0.3)).alias("sigma"),
     )
+
+
+def from_arrays(spark: SparkSession, y, x, w, names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Units (unit_id, y, covariates) and edges from arrays y (n), X (n x k) and W (n x n); raises where sizes differ or a value isn't finite."""
+    import numpy as np
+    import pandas as pd
+
+    y, x, w = np.asarray(y, float).ravel(), np.atleast_2d(np.asarray(x, float)), np.asarray(w, float)
+    x = x.T if x.shape[0] != len(y) and x.shape[1] == len(y) else x
+    if w.shape != (len(y), len(y)) or len(x) != len(y):
+        raise ValueError(f"y has {len(y)} values, X {x.shape} and W {w.shape}")
+    if not (np.isfinite(y).all() and np.isfinite(x).all() and np.isfinite(w).all()):
+        raise ValueError("values must be finite")
+    names = names or [f"x{i + 1}" for i in range(x.shape[1])]
+    units = spark.createDataFrame(pd.DataFrame({"unit_id": np.arange(len(y)), "y": y} | {c: x[:, i] for i, c in enumerate(names)}))
+    focal, neighbor = np.nonzero(w)
+    edges = spark.createDataFrame(pd.DataFrame({"focal": focal, "neighbor": neighbor, "w": w[focal, neighbor]}), "focal long, neighbor long, w double")
+    return units, edges

@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lagweave.models import flow_counts, solves
+from lagweave.models import flow_counts, flows, solves
+from lagweave.models.flows import Shocks
 from lagweave.models.spec import Priors
 from lagweave.operators import lags, weights
+from lagweave.sources import tables
 
 
 def ring(n):
@@ -54,3 +57,37 @@ def test_fits_need_every_pair(spark):
         flow_counts.fit("SARNegBinFlow", table.filter("origin <> 2 OR dest <> 1"), edges, ["intercept"])
     with pytest.raises(ValueError):
         flow_counts.fit("OLSFlow", table, edges, ["intercept"])
+
+
+def test_effects_of_shocks_are_those_of_the_cube():
+    rng, n = np.random.default_rng(3), 6
+    w = rng.random((n, n)) * (1 - np.eye(n))
+    w /= w.sum(1, keepdims=True)
+    for rd, ro, rw in ((0.3, 0.2, -0.06), (0.3, 0.2, 0.1), (0.0, 0.0, 0.0)):
+        got = Shocks(w)(rd, ro, rw)
+        eye = np.eye(n)
+        for k, shock in enumerate((lambda j: np.outer(np.ones(n), eye[j]), lambda j: np.outer(eye[j], np.ones(n)), lambda j: np.outer(eye[j], eye[j]))):
+            moved = [solves.unrestricted_solve(w, shock(j), rd, ro, rw) for j in range(n)]
+            want = [sum(m.sum() for m in moved), sum(m[j, j] for j, m in enumerate(moved)), sum(m[j].sum() for j, m in enumerate(moved)), sum(m[:, j].sum() for j, m in enumerate(moved))]
+            assert np.allclose(got[k], want)
+
+
+def test_flow_replicates(spark):
+    edges = weights.ring(spark, 5)
+    units = spark.range(5).selectExpr("id AS unit_id", "CAST(id AS DOUBLE) / 5 AS v")
+    table = lags.flow_design(units, ["v"]).selectExpr("*", "CAST((origin * 3 + dest * 2) % 4 AS DOUBLE) AS y").cache()
+    fit = flows.fit("SARFlow", table, edges, units, ["intercept", "dest_v", "orig_v"], draws=20, tune=10, n_chains=1)
+    assert fit.posterior_predictive(table, 4).count() >= 100
+    assert fit.impacts().count() == 5
+
+
+def test_arrays_and_choices_of_graphs(spark):
+    w = ring(6)
+    units, edges = tables.from_arrays(spark, np.arange(6.0), np.arange(12.0).reshape(6, 2), w)
+    assert units.columns == ["unit_id", "y", "x1", "x2"] and edges.count() == 12
+    assert weights.resolve(spark, edges, units).count() == 12 and weights.resolve(spark, n_side=3, kind="rook").count() == 24
+    with pytest.raises(ValueError):
+        tables.from_arrays(spark, np.arange(5.0), np.arange(12.0).reshape(6, 2), w)
+    with pytest.raises(ValueError):
+        weights.resolve(spark)
+    assert lags.has_level(units.withColumn("one", F.lit(1.0)), ["x1", "one"]) and not lags.has_level(units, ["x1", "y"])
