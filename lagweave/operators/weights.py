@@ -22,11 +22,17 @@ def lattice(spark: SparkSession, rows: int, columns: int | None = None, contigui
     if rows < 1 or columns < 1 or rows * columns < 2:
         raise ValueError("a lattice needs two cells at least")
     moves = {"rook": ROOK, "queen": QUEEN}[contiguity]
+    r0, c0 = F.floor(F.col("id") / columns), F.pmod("id", F.lit(columns))
+    inside = lambda r, c: r.between(0, rows - 1) & c.between(0, columns - 1)
+    degree = F.lit(0)
+    for dr, dc in moves:  # a cell's number of neighbours is arithmetic: no shuffle
+        degree = degree + inside(F.col("r") + dr, F.col("c") + dc).cast("int")
+    cells = spark.range(rows * columns).select("id", r0.alias("r"), c0.alias("c"))
     offsets = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in moves]))
-    cells = spark.range(rows * columns).select("id", F.floor(F.col("id") / columns).alias("r"), F.pmod("id", F.lit(columns)).alias("c"), offsets.alias("o"))
+    dealt = cells.select("id", "r", "c", degree.alias("n"), offsets.alias("o"))
     r, c = F.col("r") + F.col("o.dr"), F.col("c") + F.col("o.dc")
-    near = cells.filter(r.between(0, rows - 1) & c.between(0, columns - 1))
-    return row_standardize(near.select(F.col("id").alias("focal"), (r * columns + c).alias("neighbor"), F.lit(1.0).alias("w")))
+    near = dealt.filter(inside(r, c))
+    return near.select(F.col("id").alias("focal"), (r * columns + c).alias("neighbor"), (F.lit(1.0) / F.col("n")).alias("w"))
 
 
 def same_group(units: DataFrame, group: str, key: str = "unit_id") -> DataFrame:
