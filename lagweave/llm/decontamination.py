@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, documents, let
+from .common import LOWER, UPPER, cut, documents
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -40,6 +40,27 @@ def benchmark_windows(benchmark: DataFrame, width: int = 10, text: str = "text",
     return grams.groupBy(F.array_join("_gram", " ").alias("gram"), F.size("_gram").alias("len"), F.xxhash64(_folded(F.col("_gram"))).alias("key")).agg(F.collect_set("_item").alias("items"))
 
 
+def _candidates(windows: DataFrame, lengths: list[int], leads_most: int = 20_000) -> str:
+    """SQL for the places (i, k) of a row's windows to probe: k hashes the words from i on.
+
+    Only places whose first two words (or first, of single words) hash like those of some window of
+    the length are hashed whole and exploded; the set of these leads is part of the plan up to
+    ``leads_most`` of them, beyond which every place is probed. A last place -1 keeps the row.
+    """
+    first = F.col("_folded")
+    leads = windows.select("len", _folded(F.split("gram", " ")).alias("_folded"))
+    leads = leads.select("len", F.when(F.col("len") > 1, F.xxhash64(first[0], F.get(first, F.lit(1)))).otherwise(F.xxhash64(first[0])).alias("lead"))
+    found = leads.distinct().limit(leads_most + 1).collect()
+    parts = ["array(named_struct('i', -1, 'k', 0L))"]
+    for n in lengths:
+        own = [str(r["lead"]) for r in found if r["len"] == n]
+        lead = "xxhash64(h[i], h[i + 1])" if n > 1 else "xxhash64(h[i])"
+        test = f"{lead} IN ({', '.join(f'{v}L' if int(v) != -(1 << 63) else f'({int(v) + 1}L - 1L)' for v in own)})" if own and len(found) <= leads_most else "true" if own or len(found) > leads_most else "false"
+        places = f"filter(sequence(0, size(h) - {n}), i -> {test})"
+        parts.append(f"CASE WHEN size(h) >= {n} THEN transform({places}, i -> named_struct('i', i, 'k', xxhash64(slice(h, i + 1, {n})))) ELSE CAST(array() AS array<struct<i: int, k: bigint>>) END")
+    return f"element_at(transform(array(transform(_words, w -> xxhash64(lower(w)))), h -> concat({', '.join(parts)})), 1)"
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: ``key``, n_words, n_hit, spans, item_ids.
 
@@ -63,22 +84,17 @@ def _hits(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, t
 
     if blocks > 1:  # row ids are made once, not anew in every branch
         base = cut(base)
-
-    def grams(h: Column, n: int) -> Column:
-        return F.transform(h, lambda _, i: F.xxhash64(F.slice(h, i + 1, n)))
-
-    keys = let(_folded(F.col("_words")), lambda h: F.concat(*[grams(h, n) for n in lengths], F.array(F.lit(SENTINEL).cast("long"))))
-    probe = base.select("_row", "_keep", "_words", F.size("_words").alias("_n"), keys.alias("_keys"))
-    probe = probe.select("_row", "_keep", "_words", "_n", F.posexplode("_keys").alias("_i", "_k"))
+    probe = base.select("_row", "_keep", "_words", F.size("_words").alias("_n"), F.explode(F.expr(_candidates(windows, lengths))).alias("_e"))
+    probe = probe.select("_row", "_keep", "_words", "_n", F.col("_e.i").alias("_i"), F.col("_e.k").alias("_k"))
     spark = docs.sparkSession
     none = spark.range(1).select(F.lit("").alias("gram"), F.lit(0).alias("len"), F.lit(SENTINEL).cast("long").alias("key"), F.array().cast("array<string>").alias("items"))
     found = None
     for b in range(blocks):
         part = windows if blocks == 1 else windows.filter(F.pmod("key", F.lit(blocks)) == b)
         side = F.broadcast((part.unionByName(none) if b == 0 else part).coalesce(1))
-        pos = F.pmod(F.col("_i"), F.greatest(F.col("_n"), F.lit(1)))
+        pos = F.greatest(F.col("_i"), F.lit(0))
         seen = F.translate(F.array_join(F.slice("_words", pos + 1, F.greatest(F.col("len"), F.lit(1))), " "), UPPER, LOWER)
-        real = (F.col("_k") == F.col("key")) & ((F.col("len") == 0) & (F.col("_i") == F.col("_n") * len(lengths)) | (F.col("len") > 0) & (seen == F.col("gram")))
+        real = (F.col("_k") == F.col("key")) & ((F.col("len") == 0) & (F.col("_i") == -1) | (F.col("len") > 0) & (F.col("_i") >= 0) & (seen == F.col("gram")))
         hit = probe.join(side, real).select("_row", F.when(F.col("len") == 0, F.col("_keep")).alias("_keep"), "_n", F.when(F.col("len") > 0, F.struct(pos.alias("pos"), F.col("len"))).alias("_span"), F.when(F.col("len") > 0, F.col("items")).alias("_items"))
         found = hit if found is None else found.unionByName(hit)
     grouped = found.groupBy("_row").agg(F.first("_keep", ignorenulls=True).alias("_keep"), F.first("_n").alias("_n"), F.array_sort(F.collect_set("_span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("item_ids"))
