@@ -154,7 +154,7 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
     """The ids of blocks, ``block`` each but for the last."""
     lanes = len(payloads)
     model = Model(lanes, counts)
-    lookup = np.repeat(np.arange(len(counts)), counts).astype(np.int64)
+    lookup = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     sizes = np.array([len(p) // 2 for p in payloads])
     words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2").astype(np.uint64)
     pos = np.cumsum(sizes) - sizes
@@ -177,7 +177,7 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
         literal, first = part >= model.n01, part < model.n0
         start = np.where(first, U(0), np.where(literal, model.n01, model.n0)) << U(SCALE)
         spot = np.where(literal, (value - start) // model.n2, U(0)).astype(np.int64)
-        x = np.where(literal, lookup.take(spot, mode="clip"), np.where(first, model.p2, model.p1))
+        x = np.where(literal, lookup.take(spot, mode="clip"), np.where(first, model.p2, model.p1)).astype(np.int64)
         start += np.where(literal, model.n2 * model.cum.take(x), U(0))
         size = np.where(literal, model.n2 * model.freq.take(x), np.where(first, model.n0, model.n1) << U(SCALE))
         low += unit * start
@@ -292,8 +292,8 @@ class Encoder:
     """A tokenizer that remembers pieces.
 
     Its pre-tokenizer never joins what stands on the two sides of certain places: the start of a
-    run of blanks, the last blank before a word, unless that is a space the word itself, and a mark
-    after a letter (both in ASCII).
+    run of blanks, the last blank before a word, unless that is a space the word itself, and an
+    ASCII mark after a letter of ASCII or Latin-1.
     Texts are cut there, at whole arrays of bytes at once, and each piece's ids are looked up by
     its bytes, which the table compares whole. Texts with blanks beyond ASCII, or with anything
     like a special token, are encoded whole. The table has a fixed size and is emptied when three
@@ -348,7 +348,10 @@ class Encoder:
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = ~blank[:-1] & blank[1:]
         cut[start[raw[start - 1] != 32]] = True
-        cut[1:-1] |= LETTER[raw[:-1]] & MARK[raw[1:]]
+        mark_here = MARK[raw[1:]]
+        cut[1:-1] |= LETTER[raw[:-1]] & mark_here
+        # Two bytes of which the first is 0xC3 are a letter too, but for the signs of times and division.
+        cut[2:-1] |= (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7) & mark_here[1:]
         ends_text = np.zeros(len(raw), bool)
         ends_text[mark] = True
         cut[start[~ends_text[start]] - 1] = True
