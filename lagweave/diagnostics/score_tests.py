@@ -240,11 +240,41 @@ def information_units(family: str, eta: np.ndarray, size=None) -> tuple[np.ndarr
     return size * mu / (size + mu), var, size / (size + mu) * cov
 
 
+def _lag_null_tests(fit, most: int) -> DataFrame:
+    """LM-Error and LM-WX at a reduced-form lag: WX enters inside of the multiplier."""
+    k = fit.kernel
+    family, w, x, y = k.likelihood, k.w, k.x, k.y
+    wx = np.column_stack([w @ x[:, j] for j, t in enumerate(fit.terms) if t != "_one"])
+    draws = fit.draws.orderBy("chain", "draw").limit(most).toPandas()
+    table = draws[["rho", *(["alpha"] if family == "negbin" else []), *fit.terms]].to_numpy()
+    table = np.vstack([table, table.mean(0)])
+    sizes = table[:, 1] if family == "negbin" else [None] * len(table)
+    q, scores, of_beta = [], [], []
+    for row, a in zip(table, sizes, strict=True):
+        s = np.linalg.inv(np.eye(len(w)) - row[0] * w)
+        sx, swx = s @ x, s @ wx
+        eta = sx @ row[-len(fit.terms) :]
+        e, h = score_units(family, y, eta, a)
+        q.append(e @ (w @ h))
+        scores.append(swx.T @ e)
+        of_beta.append(sx.T @ e)
+    omega, tau, kappa = information_units(family, eta, sizes[-1])  # at the mean, the last row
+    v_q = float(omega @ (w * w) @ tau + kappa @ (w * w.T) @ kappa)
+    by = safe_solve(sx.T @ (omega[:, None] * sx), sx.T @ (omega[:, None] * swx))
+    g = np.array(scores) - np.array(of_beta) @ by
+    v = (omega[:, None] * swx).T @ (swx - sx @ by)
+    lm_q = np.array(q) ** 2 / (v_q + 1e-12)
+    lm_x = np.einsum("di,ij,dj->d", g, safe_solve(v, np.eye(len(v))), g)
+    return _report(fit.draws.sparkSession, {"LM-Error": lambda: (lm_q[:-1], float(lm_q[-1]), 1), "LM-WX": lambda: (lm_x[:-1], float(lm_x[-1]), len(v))})
+
+
 def glm_tests(fit, edges_w: np.ndarray | None = None, most: int = 500) -> DataFrame:
-    """The suite of a Logit, Probit or NegBin fit without a lag; W is the fit's own."""
+    """The suite of a Logit, Probit or NegBin fit, or the two tests of one with a reduced-form lag."""
     k = fit.kernel
+    if k.process == "lag":
+        return _lag_null_tests(fit, most)
     if k.process != "none":
-        raise ValueError("the tests are those of a fit without a spatial parameter")
+        raise ValueError("there are no tests at a fit with an error process")
     w = k.w if edges_w is None else edges_w
     family = k.likelihood
     draws = fit.draws.orderBy("chain", "draw").limit(most).toPandas()

@@ -185,9 +185,7 @@ def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms:
         raise ValueError(f"unknown flow model {model!r}")
     priors = Priors.of(priors, model)
     error = model == "SEMFlow"
-    lagged = flow_lags(flows, edges, y)
-    for t in terms if error else ():
-        lagged = flow_lags(lagged, edges, t)
+    lagged = flow_lags(flows, edges, [y, *(terms if error else [])])
     ys = [y, *[f"{k}_{y}" for k in LAGS]]
     xs = [terms, *([[f"{k}_{t}" for t in terms] for k in LAGS] if error else [])]
     g = Gram.of(lagged, [*ys, *[c for part in xs for c in part]])
@@ -208,17 +206,19 @@ def fit(model: str, flows: DataFrame, edges: DataFrame, units: DataFrame, terms:
     return FlowFit(out if model != "OLSFlow" else out.drop("rho_d", "rho_o", "rho_w"), terms, len(ids), w, model == "SARFlow")
 
 
-def lm_tests(flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[str], y: str = "y", key: str = "unit_id") -> DataFrame:
+def lm_tests(flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[str], y: str = "y", key: str = "unit_id", time: str | None = None) -> DataFrame:
     """(test, statistic, df, p_value): LM tests of rho_d, rho_o, rho_w and all three at OLS.
 
+    With ``time`` flows are a panel of all pairs in all periods, lagged within a period, and labels
+    have the prefix of panels.
+
     Traces of the Kronecker weights factor into tr W, tr W W, tr W'W and the number of units.
     """
     from ..diagnostics.lm import efficient
 
     spark = flows.sparkSession
-    lagged = flow_lags(flows, edges, y)
-    for t in terms:
-        lagged = flow_lags(lagged, edges, t)
+    extra = [time] if time else None
+    lagged = flow_lags(flows, edges, [y, *terms], extra)
     cols = [y, *[f"{k}_{y}" for k in LAGS], *terms, *[f"{k}_{t}" for t in terms for k in LAGS]]
     g = Gram.of(lagged, cols)
     b, _, s2 = ols(g, y, terms)
@@ -229,6 +229,8 @@ def lm_tests(flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[s
     n = units.select(key).distinct().count()
     t1, t2, t3 = (f(edges).first()["trace"] for f in (lambda e: weights.trace_power(e, 1), lambda e: weights.trace_power(e, 2), weights.trace_gram))
     periods = g.n / n**2
+    if periods != int(periods) or (not time and periods != 1):
+        raise ValueError("flows must hold every pair of units, once in a period")
     # tr(A B) + tr(A'B) for A, B among I x W (d), W x I (o), W x W (w).
     pairs = {("Wd", "Wd"): n * (t2 + t3), ("Wo", "Wo"): n * (t2 + t3), ("Ww", "Ww"): t2 * t2 + t3 * t3, ("Wd", "Wo"): 2 * t1 * t1, ("Wd", "Ww"): t1 * (t2 + t3), ("Wo", "Ww"): t1 * (t2 + t3)}
     traces = {("Wd"): n * t1, ("Wo"): n * t1, ("Ww"): t1 * t1}
@@ -243,12 +245,13 @@ def lm_tests(flows: DataFrame, edges: DataFrame, units: DataFrame, terms: list[s
         info[k + i, k + 3] = info[k + 3, k + i] = periods * traces[a] / s2
     info[k + 3, k + 3] = g.n / (2 * s2**2)
     free = [*range(k), k + 3]
-    suite = {"LM-Dest": [k], "LM-Orig": [k + 1], "LM-Network": [k + 2], "LM-Joint": [k, k + 1, k + 2]}
+    p = "Panel-" if time else ""
+    suite = {"LM-Flow-Destination": [k], "LM-Flow-Origin": [k + 1], "LM-Flow-OD": [k + 2], "LM-Flow-Joint": [k, k + 1, k + 2]}
     rows = []
     for name, tested in suite.items():
         stat = efficient(score, info, tested, [], free)
-        rows.append((name, stat, len(tested), chi2_sf(stat, len(tested))))
+        rows.append((p + name, stat, len(tested), chi2_sf(stat, len(tested))))
     for name, tested in list(suite.items())[:3]:
         stat = efficient(score, info, tested, [i for i in (k, k + 1, k + 2) if i not in tested], free)
-        rows.append((f"Robust-{name}", stat, 1, chi2_sf(stat, 1)))
+        rows.append((f"{p}Robust-{name}", stat, 1, chi2_sf(stat, 1)))
     return spark.createDataFrame(rows, "test string, statistic double, df int, p_value double")

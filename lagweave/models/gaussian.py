@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,8 +173,38 @@ class Fit:
     def log_marginal(self) -> float:
         return self.kernel.log_marginal()
 
+    def tests(self) -> DataFrame:
+        """The score tests of what the model leaves out."""
+        from ..diagnostics.score_tests import tests
 
-def chains(spark, kernel, names: list[str], draws: int, tune: int, n_chains: int, seed: int) -> DataFrame:
+        return tests(self)
+
+    def decision(self, alpha: float = 0.05) -> DataFrame:
+        """One row (model, path): what the tests imply."""
+        from ..diagnostics.score_tests import decide
+
+        return decide(self.tests(), self.name, self.time is not None, alpha)
+
+
+def stored_chains(spark, kernel, names: list[str], draws: int, tune: int, n_chains: int, seed: int, path: str) -> DataFrame:
+    """As ``chains``, kept as a table at ``path``: chains that it already holds whole are not run again.
+
+    A chain is named by its seed and its numbers of draws, so that other settings run anew.
+    """
+    mark = f"{seed}/{draws}/{tune}"
+    try:
+        held = spark.read.parquet(path).filter(F.col("run") == mark)
+        known = {r["chain"] for r in held.groupBy("chain").count().filter(F.col("count") == draws).collect()}
+    except AnalysisException:
+        known = set()
+    left = [c for c in range(n_chains) if c not in known]
+    for c in left:  # one chain's table at a time, so that each is kept when it is done
+        one = chains(spark, kernel, names, draws, tune, n_chains, seed, only=[c])
+        one.withColumn("run", F.lit(mark)).write.mode("append").parquet(path)
+    return spark.read.parquet(path).filter(F.col("run") == mark).filter(F.col("chain") < n_chains).drop("run")
+
+
+def chains(spark, kernel, names: list[str], draws: int, tune: int, n_chains: int, seed: int, only: list[int] | None = None) -> DataFrame:
     """One chain to a task; a task that is lost is run again from its seed, with the same draws."""
     ship(spark)
     shared = spark.sparkContext.broadcast(kernel)
@@ -185,7 +216,8 @@ def chains(spark, kernel, names: list[str], draws: int, tune: int, n_chains: int
                 out = shared.value.run(draws, tune, int(s))
                 yield pd.DataFrame(out, columns=names).assign(chain=c, draw=np.arange(draws))[["chain", "draw", *names]]
 
-    rows = spark.createDataFrame(list(enumerate(seeds)), "chain int, seed long").repartition(n_chains, "chain")
+    wanted = [(c, s) for c, s in enumerate(seeds) if only is None or c in only]
+    rows = spark.createDataFrame(wanted, "chain int, seed long").repartition(len(wanted), "chain")
     schema = "chain int, draw long, " + ", ".join(f"`{c}` double" for c in names)
     return rows.mapInPandas(run, schema)
 

@@ -44,11 +44,13 @@ def time_lag(panel: DataFrame, columns: list[str], prefix: str = "L_", drop_firs
     return (out.filter("_near") if drop_first else out).drop("_near")
 
 
-def flow_lags(flows: DataFrame, edges: DataFrame, column: str = "y", extra: list[str] | None = None) -> DataFrame:
-    """``flows`` and Wd, Wo, Ww times ``column``: over destinations, origins and both in turn."""
-    extra = extra or []
-    dest = spatial_lag(flows, edges, [column], key="dest", over=["origin", *extra], prefix="Wd_")
-    return spatial_lag(dest, edges, [column, f"Wd_{column}"], key="origin", over=["dest", *extra], prefix="Wo_").withColumnRenamed(f"Wo_Wd_{column}", f"Ww_{column}")
+def flow_lags(flows: DataFrame, edges: DataFrame, column: str | list[str] = "y", extra: list[str] | None = None) -> DataFrame:
+    """``flows`` and Wd, Wo, Ww times ``column`` (or each of several, in the same two joins): over
+    destinations, origins and both in turn."""
+    extra, columns = extra or [], [column] if isinstance(column, str) else column
+    dest = spatial_lag(flows, edges, columns, key="dest", over=["origin", *extra], prefix="Wd_")
+    both = spatial_lag(dest, edges, [*columns, *[f"Wd_{c}" for c in columns]], key="origin", over=["dest", *extra], prefix="Wo_")
+    return both.withColumnsRenamed({f"Wo_Wd_{c}": f"Ww_{c}" for c in columns})
 
 
 def within(panel: DataFrame, columns: list[str], effects: str, prefix: str = "D_") -> DataFrame:

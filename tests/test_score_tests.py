@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lagweave.diagnostics import score_tests
 from lagweave.models import gaussian, logdet, priors, rowwise, two_part
@@ -165,3 +166,38 @@ def test_two_part_results(spark, world):
     assert hurdle.posterior_predictive(5).count() >= 5 * 36 and hurdle.activation_probabilities().count() == 36
     with pytest.raises(ValueError):
         zinb.positive_mean()
+
+
+def test_lag_nulls_of_link_models(world):
+    w, y, x, units, edges = world
+    binary = units.selectExpr("unit_id", "x1", "CAST(y > 1 AS DOUBLE) AS y")
+    fit = rowwise.fit("SARLogit", binary, edges, "y", ["x1"], draws=30, tune=20, n_chains=1)
+    found = score_tests.glm_tests(fit).toPandas()
+    assert list(found["test"]) == ["LM-Error", "LM-WX"] and found["statistic"].ge(0).all() and found["error"].isna().all()
+
+
+def test_flow_tests_of_panels(spark):
+    from lagweave.dgp import flows as dgp
+    from lagweave.models import flows
+
+    units, edges = spark.range(8).withColumnRenamed("id", "unit_id"), weights.ring(spark, 8)
+    panel = dgp.flows(units, edges, rho_d=0.4, rho_o=0.0, rho_w=None, periods=3, seed=1).withColumn("one", F.lit(1.0)).cache()
+    terms = ["one", "d1", "d2", "o1", "o2", "log_distance"]
+    found = flows.lm_tests(panel, edges, units, terms, time="time").toPandas().set_index("test")["p_value"]
+    assert found["Panel-LM-Flow-Joint"] < 0.01 and found["Panel-LM-Flow-Destination"] < found["Panel-LM-Flow-Origin"]
+    assert score_tests.walk(score_tests.tree("OLSFlow", panel=True), dict(found))[0] == "SARFlow"
+    with pytest.raises(ValueError, match="every pair"):
+        flows.lm_tests(panel, edges, units, terms)
+
+
+def test_stored_chains_are_not_run_again(spark, world, tmp_path):
+    *_, units, edges = world
+    kernel = gaussian.fit("OLS", units, edges, "y", ["x1"], draws=5, tune=5, n_chains=1).kernel
+    names, path = ["_spatial", "sigma", "_one", "x1"], str(tmp_path / "draws")
+    first = gaussian.stored_chains(spark, kernel, names, 10, 5, 2, 3, path).orderBy("chain", "draw").toPandas()
+    files = len(list((tmp_path / "draws").glob("*.parquet")))
+    again = gaussian.stored_chains(spark, kernel, names, 10, 5, 3, 3, path).orderBy("chain", "draw").toPandas()
+    assert len(first) == 20 and len(again) == 30 and len(list((tmp_path / "draws").glob("*.parquet"))) == files + 1
+    assert np.allclose(again[again["chain"] < 2].reset_index(drop=True)[names], first[names])
+    plain = gaussian.chains(spark, kernel, names, 10, 5, 2, 3).orderBy("chain", "draw").toPandas()
+    assert np.allclose(plain[names], first[names])
