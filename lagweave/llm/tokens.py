@@ -480,8 +480,8 @@ def images(rows: DataFrame, path: str, end_id: int, text: str, shards: int, part
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([part], pa.int32()), pa.array([size], pa.int64()), pa.array([body], pa.binary())], names=["shard", "part", "n_ids", "image"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                some = b.slice(k, 64)
                 encoded = chain.from_iterable(tool.encode(g) for g in groups(some.column(1).to_pylist()))
                 for rid, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
                     found = ids + end
@@ -521,7 +521,7 @@ def read_documents(written: DataFrame) -> DataFrame:
     return joined.select("_rid", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 2 << 20) -> DataFrame:
+def token_output(rows: DataFrame, path: str, out_dir: str | None = None, end_id: int = 0, text: str = "text", shard_bytes: int = 32 << 20, part_ids: int = 1 << 20) -> DataFrame:
     """Write ``rows`` (_rid, unique and ascending, and text) as images; what they hold, read back.
 
     A null or empty text is the end id alone. Images go to ``out_dir`` (by default a folder beside
