@@ -8,10 +8,11 @@ windows have equal anchors, so windows need only be compared where anchors recur
 2. list for each document the runs of windows whose anchors recur;
 3. cut those runs' texts out as segments, dealt by anchor; equal segments are merged before the
    shuffle, and every one but the first (smallest document, then place) is marked whole. Runs
-   with an anchor above ``hot`` occurrences are dealt by single windows instead, whose equal
-   texts merge, so that no anchor gathers its documents in one task;
+   with an anchor above ``hot`` occurrences, and above a RAREth of all, are dealt by single
+   windows instead, whose equal texts merge, so that no anchor gathers its documents in one task;
 4. a ``resolve`` function compares the distinct segments of a shard exactly, and marks the windows
-   of first occurrences that start earlier elsewhere;
+   of first occurrences that start earlier elsewhere; an anchor whose segments alone are more than
+   a shard is settled by its windows' hashes and bytes;
 5. marks go back to their documents.
 
 Hashes only choose what is compared; what is removed has been compared text by text.
@@ -33,8 +34,13 @@ from .common import Scratch, spread_join
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Window starts handled at once; positions inside take the low bits of a sort key.
 STRETCH, PLACE = 1 << 20, np.uint64((1 << 21) - 1)
-#: Bytes of documents whose single windows are compared at once.
-HELD = 1 << 20
+#: Bytes of documents whose single windows are compared at once, and distinct segments held at once.
+HELD, PIECES = 1 << 20, 400_000
+#: Anchors are hot by their share of all occurrences: a fixed number alone would make more and more
+#: anchors hot as tables grow, each of whose runs turns into a row for every window.
+RARE = 16_384
+#: Windows of one anchor that are sorted at once.
+SORTED = 1 << 20
 BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
@@ -82,6 +88,14 @@ class Shape:
                 k, by = 2 * k, by * by
         return mixed(g)
 
+    def windows(self, units: np.ndarray) -> np.ndarray:
+        """A hash of every ``window`` consecutive units."""
+        names, k = units, 1
+        with np.errstate(over="ignore"):
+            while 2 * k <= self.window:
+                names, k = mixed(names[:-k] * MULTIPLIER + names[k:]), 2 * k
+            return names[: len(names) - self.window + k] * MULTIPLIER + names[self.window - k :]
+
     def runs(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first window and number of windows of each run of windows with one anchor place."""
         parts = []
@@ -144,6 +158,7 @@ def candidate_runs(rows: DataFrame, again: DataFrame, shape: Shape, text: str, h
 
     each = rows.select("_rid", text).mapInArrow(run, "h long, _rid long, first int, n int")
     total = again.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = max(hot, total // RARE)
     known = again.select(F.col("h").alias("_h"), F.col("n").alias("_n"), (F.col("n") > hot).alias("hot"))
     joined = spread_join(each, known, "h", "_h", "_n", total, F.hash("_rid", "first"), least=hot)
     return joined.groupBy("_rid").agg(F.collect_list(F.struct("first", "n", "h", "hot")).alias("runs"))
@@ -178,22 +193,30 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
                     mark(rid, first, n)
 
             bytewise: list[tuple] = []
-            for rid, t, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                body = encoded(t)
+            ends = b.column(2).offsets.to_numpy()
+            flat = b.column(2).values
+            columns = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n", "h", "hot")]
+            for i, (rid, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
+                body = encoded(t.as_py())
                 where = shape.units(body)[1]
-                if where is None and any(r["hot"] for r in found):
-                    bytewise.append((rid, body, [(r["first"], r["n"]) for r in found if r["hot"]]))
-                    found = [r for r in found if not r["hot"]]
+                found = list(zip(*(c[ends[i] : ends[i + 1]].tolist() for c in columns), strict=True))
+                if where is None and any(r[3] for r in found):
+                    bytewise.append((rid, body, [r[:2] for r in found if r[3]]))
+                    found = [r for r in found if not r[3]]
                     if sum(len(x[1]) for x in bytewise) > HELD:
                         single(bytewise, meet, gone)
                         bytewise = []
-                for r in sorted(found, key=lambda r: r["first"]):
-                    if r["hot"]:
-                        for at in range(r["first"], r["first"] + r["n"]):
+                for first, n, h, single_windows in sorted(found):
+                    if single_windows:
+                        for at in range(first, first + n):
                             piece = shape.cut_out(body, where, at, 1)
                             meet(xxhash.xxh64_intdigest(piece) - (1 << 63), piece, rid, at, 1)
                     else:
-                        meet(r["h"], shape.cut_out(body, where, r["first"], r["n"]), rid, r["first"], r["n"])
+                        meet(h, shape.cut_out(body, where, first, n), rid, first, n)
+                if len(best) + len(gone) > PIECES:
+                    yield from packed(best, gone)
+                    best.clear()
+                    gone.clear()
             single(bytewise, meet, gone)
             yield from packed(best, gone)
 
@@ -206,11 +229,7 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
         first = np.concatenate([np.arange(f, f + n) for x in held for f, n in x[2]])
         owner = np.repeat(np.arange(len(held)), [sum(n for _, n in x[2]) for x in held])
         rid, at = np.array([x[0] for x in held], np.int64)[owner], base[owner] + first
-        names, k = BYTE[buffer], 1
-        with np.errstate(over="ignore"):
-            while 2 * k <= shape.window:
-                names, k = mixed(names[:-k] * MULTIPLIER + names[k:]), 2 * k
-            names = names[at] * MULTIPLIER + names[at + shape.window - k]
+        names = shape.windows(BYTE[buffer])[at]
         order = np.lexsort((first, rid, names))
         rid, first, at, names = rid[order], first[order], at[order], names[order]
         new = np.r_[True, names[1:] != names[:-1]]
@@ -247,48 +266,110 @@ def segments(rows: DataFrame, runs: DataFrame, shape: Shape, text: str) -> DataF
     return joined.select("_rid", text, "runs").mapInArrow(run, SEGMENT)
 
 
-def marks(dealt: DataFrame, resolve: Callable, shard_bytes: int) -> DataFrame:
+def joined_runs(rid: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """Single windows as runs (rid, first, n)."""
+    order = np.lexsort((at, rid))
+    rid, at = rid[order], at[order]
+    start = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (at[1:] != at[:-1] + 1)]) if len(rid) else np.empty(0, np.int64)
+    return list(zip(rid[start].tolist(), at[start].tolist(), np.diff(np.r_[start, len(rid)]).tolist(), strict=True))
+
+
+def later_windows(pieces: list[tuple], shape: Shape) -> list[tuple]:
+    """Marks for the segments of one anchor: (piece, rid, first, n) -> (rid, first, n).
+
+    Windows are hashed some segments at a time, and sorted a share of the hashes at a time; windows of
+    one hash are compared with the first of them, and those that differ among themselves again.
+    """
+    names, owner, inside, starts, sizes = [], [], [], [], []
+    body, at = b" ".join(p[0] for p in pieces), 0
+    held, begin = 0, 0
+    for i, p in enumerate(pieces):
+        held += len(p[0]) + 1
+        if held < HELD and i + 1 < len(pieces):
+            continue
+        units, where = shape.units(body[at : at + held])
+        # Words are found anew in the joined text; bytes have a separator between segments.
+        some = np.array([x[3] for x in pieces[begin : i + 1]], np.int64)
+        step = some + shape.window - (where is not None)
+        first = np.repeat(np.cumsum(step) - step, some)
+        offset = np.arange(int(some.sum())) - np.repeat(np.cumsum(some) - some, some)
+        unit = first + offset
+        names.append(shape.windows(units)[unit])
+        owner.append(np.repeat(np.arange(begin, i + 1, dtype=np.int32), some))
+        inside.append(offset.astype(np.int32))
+        low, high = (unit, unit + shape.window) if where is None else (where[0][unit], where[1][unit + shape.window - 1])
+        starts.append(low + at)
+        sizes.append((high - low).astype(np.int32))
+        at, held, begin = at + held, 0, i + 1
+    names, owner, inside, starts, sizes = (np.concatenate(x) for x in (names, owner, inside, starts, sizes))
+    rid, first = (np.array([p[k] for p in pieces], np.int64) for k in (1, 2))
+    raw = np.frombuffer(body, np.uint8)
+
+    def equal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if shape.units is byte_units:
+            view = np.lib.stride_tricks.sliding_window_view(raw, shape.window)
+            parts = [(view[starts[x[k : k + 50_000]]] == view[starts[y[k : k + 50_000]]]).all(1) for k in range(0, len(x), 50_000)]
+            return np.concatenate([*parts, np.empty(0, bool)])
+        return np.fromiter((body[starts[i] : starts[i] + sizes[i]] == body[starts[j] : starts[j] + sizes[j]] for i, j in zip(x, y, strict=True)), bool, len(x))
+
+    shares = np.uint64(len(names) // SORTED + 1)
+    gone = []
+    for share in range(int(shares)):
+        left = np.flatnonzero(names % shares == share)
+        left = left[np.lexsort((first[owner[left]] + inside[left], rid[owner[left]], names[left]))]
+        while len(left):
+            new = np.r_[True, names[left[1:]] != names[left[:-1]]]
+            chief = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
+            same = equal(left[~new], chief[~new])
+            gone.append(left[~new][same])
+            left = left[~new][~same]
+    late = np.concatenate([*gone, np.empty(0, np.int64)])
+    return joined_runs(rid[owner[late]], first[owner[late]] + inside[late])
+
+
+def marks(dealt: DataFrame, shape: Shape, resolve: Callable, shard_bytes: int) -> DataFrame:
     """(_rid, first, n): the runs of windows that start earlier elsewhere."""
 
     def run(batches):
-        held: list[tuple] = []  # of the last key, which may go on
-        shard: list[list[tuple]] = []
+        key, best, read = None, {}, 0  # distinct segments of the last key, which may go on
+        shard: list[tuple] = []
+        out: list[tuple] = []
         size = 0
+
+        def close() -> None:
+            if len(best) < 2:
+                return
+            pieces = [(piece, *place) for piece, place in best.items()]
+            if sum(map(len, best)) > shard_bytes:
+                out.extend(later_windows(pieces, shape))
+            else:
+                shard.extend(pieces)
+
         for b in batches:
             gone = np.array(b.column(1).is_null())
             if gone.any():
                 rest = b.filter(pa.array(gone))
                 yield marked(rest.column(2), rest.column(3), rest.column(4))
-            for row in zip(*(c.to_pylist() for c in b.filter(pa.array(~gone)).columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    size += sum(len(r[1]) for r in held)
-                    shard.append(held)
-                    held = []
+            for k, piece, *place in zip(*(c.to_pylist() for c in b.filter(pa.array(~gone)).columns), strict=True):
+                if k != key:
+                    close()
+                    size += read
+                    key, best, read = k, {}, 0
                     if size >= shard_bytes:
-                        yield settle(shard)
-                        shard, size = [], 0
-                held.append(row)
-        if held:
-            shard.append(held)
-        if shard:
-            yield settle(shard)
-
-    def settle(shard):
-        out: list[tuple] = []
-        open_: list[tuple] = []
-        for rows in shard:
-            best: dict[bytes, tuple] = {}
-            for _, piece, rid, first, n in rows:
-                new, old = (rid, first, n), best.get(piece)
+                        yield settle(shard, out)
+                        shard, out, size = [], [], 0
+                read += len(piece)
+                new, old = tuple(place), best.get(piece)
                 if old is not None:
                     new, old = min(new, old), max(new, old)
                     out.append(old)
                 best[piece] = new
-            if len(best) > 1:
-                open_.extend((piece, *place) for piece, place in best.items())
-        if open_:
-            out.extend(resolve(open_))
-        rid, first, n = zip(*out, strict=True) if out else ((), (), ())
+        close()
+        yield settle(shard, out)
+
+    def settle(shard, out):
+        found = out + resolve(shard) if shard else out
+        rid, first, n = zip(*found, strict=True) if found else ((), (), ())
         return marked(pa.array(rid, pa.int64()), pa.array(first, pa.int32()), pa.array(n, pa.int32()))
 
     def marked(rid, first, n):
@@ -303,7 +384,7 @@ def marked_runs(rows: DataFrame, shape: Shape, resolve: Callable, text: str = "t
     again = scratch.keep(anchor_counts(rows, shape, text), "anchors")
     runs = scratch.keep(candidate_runs(rows, again, shape, text, hot), "runs")
     scratch.drop(again)
-    found = marks(segments(rows, runs, shape, text), resolve, shard_bytes)
+    found = marks(segments(rows, runs, shape, text), shape, resolve, shard_bytes)
     out = scratch.keep(found.groupBy("_rid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "marks")
     scratch.drop(runs)
     return out

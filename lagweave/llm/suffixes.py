@@ -222,8 +222,9 @@ def resolver(window: int):
         rid = np.array([p[1] for p in pieces], np.int64)[owner[place]]
         at = np.array([p[2] for p in pieces], np.int64)[owner[place]] + place - starts[owner[place]]
         by = np.lexsort((at, rid, group))
-        later = np.r_[False, group[by[1:]] == group[by[:-1]]]
-        rid, at = rid[by[later]], at[by[later]]
+        # No row at all where the segments share anchors alone.
+        later = by[1:][group[by[1:]] == group[by[:-1]]]
+        rid, at = rid[later], at[later]
         by = np.lexsort((at, rid))
         rid, at = rid[by], at[by]
         first = np.flatnonzero(np.r_[True, (rid[1:] != rid[:-1]) | (at[1:] != at[:-1] + 1)]) if len(rid) else np.empty(0, np.int64)

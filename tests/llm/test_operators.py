@@ -61,6 +61,50 @@ def test_bytes_are_removed_as_brute_force_does(docs, rows):
         assert got == brute.repeated_bytes([r[:2] for r in rows], 100)
 
 
+@pytest.mark.parametrize("module,window,expected", [(substring, 20, brute.repeated_words), (suffixes, 100, brute.repeated_bytes)])
+def test_anchors_larger_than_a_shard_are_settled_in_bounds(spark, docs, rows, module, window, expected):
+    """One anchor in many contexts: its segments don't come to the shard's sort, and the marks are the same."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abc ") for _ in range(300))
+    tails = ["".join(rng.choice("xyz ") for _ in range(60)) for _ in range(12)]
+    many = [(1000 + k, rng.choice(tails) + passage[: rng.choice((90, 200))] + rng.choice(tails), *r[2:]) for k, r in enumerate(rows * 2)]
+    more = docs.union(spark.createDataFrame(many, SCHEMA))
+    bound, inner = 1500, module.resolver(window)
+
+    def resolve(pieces):
+        assert sum(len(p[0]) for p in pieces) <= 2 * bound
+        return inner(pieces)
+
+    found = recurring.marked_runs(common.with_row_ids(more, more.columns), module.shape(window), resolve, shard_bytes=bound)
+    runs = {r["_rid"]: r["runs"] for r in found.collect()}
+    for (doc, text, *_), want in zip([*rows, *many], expected([r[:2] for r in [*rows, *many]], window).values(), strict=True):
+        units = recurring.encoded(text) if module is suffixes else recurring.encoded(text).split()
+        assert recurring.covered(runs.get(doc), len(units), window).sum() == want[1]
+
+
+def test_hot_anchors_are_a_share_of_all(spark, docs, monkeypatch):
+    """An anchor above the fixed number is dealt by single windows only if it is a share of all occurrences too."""
+    rows, shape = common.with_row_ids(docs, docs.columns), suffixes.shape(100)
+    again = recurring.anchor_counts(rows, shape, "text").cache()
+    most = again.agg({"n": "max"}).first()[0]
+    for rare, some in ((1, False), (1 << 30, True)):
+        monkeypatch.setattr(recurring, "RARE", rare)
+        found = [r["hot"] for x in recurring.candidate_runs(rows, again, shape, "text", 2).collect() for r in x["runs"]]
+        assert most > 2 and any(found) is some
+
+
+def test_shards_without_equal_windows_are_settled(spark):
+    """Texts that share an anchor, but no window: nothing goes, and nothing fails."""
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(90))
+    texts = [(k, "".join(rng.choice("stuvwxyz") for _ in range(40)) + shared + "".join(rng.choice("stuvwxyz") for _ in range(40))) for k in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert recurring.anchor_counts(docs, suffixes.shape(100), "text").count()
+    got = suffixes.remove_repeats(docs, digest=True).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got) == [(k, 170, 0, 0) for k in range(6)]
+    assert suffixes.resolver(100)([(t.encode(), k, 0, 71) for k, t in texts]) == []
+
+
 def test_removal_keeps_columns_and_rows(odd, none):
     for operator in (substring.remove_repeats, suffixes.remove_repeats):
         out = operator(odd)
