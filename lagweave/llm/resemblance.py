@@ -244,8 +244,9 @@ def cells_of(batches):
 
 
 def links(nodes: DataFrame, m: int, max_cell: int = 1 << 14) -> DataFrame:
-    """Distinct links (a, b), a < b, of ``nodes`` (node, n, cells, PRINT) that connect whatever shares a cell and is near.
+    """Distinct links (a, b) of ``nodes`` (node, n, cells, PRINT) that connect whatever shares a cell and is near.
 
+    The rows of a cell are in one order everywhere, so that cells choose the same few first rows.
     Tables of cells are shuffled in rounds, so that the disk they take doesn't grow with their number.
     """
     rounds = ceil(tables(m) / ROUND)
@@ -257,7 +258,7 @@ def links(nodes: DataFrame, m: int, max_cell: int = 1 << 14) -> DataFrame:
                 node, n, *words = (t.column(c).to_numpy() for c in range(1, t.num_columns))
                 x, y = cell_links(n, [w.view(np.uint64) for w in words])
                 if len(x):
-                    yield pair_batch(node[x], node[y])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
     found = []
     for r in range(rounds):
@@ -268,12 +269,16 @@ def links(nodes: DataFrame, m: int, max_cell: int = 1 << 14) -> DataFrame:
             marked = keyed.join(hot, F.col("cell") == F.col("_c"), "left")
             spread = places(F.ceil(F.col("_m") / (max_cell // 2)).cast("int"))
             keyed = marked.select(F.explode(F.when(F.col("_m").isNull(), F.array("cell")).otherwise(spread)).alias("cell"), *columns)
-        dealt = keyed.repartition("cell").sortWithinPartitions("cell", "n")
+        dealt = keyed.repartition("cell").sortWithinPartitions("cell", "n", "node")
         found.append(cut(dealt.mapInArrow(run, "a long, b long").distinct()))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out if rounds == 1 else out.distinct()
+    # A group of near copies has another first row in each cell; each row keeps one link, to the least of its first rows.
+    firsts = out.groupBy("b").agg(F.collect_set("a").alias("_all"))
+    least = F.array_min("_all")
+    kept = F.transform("_all", lambda x: F.struct(least.alias("a"), F.when(x == least, F.col("b")).otherwise(x).alias("b")))
+    return firsts.select(F.inline(kept)).distinct()
 
 
 def linked(rows: DataFrame, nodes: DataFrame, id_col: str, text: str, m: int, small: int, block: int) -> DataFrame:
