@@ -105,6 +105,37 @@ def spread_join(rows: DataFrame, table: DataFrame, left: str, right: str, n: str
     return salted.join(dealt, met if also is None else met & also, how).drop("_salt", "_place")
 
 
+#: Bits of a bitmap (Spark's bitmap functions), bits for each id, and the most bitmaps that are broadcast.
+BITMAP, SPARSE, MOST_BITMAPS = 1 << 15, 16, 2048
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose long ``key`` is one of ``ids`` (a column, without nulls or repeats), and the others.
+
+    A join would shuffle whole rows, texts and all. Bitmaps of hashed ids (2 bytes an id), known to
+    all tasks, first tell which rows may be meant, about a 16th of the others among them; these
+    alone are joined, and the rest stays where it is.
+    """
+    count = ids.count()
+    bitmaps = min(MOST_BITMAPS, max(1, -(-count * SPARSE // BITMAP)))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bitmaps * BITMAP))
+
+    name = ids.columns[0]
+    at = ids.select(F.floor(place(name) / BITMAP).alias("_map"), F.pmod(place(name), F.lit(BITMAP)).alias("_bit"))
+    maps = at.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    own = F.pmod(place(key), F.lit(BITMAP))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(own / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.floor(place(key) / BITMAP) == F.col("_map"), "left")
+    hit = F.coalesce(F.getbit(byte, F.pmod(own, F.lit(8)).cast("int")) == 1, F.lit(False))
+    marked = met.select(*rows.columns, hit.alias("_hit"))
+    may, rest = marked.filter("_hit").drop("_hit"), marked.filter("NOT _hit").drop("_hit")
+    listed = ids.select(F.col(name).alias("_id"))
+    met_ids = F.col(key) == F.col("_id")
+    return may.join(listed, met_ids, "left_semi"), rest.unionByName(may.join(listed, met_ids, "left_anti"))
+
+
 def temp_name(stem: str) -> str:
     return f"{stem}_{uuid.uuid4().hex}"
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, spread_join, with_row_ids
+from .common import among, cut, spread_join, with_row_ids
 from .simhash import SEED, components, count_codes
 
 SHINGLE = 5
@@ -286,7 +286,7 @@ def linked(rows: DataFrame, nodes: DataFrame, id_col: str, text: str, m: int, sm
     islands = cut(components(links(nodes, m)).select(F.col("u").alias("node"), F.col("label").alias("cell")))
     many = islands.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("cell", "_c")
     members = cut(islands.join(many, F.col("cell") == F.col("_c")).drop("_c"))
-    sets = cut(shingle_sets(rows.join(members.select(F.col("node").alias("_node")), F.col(id_col) == F.col("_node"), "left_semi"), id_col, text))
+    sets = cut(shingle_sets(among(rows, id_col, members.select("node"))[0], id_col, text))
 
     def with_sets(table: DataFrame) -> DataFrame:
         return table.join(sets.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).drop("_n")
@@ -323,4 +323,5 @@ def deduplicate(docs: DataFrame, text: str = "text", small: int = 16, block: int
     prints = cut(sketches(rows, "_rid", text, m))
     nodes = cut(prints.groupBy("digest").agg(F.min("_rid").alias("node"), *[F.first(c).alias(c) for c in ("n", "cells", *PRINT)]))
     first = linked(rows, nodes, "_rid", text, m, small, block).filter(F.col("node") == F.col("label"))
-    return rows.join(first.select(F.col("node").alias("_rid")), "_rid", "left_semi").select(*docs.columns)
+    copies = cut(prints.select("_rid").join(first.select(F.col("node").alias("_rid")), "_rid", "left_anti"))
+    return among(rows, "_rid", copies)[1].select(*docs.columns)

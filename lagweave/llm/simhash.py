@@ -9,7 +9,8 @@ computed first, and only pairs that it leaves are verified exactly.
 
 Only distinct fingerprints enter cells. A cell yields a spanning forest of its links, not all its
 pairs; a cell above ``max_cell`` rows is dealt into pairs of blocks, which together compare all.
-Components are then found by joins: smallest labels pass over links and jump along labels.
+Components are then found by joins: nodes point to their smallest neighbours, and links between the
+ends of these pointers are what the next round reads.
 """
 
 from __future__ import annotations
@@ -173,18 +174,27 @@ def links(nodes: DataFrame, most: int = 4, max_cell: int = 4096) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, label): for every node of the links (a, b) the smallest node it is connected to."""
-    both = cut(edges.union(edges.select("b", "a")).toDF("u", "v"))
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("label")).select("u", F.least("u", "label").alias("label")))
-    while True:
-        near = both.join(labels.toDF("v", "seen"), "v").groupBy("u").agg(F.min("seen").alias("near"))
-        low = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("low"))
-        jump = labels.toDF("low", "next")
-        new = cut(low.join(jump, "low").select("u", "label", F.least("low", "next").alias("new")))
-        done = new.filter("new <> label").isEmpty()
-        labels = new.select("u", F.col("new").alias("label"))
-        if done:
-            return labels
+    """(u, label): for every node of the links (a, b) the smallest node it is connected to.
+
+    In each round every node points to its smallest neighbour, if that is smaller; pointers are
+    followed to their ends, and links go on between these ends alone. What a group has met in one
+    round is a single node in the next, so that rounds don't read all links again and again.
+    """
+    live, labels = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
+    while labels is None or not live.isEmpty():
+        both = live.select("a", "b").union(live.select("b", "a")).toDF("u", "v")
+        ends, done = cut(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))), False
+        while not done:
+            new = cut(ends.join(ends.toDF("low", "next"), "low").select("u", "low", "next"))
+            done = new.filter("next <> low").isEmpty()
+            ends = new.select("u", F.col("next").alias("low"))
+        moved = live.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").filter("x <> y")
+        live = cut(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if labels is None:
+            labels = ends.toDF("u", "label")
+        else:
+            labels = cut(labels.join(ends.toDF("label", "low"), "label", "left").select("u", F.coalesce("low", "label").alias("label")))
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
