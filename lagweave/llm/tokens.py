@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ SLOTS = 512
 SCALE = 20
 TOP, BOTTOM = np.uint64(48), np.uint64(1 << 48)
 FIELD, MASK = np.uint64(20), np.uint64((1 << 20) - 1)
-#: What an outcome adds to its count, by class: order 2 right, order 1 right, neither.
-GAIN = np.array([24, 24 << 20, 24 << 40], np.uint64)
+#: What an outcome adds to its count, in the field of its class: order 2 right, order 1 right, neither.
+GAIN = np.uint64(24)
 FRESH = np.uint64(1 | 1 << 20 | 2 << 40)
+#: A factor that turns three fields into their running sums; a literal's share where there is none.
+SUMS, ONE = np.uint64(1 | 1 << 20 | 1 << 40), np.uint64(1 << SCALE)
 U = np.uint64
 
 
@@ -52,14 +55,16 @@ class Model:
 
     def __init__(self, lanes: int, counts: np.ndarray):
         """``counts``: scaled frequencies by id, that sum to 1 << SCALE."""
-        self.freq = counts.astype(np.uint64)
-        self.cum = np.cumsum(self.freq) - self.freq
+        freq = counts.astype(np.uint64)
+        self.codes = np.cumsum(freq) - freq << U(32) | freq
         self.lanes = lanes
         self.one, self.two = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
         self.by_sure, self.by_past = np.full(lanes * 32, FRESH), np.full(lanes * 9, FRESH)
         self.base = np.arange(lanes) * SLOTS
         self.row32, self.row9 = np.arange(lanes) * 32, np.arange(lanes) * 9
-        self.last, self.before, self.past, self.kind = (np.zeros(lanes, np.int64) for _ in range(4))
+        # Slots depend on the low bits of ids alone.
+        self.last, self.before = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
+        self.past, self.kind = np.zeros(lanes, np.uint8), np.zeros(lanes, np.uint8)
 
     def shrink(self, lanes: int) -> None:
         for k in ("base", "row32", "row9", "last", "before", "past", "kind"):
@@ -67,29 +72,44 @@ class Model:
         self.lanes = lanes
 
     def predict(self) -> None:
-        self.at1 = self.base + ((self.last * 40503 >> 4) & (SLOTS - 1))
-        self.at2 = self.base + ((self.last * 40503 + self.before * 30011 >> 3) & (SLOTS - 1))
+        spread = self.last * 40503
+        self.at1 = self.base + (spread >> 4 & SLOTS - 1)
+        self.at2 = self.base + (spread + self.before * 30011 >> 3 & SLOTS - 1)
         self.e1, self.e2 = self.one.take(self.at1), self.two.take(self.at2)
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.q1, self.q2 = self.e1 & 3, self.e2 & 3
-        self.sure = self.row32 + (self.q2 * 8 + self.q1 * 2 + (self.p1 == self.p2))
+        self.q1, self.q2 = self.e1.astype(np.uint8) & 3, self.e2.astype(np.uint8) & 3
+        self.sure = self.row32 + (self.q2 << 3 | self.q1 << 1 | (self.p1 == self.p2))
         self.hist = self.row9 + self.past
-        mixed = self.by_sure.take(self.sure) + self.by_past.take(self.hist)
-        self.n0 = mixed & MASK
-        self.n1 = (mixed >> FIELD) & MASK
-        self.n2 = mixed >> U(40)
-        self.n01 = self.n0 + self.n1
-        self.total = (self.n01 + self.n2) << U(SCALE)
-
-    def update(self, x: np.ndarray, kind: np.ndarray) -> None:
-        gain = GAIN.take(kind)
-        self.by_sure[self.sure] += gain
-        self.by_past[self.hist] += gain
+        self.of_sure, self.of_past = self.by_sure.take(self.sure), self.by_past.take(self.hist)
+        self.mixed = self.of_sure + self.of_past
+        self.sums = self.mixed * SUMS
+        self.total = self.sums >> U(40 - SCALE) & MASK << U(SCALE)
+
+    def interval(self, x: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the outcome within ``total``; ``at`` is the first bit of its field."""
+        share = self.codes.take(x)
+        np.putmask(share, kind < 2, ONE)
+        n = self.mixed >> at & MASK
+        start = (self.sums << FIELD >> at & MASK) << U(SCALE)
+        return start + n * (share >> U(32)), n * (share & U((1 << 32) - 1))
+
+    def update(self, x: np.ndarray, kind: np.ndarray, at: np.ndarray, right1: np.ndarray, right2: np.ndarray) -> None:
+        gain = GAIN << at
+        self.by_sure[self.sure] = self.of_sure + gain
+        self.by_past[self.hist] = self.of_past + gain
         self.past, self.kind = self.kind * 3 + kind, kind
-        fresh = (x << 2 | 1).astype(np.int32)
-        self.one[self.at1] = np.where(self.p1 == x, self.e1 + (self.q1 < 3), np.where(self.q1 > 1, self.e1 - 1, fresh))
-        self.two[self.at2] = np.where(self.p2 == x, self.e2 + (self.q2 < 3), np.where(self.q2 > 1, self.e2 - 1, fresh))
-        self.before, self.last = self.last, x
+        fresh = x << 2 | 1
+        self.one[self.at1] = _learned(self.e1, self.q1, right1, fresh)
+        self.two[self.at2] = _learned(self.e2, self.q2, right2, fresh)
+        self.before, self.last = self.last, x.astype(np.uint16)
+
+
+def _learned(entry: np.ndarray, sure: np.ndarray, right: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Entries that are surer by one where they were right, less sure where not, or else replaced."""
+    ok = right.view(np.int8)
+    out = entry + ((ok & (sure < 3).view(np.int8)) + ok - 1)
+    np.putmask(out, ~right & (sure < 2), fresh)
+    return out
 
 
 def _narrowed(low: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -105,7 +125,7 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
     """The payload of each block of ``block`` ids."""
     lanes = -(-len(ids) // block)
     model = Model(lanes, counts)
-    table = np.zeros(lanes * block, np.int64)
+    table = np.zeros(lanes * block, np.int32)
     table[: len(ids)] = ids
     steps = np.ascontiguousarray(table.reshape(lanes, block).T)
     del table
@@ -125,12 +145,11 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
             out = np.concatenate([out, np.zeros((len(out), block // 2 + 600), np.uint16)], axis=1)
         x = steps[t, : model.lanes]
         model.predict()
-        kind = np.where((model.p2 == x) & (model.q2 > 0), 0, np.where((model.p1 == x) & (model.q1 > 0), 1, 2))
-        literal = kind == 2
-        first = kind == 0
-        start = np.where(first, U(0), np.where(literal, model.n01, model.n0)) << U(SCALE)
-        start += np.where(literal, model.n2 * model.cum.take(x), U(0))
-        size = np.where(literal, model.n2 * model.freq.take(x), np.where(first, model.n0, model.n1) << U(SCALE))
+        right1, right2 = model.p1 == x, model.p2 == x
+        first = right2 & (model.q2 > 0)
+        kind = 2 - (first | right1 & (model.q1 > 0)).view(np.uint8) - first.view(np.uint8)
+        field = kind * FIELD
+        start, size = model.interval(x, kind, field)
         unit = width // model.total
         low += unit * start
         width = unit * size
@@ -140,7 +159,7 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
             out[at, spot] = _narrowed(low, width, at)
             pos[at] = spot + 1
             at = at[width[at] < BOTTOM]
-        model.update(x, kind)
+        model.update(x, kind, field, right1, right2)
     whole = [_flushed(out[k], int(pos[k]), low[k]) for k in range(len(low))]
     return [w.tobytes() for w in whole + done]
 
@@ -154,7 +173,7 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
     """The ids of blocks, ``block`` each but for the last."""
     lanes = len(payloads)
     model = Model(lanes, counts)
-    lookup = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    lookup = np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) <= 1 << 16 else np.int32), counts)
     sizes = np.array([len(p) // 2 for p in payloads])
     words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2").astype(np.uint64)
     pos = np.cumsum(sizes) - sizes
@@ -162,7 +181,7 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
     for _ in range(4):
         code = code << U(16) | words[pos]
         pos += 1
-    out = np.zeros((block, lanes), np.int64)
+    out = np.zeros((block, lanes), np.int32)
     last = n_ids - (lanes - 1) * block
     for t in range(block):
         if t == last:
@@ -174,12 +193,13 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
         unit = width // model.total
         value = np.minimum((code - low) // unit, model.total - U(1))
         part = value >> U(SCALE)
-        literal, first = part >= model.n01, part < model.n0
-        start = np.where(first, U(0), np.where(literal, model.n01, model.n0)) << U(SCALE)
-        spot = np.where(literal, (value - start) // model.n2, U(0)).astype(np.int64)
-        x = np.where(literal, lookup.take(spot, mode="clip"), np.where(first, model.p2, model.p1)).astype(np.int64)
-        start += np.where(literal, model.n2 * model.cum.take(x), U(0))
-        size = np.where(literal, model.n2 * model.freq.take(x), np.where(first, model.n0, model.n1) << U(SCALE))
+        kind = (part >= (model.mixed & MASK)).view(np.uint8) + (part >= (model.sums >> FIELD & MASK)).view(np.uint8)
+        field = kind * FIELD
+        spot = (value - ((model.sums << FIELD >> field & MASK) << U(SCALE))) // (model.mixed >> field & MASK)
+        x = lookup.take(spot.astype(np.int64), mode="clip").astype(np.int32)
+        np.putmask(x, kind == 0, model.p2)
+        np.putmask(x, kind == 1, model.p1)
+        start, size = model.interval(x, kind, field)
         low += unit * start
         width = unit * size
         at = np.flatnonzero(width < BOTTOM)
@@ -190,8 +210,8 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
             pos[at] = spot + 1
             at = at[width[at] < BOTTOM]
         out[t, : model.lanes] = x
-        model.update(x, np.where(first, 0, np.where(literal, 2, 1)))
-    return out.T.reshape(-1)[:n_ids] if lanes > 1 else out[:n_ids, 0]
+        model.update(x, kind, field, model.p1 == x, model.p2 == x)
+    return (out.T.reshape(-1)[:n_ids] if lanes > 1 else out[:n_ids, 0]).astype(np.int64)
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -278,16 +298,46 @@ def read_image(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0  -     　]")
-BLANK = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
-MARK = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+#: The characters that stand for bytes in the vocabulary; a line's end stays what it is.
+PRINTED = np.full(256, 0, "<u4")
+PRINTED[[*range(33, 127), *range(161, 173), *range(174, 256)]] = [*range(33, 127), *range(161, 173), *range(174, 256)]
+PRINTED[PRINTED == 0] = np.arange(256, 256 + (PRINTED == 0).sum())
+PRINTED[10] = 10
+#: Bytes of ODD: those that say it all, and the first ones of blanks beyond ASCII.
+SURELY, MAYBE = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f"), (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 #: Bytes of a piece that the table holds; longer pieces go by a dictionary.
 SHORT = 23
 #: Masks that leave the first 0 to 8 bytes of a word of 64 bits.
 LEAVE = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+TOKEN_ID = attrgetter("id")
 STIR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
+def odd(text: str, body: bytes) -> bool:
+    """Whether ODD is found in ``text``, of which ``body`` are the bytes."""
+    return any(x in body for x in SURELY) or any(x in body for x in MAYBE) and ODD.search(text) is not None
+
+
+def letters(raw: np.ndarray) -> np.ndarray:
+    """Where a letter of ASCII is."""
+    return (raw | 32) - 97 < 26
+
+
+def words_of_letters(pieces: list[bytes]) -> np.ndarray:
+    """Which pieces the pre-tokenizer leaves whole: a space or none, and letters of ASCII or Latin-1."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    start = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(pieces) + b"\0", np.uint8)
+    # The second byte of a letter of Latin-1, after 0xC3; 0x97 and 0xB7 are signs.
+    second = (raw[1:] >> 6 == 2) & (raw[1:] != 0x97) & (raw[1:] != 0xB7) & (raw[:-1] == 0xC3)
+    fine = letters(raw)
+    fine[:-1] |= second
+    fine[1:] |= second
+    lead = start[size > 1]
+    fine[lead] |= raw[lead] == 32
+    return np.logical_and.reduceat(fine, start)
+
+
 class Encoder:
     """A tokenizer that remembers pieces.
 
@@ -296,7 +346,8 @@ class Encoder:
     ASCII mark after a letter of ASCII or Latin-1.
     Texts are cut there, at whole arrays of bytes at once, and each piece's ids are looked up by
     its bytes, which the table compares whole. Texts with blanks beyond ASCII, or with anything
-    like a special token, are encoded whole. The table has a fixed size and is emptied when three
+    like a special token, are encoded whole. A new piece that is a word of letters goes to the
+    tokenizer's model right away, since its pre-tokenizer would leave it as it is. The table has a fixed size and is emptied when three
     quarters full.
     """
 
@@ -307,6 +358,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tool, self.bits = Tokenizer.from_file(path), bits
+        self.model = self.tool.model
         self.clear()
 
     @classmethod
@@ -328,13 +380,15 @@ class Encoder:
         """The ids of each text."""
         out = [b""] * len(texts)
         easy = []
+        bodies = []
         for k, t in enumerate(texts):
-            if t and ODD.search(t):
+            body = t.encode() if t else b""
+            if t and odd(t, body):
                 out[k] = self.whole(t)
             elif t:
                 easy.append(k)
+                bodies.append(body)
         if easy:
-            bodies = [texts[k].encode() for k in easy]
             for k, ids in zip(easy, self._pieces(bodies), strict=True):
                 out[k] = ids
         return out
@@ -343,13 +397,14 @@ class Encoder:
         joined = b"\0" + b"\0".join(bodies) + b"\0" + bytes(SHORT + 1)
         raw = np.frombuffer(joined, np.uint8)[: -SHORT - 1]
         mark = np.cumsum([0, *[len(b) + 1 for b in bodies]])  # between texts; not part of any
-        blank = BLANK[raw]
+        blank = (raw == 32) | (raw - 9 < 5)
+        letter = letters(raw)
         start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
         cut = np.zeros(len(raw) + 1, bool)
         cut[1:-1] = ~blank[:-1] & blank[1:]
         cut[start[raw[start - 1] != 32]] = True
-        mark_here = MARK[raw[1:]]
-        cut[1:-1] |= LETTER[raw[:-1]] & mark_here
+        mark_here = ((raw - 33 < 94) & ~letter & ~(raw - 48 < 10))[1:]
+        cut[1:-1] |= letter[:-1] & mark_here
         # Two bytes of which the first is 0xC3 are a letter too, but for the signs of times and division.
         cut[2:-1] |= (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7) & mark_here[1:]
         ends_text = np.zeros(len(raw), bool)
@@ -414,7 +469,7 @@ class Encoder:
         slot, last = self._slots(keys), len(self.table) - 1
         rows = self.table.take(slot, axis=0)
         place, missing = rows[:, 3], []
-        rest = np.flatnonzero((rows[:, :3] != keys).any(1))
+        rest = np.flatnonzero((rows[:, 0] != keys[:, 0]) | (rows[:, 1] != keys[:, 1]) | (rows[:, 2] != keys[:, 2]))
         while len(rest):
             held = self.table[slot[rest], 2] > 0
             missing.append(rest[~held])
@@ -441,19 +496,29 @@ class Encoder:
 
     def _learned(self, pieces: list[bytes]) -> np.ndarray:
         """Encodes pieces; where their ids now are, above 32 bits, and how many."""
-        many, parts = [], [np.empty(0, np.uint32)]
-        for k in range(0, len(pieces), 2048):
-            found = [e.ids for e in self.tool.encode_batch_fast([p.decode() for p in pieces[k : k + 2048]], add_special_tokens=False)]
-            sizes = list(map(len, found))
-            many += sizes
-            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, sum(sizes)))
-        many, flat = np.array(many, np.int64), np.concatenate(parts)
+        sizes, parts = np.zeros(len(pieces), np.int64), [np.empty(0, np.uint32)]
+        plain = words_of_letters(pieces) if pieces else np.empty(0, bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        words, rest = int(plain.sum()), order[int(plain.sum()) :].tolist()
+        for k in range(0, words, 1024):
+            some = order[k : min(k + 1024, words)]
+            raw = np.frombuffer(b"\n".join([pieces[i] for i in some.tolist()]), np.uint8)
+            found = list(map(self.model.tokenize, PRINTED[raw].tobytes().decode("utf-32-le").split("\n")))
+            sizes[some] = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append(np.fromiter(map(TOKEN_ID, chain.from_iterable(found)), np.uint32, int(sizes[some].sum())))
+        for k in range(0, len(rest), 2048):
+            some = rest[k : k + 2048]
+            found = [e.ids for e in self.tool.encode_batch_fast([pieces[i].decode() for i in some], add_special_tokens=False)]
+            sizes[some] = list(map(len, found))
+            parts.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[some].sum())))
+        flat = np.concatenate(parts)
         while self.stored + len(flat) > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
         self.store[self.stored : self.stored + len(flat)] = flat
-        at = self.stored + np.cumsum(many) - many
+        at = np.empty(len(pieces), np.int64)
+        at[order] = self.stored + np.cumsum(sizes[order]) - sizes[order]
         self.stored += len(flat)
-        return at.astype(np.uint64) << U(32) | many.astype(np.uint64)
+        return at.astype(np.uint64) << U(32) | sizes.astype(np.uint64)
 
 
 def groups(texts: list, most: int = 1 << 20):

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from lagweave.llm import common, resemblance, simhash
+from lagweave.llm import common, resemblance, simhash, tokens
 
 
 @pytest.fixture
@@ -75,3 +76,23 @@ def test_among_is_exact_for_any_ids(joined_by_shuffle):
         inside, outside = common.among(rows, "k", spark.createDataFrame([(i,) for i in ids], "id long"))
         assert sorted(r["k"] for r in inside.collect()) == sorted(ids)
         assert sorted(r["k"] for r in outside.collect()) == sorted(keys - {*ids})
+
+
+def test_new_words_of_letters_go_to_the_model_alone():
+    """The pre-tokenizer leaves them as they are; what it may divide still passes through it."""
+    texts = ["Some newword cafés, don't ÀÐÿ × ÷ ab12 日本 À Āa ªµ \t\n x.", "a b", "\x1cq", "<|endoftext|>"]
+    encoder, passed = tokens.Encoder(tokens.default_path(), 8), []
+    tool = encoder.tool
+
+    class Seen:
+        def encode_batch_fast(self, pieces, **how):
+            passed.extend(pieces)
+            return tool.encode_batch_fast(pieces, **how)
+
+        def encode(self, text, **how):
+            return tool.encode(text, **how)
+
+    encoder.tool = Seen()
+    assert encoder.encode(texts) == [np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not {"Some", " newword", " cafés", " ÀÐÿ"} & set(passed)
+    assert {" ab12", " 日本"} <= set(passed)
