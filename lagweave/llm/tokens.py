@@ -85,12 +85,15 @@ class Model:
         self.sums = self.mixed * SUMS
         self.total = self.sums >> U(40 - SCALE) & MASK << U(SCALE)
 
-    def interval(self, x: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the outcome within ``total``; ``at`` is the first bit of its field."""
+    def fields(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first bit of an outcome's field, where it starts within ``total``, and its count."""
+        at = kind * FIELD
+        return at, (self.sums << FIELD >> at & MASK) << U(SCALE), self.mixed >> at & MASK
+
+    def interval(self, x: np.ndarray, kind: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the outcome, a literal's ``x`` included, within ``total``."""
         share = self.codes.take(x)
         np.putmask(share, kind < 2, ONE)
-        n = self.mixed >> at & MASK
-        start = (self.sums << FIELD >> at & MASK) << U(SCALE)
         return start + n * (share >> U(32)), n * (share & U((1 << 32) - 1))
 
     def update(self, x: np.ndarray, kind: np.ndarray, at: np.ndarray, right1: np.ndarray, right2: np.ndarray) -> None:
@@ -148,19 +151,22 @@ def encode_lanes(ids: np.ndarray, block: int, counts: np.ndarray) -> list[bytes]
         right1, right2 = model.p1 == x, model.p2 == x
         first = right2 & (model.q2 > 0)
         kind = 2 - (first | right1 & (model.q1 > 0)).view(np.uint8) - first.view(np.uint8)
-        field = kind * FIELD
-        start, size = model.interval(x, kind, field)
+        field, start, n = model.fields(kind)
+        start, size = model.interval(x, kind, start, n)
         unit = width // model.total
         low += unit * start
         width = unit * size
         at = np.flatnonzero(width < BOTTOM)
         while len(at):
             spot = pos[at]
-            out[at, spot] = _narrowed(low, width, at)
+            out.reshape(-1)[at * out.shape[1] + spot] = _narrowed(low, width, at)
             pos[at] = spot + 1
             at = at[width[at] < BOTTOM]
         model.update(x, kind, field, right1, right2)
-    whole = [_flushed(out[k], int(pos[k]), low[k]) for k in range(len(low))]
+    for s in (48, 32, 16, 0):
+        out[np.arange(len(low)), pos] = low >> U(s) & U(0xFFFF)
+        pos += 1
+    whole = [out[k, :n].astype("<u2", copy=False) for k, n in enumerate(pos.tolist())]
     return [w.tobytes() for w in whole + done]
 
 
@@ -175,7 +181,7 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
     model = Model(lanes, counts)
     lookup = np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) <= 1 << 16 else np.int32), counts)
     sizes = np.array([len(p) // 2 for p in payloads])
-    words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2").astype(np.uint64)
+    words = np.frombuffer(b"".join(payloads) + b"\0" * 16, "<u2")
     pos = np.cumsum(sizes) - sizes
     low, width, code = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max), np.zeros(lanes, np.uint64)
     for _ in range(4):
@@ -191,15 +197,14 @@ def decode_lanes(payloads: list[bytes], n_ids: int, block: int, counts: np.ndarr
             low, width, code, pos = (v[: lanes - 1].copy() for v in (low, width, code, pos))
         model.predict()
         unit = width // model.total
-        value = np.minimum((code - low) // unit, model.total - U(1))
+        value = (code - low) // unit  # within the total, but in a damaged block
         part = value >> U(SCALE)
         kind = (part >= (model.mixed & MASK)).view(np.uint8) + (part >= (model.sums >> FIELD & MASK)).view(np.uint8)
-        field = kind * FIELD
-        spot = (value - ((model.sums << FIELD >> field & MASK) << U(SCALE))) // (model.mixed >> field & MASK)
-        x = lookup.take(spot.astype(np.int64), mode="clip").astype(np.int32)
+        field, start, n = model.fields(kind)
+        x = lookup.take(((value - start) // n).view(np.int64), mode="clip").astype(np.int32)
         np.putmask(x, kind == 0, model.p2)
         np.putmask(x, kind == 1, model.p1)
-        start, size = model.interval(x, kind, field)
+        start, size = model.interval(x, kind, start, n)
         low += unit * start
         width = unit * size
         at = np.flatnonzero(width < BOTTOM)
@@ -226,9 +231,9 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 def write_image(order: np.ndarray, lengths: np.ndarray, ids: np.ndarray, most: int = 512) -> bytes:
     """One image of whole documents; ``order`` and ``lengths`` are theirs, ``ids`` all their ids."""
     block = int(min(most, max(256, len(ids) >> 11)))
-    symbols, n = np.unique(ids, return_counts=True)
-    table = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
-    table[symbols] = n
+    table = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(table)
+    n = table[symbols]
     payloads = encode_lanes(ids, block, scaled(table)) if len(ids) else []
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
     sizes = [(min(block, len(ids) - k * block), len(p), c) for k, (p, c) in enumerate(zip(payloads, sums, strict=True))]
@@ -429,9 +434,11 @@ class Encoder:
 
     def _found(self, joined: bytes, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece are, and how many; what is new is learned first."""
-        keys = np.empty((len(at), 3), np.uint64)
-        for k in range(3):
-            keys[:, k] = words[at + 8 * k] & LEAVE[np.clip(size - 8 * k, 0, 8 if k < 2 else 7)]
+        keys = np.zeros((len(at), 3), np.uint64)
+        keys[:, 0] = words[at] & LEAVE.take(np.minimum(size, 8))
+        for k in (1, 2):
+            on = np.flatnonzero(size > 8 * k)
+            keys[on, k] = words[at[on] + 8 * k] & LEAVE.take(np.minimum(size[on] - 8 * k, 9 - k))
         keys[:, 2] |= np.minimum(size, SHORT + 1).astype(np.uint64) << U(56)
         short = np.flatnonzero((size > 0) & (size <= SHORT))
         far = np.flatnonzero(size > SHORT).tolist()
